@@ -1,8 +1,8 @@
 """Toxicity: a linear-chain conditional random field tags toxic tokens; documents get scores from its marginals.
 
-1. Labelled tokens. Document labels are turned into token labels: terms (words, and word beginnings of four to six
-   letters) that stand almost only in toxic texts are counted over the labelled sample, and a greedy cover keeps those
-   that explain toxic documents which no kept term explains yet. A token that such a term fits is labelled toxic.
+1. Labelled tokens. Document labels are turned into token labels: terms (words, and word beginnings of four to
+   eight letters) that stand almost only in toxic texts are counted over the labelled sample, and a greedy cover keeps those
+   that explain toxic documents which few kept terms explain yet. A token that such a term fits is labelled toxic.
 2. The field has two states over chains of up to ``CHAIN`` tokens and hashed features of the token (the word and its
    beginnings), fitted on ``MAX_WINDOWS`` windows by full-batch gradient ascent with forward-backward.
 3. Scoring reads whole texts: forward-backward marginals of every token; the document's score is the largest marginal,
@@ -24,8 +24,10 @@ from quirelens.llm import bytescan as bs
 
 MAX_DOCS, MAX_WINDOWS, CHAIN = 5_000, 24_000, 64
 DIMS = 1 << 17
-MIN_SUPPORT, MIN_PRECISION, MAX_TERMS, CANDIDATES = 0.004, 0.97, 200, 4_000
-STARTS = (4, 5, 6)
+MIN_SUPPORT, MIN_PRECISION, MAX_TERMS, CANDIDATES = 0.004, 0.97, 300, 4_000
+STARTS = (4, 5, 6, 7, 8)
+#: Terms that each toxic text of the sample is to be explained by.
+COVER = 3
 THRESHOLD = 0.3
 ROUNDS, RATE, L2 = 60, 0.5, 1e-5
 
@@ -51,7 +53,11 @@ def trim(token: str) -> str:
 
 def term_column(text: Column) -> Column:
     words = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"(\p{L}{2,})"), F.lit(1)))
-    return F.array_distinct(F.flatten(F.array(F.transform(words, lambda w: F.concat(F.lit("w:"), w)), *(F.transform(F.filter(words, lambda w, k=k: F.length(w) >= k), lambda w, k=k: F.concat(F.lit(f"{k}:"), F.substring(w, 1, k))) for k in STARTS))))
+
+    def starts(size: int) -> Column:
+        return F.transform(F.filter(words, lambda w: F.length(w) >= size), lambda w: F.concat(F.lit(f"{size}:"), F.substring(w, 1, size)))
+
+    return F.array_distinct(F.flatten(F.array(F.transform(words, lambda w: F.concat(F.lit("w:"), w)), *map(starts, STARTS))))
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -73,22 +79,29 @@ def learn_terms(sample: DataFrame, totals: dict[int, int]) -> list[str]:
     if not n1 or not n0:
         return []
     each = sample.select("id", "toxic", F.explode(term_column(F.col("text"))).alias("term"))
-    rate = lambda c, n: (c + 0.02) / n
+    rate = lambda c, n: (c + 1.0) / n
     stats = each.groupBy("term").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
-    good = stats.where((F.col("t") >= max(2, int(MIN_SUPPORT * n1))) & (rate(F.col("t"), n1) / (rate(F.col("t"), n1) + rate(F.col("c"), n0)) >= MIN_PRECISION))
+    good = stats.where((F.col("t") >= max(3, int(MIN_SUPPORT * n1))) & (F.col("t") / n1 / (F.col("t") / n1 + rate(F.col("c"), n0)) >= MIN_PRECISION))
     top = good.orderBy(F.desc("t"), F.desc(F.length("term")), "term").limit(CANDIDATES).select("term")
     postings = each.where("toxic = 1").join(F.broadcast(top), "term").select("term", "id").collect()  # at most CANDIDATES terms of MAX_DOCS texts
     by: dict[str, set[int]] = {}
     for term, i in postings:
         by.setdefault(term, set()).add(i)
-    kept, open_ = [], set().union(*by.values()) if by else set()
-    least = max(2, int(MIN_SUPPORT * n1))
+    kept: list[str] = []
+    lacks = {i: COVER for ids in by.values() for i in ids}
+    least = max(3, int(MIN_SUPPORT * n1))
     while by and len(kept) < MAX_TERMS:
-        term = max(by, key=lambda t: (len(by[t] & open_), len(t), t))
-        if len(by[term] & open_) < least:
+        gain = {t: sum(lacks[i] > 0 for i in ids) for t, ids in by.items()}
+        term = max(gain, key=lambda t: (gain[t], len(t), t))
+        if gain[term] < least:
             break
         kept.append(term)
-        open_ -= by.pop(term)
+        own, body = by.pop(term), term[2:]
+        for i in own:
+            lacks[i] -= 1
+        # other lengths of the same word say the same again
+        same = lambda t, ids: (t[2:].startswith(body) or body.startswith(t[2:])) and len(ids & own) >= 0.8 * len(ids)
+        by = {t: ids for t, ids in by.items() if gain[t] >= least and not same(t, ids)}
     return kept
 
 
