@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirelens.llm import bpe, chat, mixing, pii, quality, toxicity, urls
+from quirelens.llm import bpe, chat, mixing, pii, quality, spotsigs, toxicity, urls
 from quirelens.runtime import table
 
 #: Where the vocabulary files of the public tokenizers lie (a parameter; they are not part of the repository).
@@ -55,6 +55,10 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digest(table(spark, sf_dir, "documents"))
 
 
+def op10_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_chat": op2_chat,
@@ -63,6 +67,7 @@ QUERIES = {
     "op5_urls": op5_urls,
     "op7_pii": op7_pii,
     "op8_quality": op8_quality,
+    "op10_spotsigs": op10_spotsigs,
 }
 
 ORACLE_SQL: dict[str, str] = {}
