@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirelens.llm import bpe, chat, mixing, pii, quality, spotsigs, toxicity, urls
+from quirelens.llm import bpe, chat, mixing, pii, quality, spotsigs, suffix_dedup, toxicity, urls
 from quirelens.runtime import table
 
 #: Where the vocabulary files of the public tokenizers lie (a parameter; they are not part of the repository).
@@ -47,6 +47,10 @@ def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 
 
+def op6_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(table(spark, sf_dir, "documents"))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(table(spark, sf_dir, "documents"))
 
@@ -65,6 +69,7 @@ QUERIES = {
     "op3_bpe": op3_bpe,
     "op4_toxicity": op4_toxicity,
     "op5_urls": op5_urls,
+    "op6_suffixes": op6_suffixes,
     "op7_pii": op7_pii,
     "op8_quality": op8_quality,
     "op10_spotsigs": op10_spotsigs,
