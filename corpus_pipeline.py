@@ -1,11 +1,72 @@
-"""Corpus pipeline (stages follow)."""
+"""Corpus pipeline: five stages, each over all that the one before kept.
 
-STAGES = []
+Every function takes (spark, docs, sf_dir) and returns a DataFrame; the driver (or :func:`run`) writes it as Parquet
+and reads it again for the next stage. All but the last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quirelens.llm import bpe, jaccard_join, mixing, pii, quality
+from quirelens.llm.queries import tokenizer_path
+from quirelens.runtime import shared_folder, table
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def _counted(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules reject go; kept ones lose their failing lines."""
+    kept = quality.judge(docs.select(*COLUMNS)).where("kept")
+    return _counted(kept.withColumn("text", F.col("clean_text")))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of linked ones stays: the one with the smallest id (of equal rows, one)."""
+    heads = jaccard_join.join(docs).where("doc_id = component_id").select("doc_id").distinct()
+    return docs.select(*COLUMNS).join(heads, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every span found gives way to its kind in brackets."""
+    return _counted(pii.redact(docs.select(*COLUMNS)))
+
+
+def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as its source's target takes it."""
+    return mixing.mix(docs.select(*COLUMNS))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, source, n_tokens, ids (packed), decoded text."""
+    ids = bpe.encode(docs.select("doc_id", "source", "text"), tokenizer_path()).select("doc_id", "source", "ids")
+    return bpe.decode(ids, tokenizer_path()).select("doc_id", "source", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", "decoded")
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("n-gram Jaccard join", near_duplicates),
+    ("personal data", personal_data),
+    ("mixing sources", mixed_sources),
+    ("BPE encoding and decoding", tokens),
+]
+
+#: The later stages are no SQL; tests hold every stage against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; each result is written to the shared folder and read again."""
+    docs = table(spark, sf_dir, "documents")
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    for k, (_, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
+        docs = spark.read.parquet(f"{folder}/{k}")
     return docs

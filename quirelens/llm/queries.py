@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirelens.llm import bpe, chat, mixing, pii, quality, spotsigs, suffix_dedup, toxicity, urls
+from quirelens.llm import bpe, chat, jaccard_join, mixing, pii, quality, spotsigs, suffix_dedup, toxicity, urls
 from quirelens.runtime import table
 
 #: Where the vocabulary files of the public tokenizers lie (a parameter; they are not part of the repository).
@@ -59,6 +59,10 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digest(table(spark, sf_dir, "documents"))
 
 
+def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(table(spark, sf_dir, "documents")).drop("class_id")
+
+
 def op10_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.digest(table(spark, sf_dir, "documents"))
 
@@ -72,6 +76,7 @@ QUERIES = {
     "op6_suffixes": op6_suffixes,
     "op7_pii": op7_pii,
     "op8_quality": op8_quality,
+    "op9_jaccard": op9_jaccard,
     "op10_spotsigs": op10_spotsigs,
 }
 
