@@ -32,7 +32,7 @@ SMALL_BUCKET, LEADER_ROUNDS, MAX_FREQUENT = 48, 8, 100_000
 #: Low hashes counted per flush for the frequent list, and the count in a flush that makes a shingle a candidate.
 FLUSH, FLUSH_COUNT = 2_000_000, 4
 #: Bits of the filter that keeps needless sets from being written (a fixed size; a full filter only costs time).
-FILTER_BITS = 1 << 24
+FILTER_BITS = 1 << 22
 
 
 def row_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -101,8 +101,8 @@ def measure(docs: DataFrame) -> DataFrame:
 def frequent_list(measured: DataFrame) -> np.ndarray:
     """The most frequent low shingles, MAX_FREQUENT at most, sorted."""
     each = measured.where("frequent IS NOT NULL").select(F.explode("frequent").alias("f")).groupBy("f.h").agg(F.sum("f.k").alias("k")).where(F.col("k") > SMALL_BUCKET // 2)
-    top = each.orderBy(F.desc("k"), "h").limit(MAX_FREQUENT).select("h").toPandas()
-    return np.sort(top["h"].to_numpy(np.int64).astype(np.uint64))
+    top = each.orderBy(F.desc("k"), "h").limit(MAX_FREQUENT).select("h").toArrow()
+    return np.sort(top["h"].to_numpy().astype(np.int64).view(np.uint64))
 
 
 def index_rows(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
@@ -175,9 +175,9 @@ def filter_of(numbers: DataFrame) -> np.ndarray:
         w = np.flatnonzero(out)
         yield pa.RecordBatch.from_arrays([pa.array(w, pa.int64()), pa.array(out[w].astype(np.int64))], ["w", "m"])
 
-    words = numbers.select("c").mapInArrow(run, "w bigint, m bigint").groupBy("w").agg(F.bit_or("m").alias("m")).toPandas()  # FILTER_BITS / 32 rows at most
+    words = numbers.select("c").mapInArrow(run, "w bigint, m bigint").groupBy("w").agg(F.bit_or("m").alias("m")).toArrow()  # FILTER_BITS / 32 rows at most
     out = np.zeros(FILTER_BITS // 32, np.uint32)
-    out[words["w"].to_numpy(np.int64)] = words["m"].to_numpy(np.int64).astype(np.uint32)
+    out[words["w"].to_numpy()] = words["m"].to_numpy().astype(np.uint32)
     return out
 
 
