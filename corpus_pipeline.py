@@ -31,7 +31,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked ones stays: the one with the smallest id (of equal rows, one)."""
     heads = jaccard_join.join(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(heads, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    own = docs.select(*COLUMNS)
+    # a row without an id is nobody's copy by id: it stays
+    return own.where("doc_id IS NOT NULL").join(heads, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS).unionByName(own.where("doc_id IS NULL"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
