@@ -442,3 +442,67 @@ def page_to_doc_mean(spark, sf_dir):
 
     scores = table(spark, sf_dir, "embeddings").select(F.expr("vec_id div 3").alias("doc_id"), (F.col("label") / 10).alias("score"))
     return models.document_scores(table(spark, sf_dir, "documents").select("doc_id"), scores).withColumn("probability", F.round("probability", 6))
+
+
+# ---------------------------------------------------------------- layout, models, streams
+
+
+def layout_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sixteen orders as a document, lineitem rows as text runs on pages of 100 rows."""
+    rows = table(spark, sf_dir, "lineitem")
+    return rows.selectExpr(
+        "string(l_orderkey div 64) AS doc_id", "int(l_orderkey % 64 div 16) + 1 AS page_no", "int(l_orderkey % 16 * 10 + l_linenumber) AS elem_seq", "'text' AS kind",
+        "int(l_orderkey % 16 * 40 + l_linenumber * 12) AS top", "int(50 + l_suppkey % 3 * 200) AS left", "int(100 + l_quantity) AS width", "10 AS height", "int(l_linenumber % 2) AS font",
+        "concat('run ', l_linestatus) AS text", "0 AS fmt",
+    )
+
+
+@query("layout_boxes")
+def layout_boxes(spark, sf_dir):
+    from quirelens.operators import layout
+
+    return layout.boxes(layout_elements(spark, sf_dir)).drop("text")
+
+
+@query("page_xml_elements", """SELECT kind, CAST(count(*) AS BIGINT) AS n, CAST(coalesce(sum(n_links), 0) AS BIGINT) AS links FROM (
+  SELECT 'page' AS kind, 0 AS n_links FROM part UNION ALL SELECT 'text', 1 FROM part UNION ALL SELECT 'fontspec', 0 FROM part) GROUP BY 1""")
+def page_xml_elements(spark, sf_dir):
+    from quirelens.sources import page_xml
+
+    body = F.concat(F.lit('<pdf2xml><page width="100" height="200"><fontspec id="0" size="'), F.col("p_size").cast("string"), F.lit('" family="Times" color="#000"/><text top="1" left="2" width="3" height="4" font="0">x <a href="u">'), F.lit("link</a> tail</text></page></pdf2xml>"))
+    docs = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("doc_id"), body.cast("binary").alias("xml"))
+    return page_xml.read(docs).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("n_links"), F.lit(0)).cast("long").alias("links"))
+
+
+@query("train_stack")
+def train_stack(spark, sf_dir):
+    """A stack over documents and labels: text fields and numeric features against the quality label; scores of all documents."""
+    from quirelens.operators import models
+
+    docs = table(spark, sf_dir, "documents")
+    rows = docs.select(
+        "doc_id", F.coalesce("text", F.lit("")).alias("text"), T.first_words(F.col("text")).alias("first_100_words"), F.coalesce("source", F.lit("none")).alias("folder_name"),
+        F.coalesce("n_chars", F.lit(0)).cast("double").alias("n_chars"), T.word_count(F.col("text")).cast("double").alias("n_words"), F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("double").alias("n_lines"),
+    )
+    train = rows.join(table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("double").alias("label")), "doc_id")
+    stack = models.Stack(("text", "first_100_words", "folder_name"), ["n_chars", "n_words", "n_lines"], trees=20).fit(train)
+    return stack.score(rows).select("doc_id", "probability", report.decide(F.col("probability")).alias("prediction"))
+
+
+@query("pseudo_label")
+def pseudo_label(spark, sf_dir):
+    """Page vectors with half of the labels hidden: probabilities of the model after one round of self-training."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    from quirelens.operators import models
+
+    vec = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("vector"), (F.col("label") % 2).alias("label"))
+    _, model = models.pseudo_labelled(vec.where("vec_id % 2 = 0"), vec.where("vec_id % 2 = 1"))
+    return model.transform(vec.withColumn("features", array_to_vector("vector"))).select("vec_id", vector_to_array("probability")[1].alias("score"))
+
+
+@query("stream_incremental", """SELECT event_type, count(*) AS n_docs, CAST(sum(CASE WHEN CAST(round(abs(value) * 100) AS BIGINT) % 1000 / 1000.0 >= 0.5 THEN 1 ELSE 0 END) AS BIGINT) AS n_positive FROM events GROUP BY 1""")
+def stream_incremental(spark, sf_dir):
+    from quirelens.streaming import incremental
+
+    return incremental.events_report(spark, sf_dir)

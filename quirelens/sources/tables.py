@@ -68,4 +68,4 @@ def append_vectors(df: DataFrame, path: str) -> None:
 
 def decoded(raw):
     """Text of bytes: UTF-8 where valid, else Latin-1."""
-    return F.when(F.is_valid_utf8(raw.cast("string")), raw.cast("string")).otherwise(F.decode(raw, F.lit("ISO-8859-1")))
+    return F.when(F.is_valid_utf8(raw.cast("string")), raw.cast("string")).otherwise(F.decode(raw, "ISO-8859-1"))
