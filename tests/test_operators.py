@@ -156,9 +156,9 @@ def test_stream_resumes(spark, tmp_path):
         source = spark.readStream.schema(schema).parquet(str(inbox))
         incremental.score_new(source, score, str(tmp_path / "out"), str(tmp_path / "check"))
 
-    spark.range(5).selectExpr("id AS doc_id", "0.6 AS probability").write.mode("append").parquet(str(inbox))
+    spark.range(5).selectExpr("id AS doc_id", "double(0.6) AS probability").write.mode("append").parquet(str(inbox))
     run()
-    spark.range(5, 8).selectExpr("id AS doc_id", "0.1 AS probability").write.mode("append").parquet(str(inbox))
+    spark.range(5, 8).selectExpr("id AS doc_id", "double(0.1) AS probability").write.mode("append").parquet(str(inbox))
     run()
     run()
     assert seen == [5, 3]
