@@ -7,7 +7,7 @@ links). Then:
 
 1. Buckets of the index. Classes that share a first shingle meet in its bucket. Small buckets give their pairs, pruned
    by length and by how many first shingles a pair shares at least.
-2. Groups. In large buckets classes are compared with one leader, another each round; verified links merge classes into
+2. Groups. In large buckets classes are compared with a few leaders, others each round; verified links merge classes into
    groups (components), so a crowd of near copies costs a few comparisons per member and round, not one per pair.
 3. Matrix. For what large buckets still hold in different groups, each group's union of shingles is stored as rows
    (shingle, group); a query's overlap with the union bounds its overlap with any member, and only groups that reach
@@ -27,8 +27,8 @@ from quirelens.llm import bytescan as bs
 from quirelens.runtime import cut_lineage
 
 SHINGLE, PERCENT = 5, 80
-#: Bucket size from which pairs are not written out; rounds of leaders; frequent shingles put last at most.
-SMALL_BUCKET, LEADER_ROUNDS, MAX_FREQUENT = 48, 8, 100_000
+#: Bucket size from which pairs are not written out; rounds of leaders and leaders a round; frequent shingles put last at most.
+SMALL_BUCKET, LEADER_ROUNDS, LEADERS, MAX_FREQUENT = 48, 4, 3, 100_000
 #: Low hashes counted per flush for the frequent list, and the count in a flush that makes a shingle a candidate.
 FLUSH, FLUSH_COUNT = 2_000_000, 4
 #: Bits of the filter that keeps needless sets from being written (a fixed size; a full filter only costs time).
@@ -189,18 +189,21 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(c, g) for every end of a link: g is the smallest node that links reach from c. Labels fall to the least neighbour's and then jump."""
+    """(c, g) for every end of a link: g is the smallest node that links reach from c.
+
+    Labels fall to the least neighbour's, twice in one job, then jump to that label's own label.
+    """
     edges = cut_lineage(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = edges.groupBy(F.col("a").alias("c")).agg(F.least(F.col("a"), F.min("b")).alias("g"))
     while True:
+        for _ in range(2):
+            near = edges.join(labels, F.col("b") == F.col("c")).groupBy("a").agg(F.min("g").alias("low"))
+            labels = labels.join(near, F.col("c") == F.col("a")).select("c", F.least("g", "low").alias("g"), F.col("g").alias("old"))
         labels = cut_lineage(labels)
-        near = edges.join(labels, F.col("b") == F.col("c")).groupBy("a").agg(F.min("g").alias("low"))
+        if labels.where("g <> old").isEmpty():
+            return labels.select("c", "g")
         jump = labels.select(F.col("c").alias("via"), F.col("g").alias("far"))
-        fallen = labels.join(near, F.col("c") == F.col("a")).join(jump, F.col("low") == F.col("via"), "left")
-        new = cut_lineage(fallen.select("c", F.least("g", "low", F.coalesce("far", "low")).alias("g"), F.col("g").alias("old")))
-        labels = new.select("c", "g")
-        if new.where("g <> old").isEmpty():
-            return labels
+        labels = labels.join(jump, F.col("g") == F.col("via"), "left").select("c", F.least("g", F.coalesce("far", "g")).alias("g"))
 
 
 def merge_groups(groups: DataFrame, links: DataFrame) -> DataFrame:
@@ -232,17 +235,15 @@ def groups_of(docs: DataFrame, measured: DataFrame) -> DataFrame:
     sets = cut_lineage(class_sets(docs, nodes))
     links = cut_lineage(verify(pairs, sets))
     groups = merge_groups(nodes.select("c", F.col("c").alias("g")), links)
-    idle = 0
     for turn in range(LEADER_ROUNDS):
         mixed = large.join(groups, "c")
-        spread = mixed.groupBy("k").agg((F.min("g") < F.max("g")).alias("open"), F.min_by(F.struct("c", "n", "g"), F.xxhash64("c", F.lit(turn))).alias("lead")).where("open").select("k", "lead")
+        leads = [F.min_by(F.struct("c", "n", "g"), F.xxhash64("c", F.lit(turn * LEADERS + k))) for k in range(LEADERS)]
+        spread = mixed.groupBy("k").agg((F.min("g") < F.max("g")).alias("open"), F.array_distinct(F.array(*leads)).alias("leads")).where("open").select("k", F.explode("leads").alias("lead"))
         asked = mixed.join(spread, "k").where((F.col("g") != F.col("lead.g")) & close(F.col("n"), F.col("lead.n"))).select(F.least("c", "lead.c").alias("a"), F.greatest("c", "lead.c").alias("b")).distinct()
         new = cut_lineage(verify(asked, sets))
-        idle = idle + 1 if new.isEmpty() else 0
-        if idle == 2:
+        if new.isEmpty():
             break
-        if not idle:
-            groups = merge_groups(groups, new)
+        groups = merge_groups(groups, new)
     more = cut_lineage(open_groups(large, groups, sets))
     return groups if more.isEmpty() else merge_groups(groups, more)
 
