@@ -58,7 +58,7 @@ def test_crowds(spark, small, monkeypatch):
     rows, i = [], 0
     for crowd in range(3):
         base = [f"w{crowd}x{k}" for k in range(60)]
-        for _ in range(70):
+        for _ in range(60):
             words = list(base)
             for _ in range(rng.randint(0, 3)):
                 words[rng.randrange(60)] = f"e{rng.randrange(10**6)}"
