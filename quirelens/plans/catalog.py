@@ -351,8 +351,8 @@ def run_gaps(spark, sf_dir):
     return pages.run_gaps(runs(spark, sf_dir)).select("doc_id", "seq", "gap")
 
 
-@query("merged_runs", f"""WITH m AS (SELECT *, "left" - lag("right") OVER w < 10 AND (count(*) OVER (PARTITION BY doc_id, page_no, "left") <= 2 OR fmt > 0 OR lag(fmt) OVER w > 0) AS j FROM {RUNS} WINDOW w AS (PARTITION BY doc_id, page_no, top ORDER BY "left", seq)),
-  n AS (SELECT *, CAST(sum(CASE WHEN j THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, page_no, top ORDER BY "left", seq ROWS UNBOUNDED PRECEDING) AS INT) AS line FROM m)
+@query("merged_runs", f"""WITH m AS (SELECT *, "left" - lag("right") OVER w < 10 AND (count(*) OVER (PARTITION BY doc_id, page_no, "left") <= 2 OR fmt > 0 OR lag(fmt) OVER w > 0) AS j FROM {RUNS} WINDOW w AS (PARTITION BY doc_id, page_no, top ORDER BY "left", seq, "right")),
+  n AS (SELECT *, CAST(sum(CASE WHEN j THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, page_no, top ORDER BY "left", seq, "right" ROWS UNBOUNDED PRECEDING) AS INT) AS line FROM m)
   SELECT doc_id, page_no, top, line, min("left") AS "left", max("right") AS "right", count(*) AS runs FROM n GROUP BY 1, 2, 3, 4""")
 def merged_runs(spark, sf_dir):
     return pages.merged_runs(runs(spark, sf_dir))
