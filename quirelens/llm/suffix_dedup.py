@@ -122,10 +122,10 @@ def stretches(joined: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            texts = batch.column(1).cast(pa.binary()).to_pylist()
+            ids = batch.column(1).to_pylist()
+            texts = batch.column(2).cast(pa.binary()).to_pylist()
             key, d, p, raw, size = [], [], [], [], 0
-            for i, text, items in zip(ids, texts, batch.column(2).to_pylist(), strict=True):
+            for i, text, items in zip(ids, texts, batch.column(3).to_pylist(), strict=True):
                 for item in items or ():
                     if item["p"] < 0 or item["h"] is None:
                         continue
@@ -149,7 +149,8 @@ def stretches(joined: DataFrame) -> DataFrame:
                     key, d, p, raw, size = [], [], [], [], 0
             yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(d, pa.int64()), pa.array(p, pa.int64()), pa.array(raw, pa.binary())], ["key", "d", "p", "raw"])
 
-    return joined.select("d", "text", "items").mapInArrow(run, "key bigint, d bigint, p bigint, raw binary")
+    # all columns of the join, so that its exchange of texts is the same as the last step's and is written once
+    return joined.select("doc_id", "d", "text", "items").mapInArrow(run, "key bigint, d bigint, p bigint, raw binary")
 
 
 def split_windows(keys: np.ndarray, d: np.ndarray, p: np.ndarray, raw: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
