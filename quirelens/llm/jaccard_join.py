@@ -65,6 +65,13 @@ def first_count(n):
     return n - -(-PERCENT * n // 100) + 1
 
 
+def shared_at_least(a: Column, b: Column) -> Column:
+    """Least number of first shingles that linked sets of sizes a and b share: of the set whose first shingles end
+    earlier, all common ones up to there are among them, and only those behind may be common besides."""
+    first = lambda n: n - F.ceil(PERCENT * n / 100 - 1e-9) + 1
+    return F.least(needed(a, b) - a + first(a), needed(a, b) - b + first(b))
+
+
 def close(a: Column, b: Column) -> Column:
     return 100 * F.least(a, b) >= PERCENT * F.greatest(a, b)
 
@@ -228,24 +235,27 @@ def groups_of(docs: DataFrame, measured: DataFrame) -> DataFrame:
     # the set whose first shingles end earlier has all common ones up to there among the shared; large buckets may hold more of them
     pruned = shared.join(crowd.select(F.col("c").alias("a"), F.col("extra").alias("ea")), "a", "left").join(crowd.select(F.col("c").alias("b"), F.col("extra").alias("eb")), "b", "left")
     spare = F.least(F.coalesce("ea", F.lit(0)), F.coalesce("eb", F.lit(0)))
-    first = lambda n: n - F.ceil(PERCENT * n / 100 - 1e-9) + 1
-    least = F.least(needed(F.col("nx"), F.col("ny")) - F.col("nx") + first(F.col("nx")), needed(F.col("nx"), F.col("ny")) - F.col("ny") + first(F.col("ny")))
-    pairs = cut_lineage(pruned.where(F.col("k") + spare >= least).select("a", "b"))
+    pairs = cut_lineage(pruned.where(F.col("k") + spare >= shared_at_least(F.col("nx"), F.col("ny"))).select("a", "b"))
     nodes = cut_lineage(pairs.select(F.col("a").alias("c")).unionByName(pairs.select(F.col("b").alias("c"))).unionByName(large.select("c")).distinct())
-    sets = cut_lineage(class_sets(docs, nodes))
+    # kept by class number, so that no verification moves the sets again; lost blocks are read from the texts once more
+    sets = class_sets(docs, nodes).persist()
     links = cut_lineage(verify(pairs, sets))
     groups = merge_groups(nodes.select("c", F.col("c").alias("g")), links)
     for turn in range(LEADER_ROUNDS):
         mixed = large.join(groups, "c")
         leads = [F.min_by(F.struct("c", "n", "g"), F.xxhash64("c", F.lit(turn * LEADERS + k))) for k in range(LEADERS)]
         spread = mixed.groupBy("k").agg((F.min("g") < F.max("g")).alias("open"), F.array_distinct(F.array(*leads)).alias("leads")).where("open").select("k", F.explode("leads").alias("lead"))
-        asked = mixed.join(spread, "k").where((F.col("g") != F.col("lead.g")) & close(F.col("n"), F.col("lead.n"))).select(F.least("c", "lead.c").alias("a"), F.greatest("c", "lead.c").alias("b")).distinct()
+        met_lead = mixed.join(spread, "k").where((F.col("g") != F.col("lead.g")) & close(F.col("n"), F.col("lead.n"))).groupBy("c", "n", "lead").agg(F.count(F.lit(1)).alias("shared"))
+        # a leader leads in most of the buckets that a near copy shares with it; whoever is passed over here is asked in step 3
+        asked = met_lead.where(F.col("shared") >= shared_at_least(F.col("n"), F.col("lead.n"))).select(F.least("c", "lead.c").alias("a"), F.greatest("c", "lead.c").alias("b")).distinct()
         new = cut_lineage(verify(asked, sets))
         if new.isEmpty():
             break
         groups = merge_groups(groups, new)
     more = cut_lineage(open_groups(large, groups, sets))
-    return groups if more.isEmpty() else merge_groups(groups, more)
+    groups = groups if more.isEmpty() else merge_groups(groups, more)
+    sets.unpersist()
+    return groups
 
 
 def open_groups(large: DataFrame, groups: DataFrame, sets: DataFrame) -> DataFrame:
@@ -255,16 +265,24 @@ def open_groups(large: DataFrame, groups: DataFrame, sets: DataFrame) -> DataFra
     spans = members.groupBy("g").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.count(F.lit(1)).alias("members"))
     inside = large.join(groups, "c").select("k", "c", "n", "g")
     present = inside.select("k", F.col("g").alias("other")).distinct()
-    asks = inside.join(present, "k").where("g <> other").select("c", "n", "g", "other").distinct().join(spans.withColumnRenamed("g", "other"), "other")
+    # pairs that share a small bucket too were judged there; all other shared first shingles are counted here
+    asks = inside.join(present, "k").where("g <> other").groupBy("c", "n", "g", "other").agg(F.count(F.lit(1)).alias("shared")).join(spans.withColumnRenamed("g", "other"), "other")
+    low = F.greatest(F.col("least"), F.ceil(PERCENT * F.col("n") / 100 - 1e-9))
+    high = F.least(F.col("most"), F.floor(100 * F.col("n") / PERCENT + 1e-9))
+    first = lambda n: n - F.ceil(PERCENT * n / 100 - 1e-9) + 1
+    # over the sizes in the group: the first bound grows with the size, the second falls (up to rounding, hence 2)
+    bound = F.least(needed(F.col("n"), low) - F.col("n") + first(F.col("n")), needed(F.col("n"), high) - high + first(high) - 2)
+    asks = asks.where((low <= high) & (F.col("shared") >= bound))
     # the smaller group asks the larger one; equal ones by number
     own = spans.select(F.col("g"), F.col("members").alias("mine"))
-    asks = asks.join(own, "g").where("mine < members OR (mine = members AND g < other)").where((100 * F.col("most") >= PERCENT * F.col("n")) & (PERCENT * F.col("least") <= 100 * F.col("n")))
-    asks = cut_lineage(asks.select("c", "n", "other", "least"))
-    matrix = asks.select(F.col("other").alias("g")).distinct().join(members, "g").join(sets, "c").select("g", F.explode("hs").alias("h")).distinct()
-    told = asks.join(sets, "c").select("c", "n", "other", "least", F.explode("hs").alias("h"))
+    asks = cut_lineage(asks.join(own, "g").where("mine < members OR (mine = members AND g < other)").select("c", "n", "other", "least", "members"))
+    wide = asks.where("members > 1")
+    matrix = wide.select(F.col("other").alias("g")).distinct().join(members, "g").join(sets, "c").select("g", F.explode("hs").alias("h")).distinct()
+    told = wide.join(sets, "c").select("c", "n", "other", "least", F.explode("hs").alias("h"))
     overlap = told.join(matrix.withColumnRenamed("g", "other"), ["other", "h"]).groupBy("c", "n", "other", "least").agg(F.count(F.lit(1)).alias("common"))
     size = F.greatest(F.col("least"), F.ceil(PERCENT * F.col("n") / 100 - 1e-9))
-    opened = overlap.where(F.col("common") >= needed(F.col("n"), size)).select("c", "n", "other")
+    # a group of one is its own union: comparing is opening
+    opened = overlap.where(F.col("common") >= needed(F.col("n"), size)).select("c", "n", "other").unionByName(asks.where("members = 1").select("c", "n", "other"))
     pairs = opened.join(members.select(F.col("c").alias("y"), F.col("g").alias("other"), F.col("n").alias("ny")), "other").where(close(F.col("n"), F.col("ny"))).select(F.least("c", "y").alias("a"), F.greatest("c", "y").alias("b")).distinct()
     return verify(pairs, sets)
 
