@@ -50,7 +50,7 @@ def kept_suffixes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ..
     if not len(starts):
         return none
     windows = sliding_window_view(gram, WIDTH - GRAM + 1)
-    chosen = np.concatenate([windows[starts[k : k + 100_000]].argmin(axis=1) + starts[k : k + 100_000] for k in range(0, len(starts), 100_000)])
+    chosen = np.concatenate([windows[starts[k : k + 50_000]].argmin(axis=1) + starts[k : k + 50_000] for k in range(0, len(starts), 50_000)])
     new = np.ones(len(starts), bool)
     new[1:] = (chosen[1:] != chosen[:-1]) | (row[starts[1:]] != row[starts[:-1]])
     head = np.flatnonzero(new)
@@ -94,7 +94,7 @@ def suffix_rows(docs: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for lo, hi, data, offsets in bs.text_steps(batch, "text", 4_000_000):
+            for lo, hi, data, offsets in bs.text_steps(batch, "text", 1_000_000):
                 row, first, count, place, h, seg = kept_suffixes(data, offsets)
                 d = ids[lo:hi][row] if len(row) else np.zeros(0, np.int64)
                 order = np.lexsort((first, d, seg, h))
