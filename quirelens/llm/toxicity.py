@@ -22,9 +22,9 @@ from pyspark.sql import functions as F
 
 from quirelens.llm import bytescan as bs
 
-MAX_DOCS, MAX_WINDOWS, CHAIN = 5_000, 24_000, 64
+MAX_DOCS, MAX_WINDOWS, CHAIN = 5_000, 16_000, 64
 DIMS = 1 << 17
-MIN_SUPPORT, MIN_PRECISION, MAX_TERMS, CANDIDATES = 0.004, 0.97, 300, 4_000
+MIN_SUPPORT, MIN_PRECISION, MAX_TERMS, CANDIDATES = 0.004, 0.97, 300, 2_000
 STARTS = (4, 5, 6, 7, 8)
 #: Terms that each toxic text of the sample is to be explained by.
 COVER = 3
@@ -83,9 +83,9 @@ def learn_terms(sample: DataFrame, totals: dict[int, int]) -> list[str]:
     stats = each.groupBy("term").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
     good = stats.where((F.col("t") >= max(3, int(MIN_SUPPORT * n1))) & (F.col("t") / n1 / (F.col("t") / n1 + rate(F.col("c"), n0)) >= MIN_PRECISION))
     top = good.orderBy(F.desc("t"), F.desc(F.length("term")), "term").limit(CANDIDATES).select("term")
-    postings = each.where("toxic = 1").join(F.broadcast(top), "term").select("term", "id").collect()  # at most CANDIDATES terms of MAX_DOCS texts
+    postings = each.where("toxic = 1").join(F.broadcast(top), "term").select("term", "id").toArrow()  # at most CANDIDATES terms of MAX_DOCS texts
     by: dict[str, set[int]] = {}
-    for term, i in postings:
+    for term, i in zip(postings["term"].to_pylist(), postings["id"].to_pylist(), strict=True):
         by.setdefault(term, set()).add(i)
     kept: list[str] = []
     lacks = {i: COVER for ids in by.values() for i in ids}
@@ -216,7 +216,7 @@ def collect_windows(sample: DataFrame, triggers: list[str]) -> list[list[str]]:
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(out, pa.list_(pa.string()))], ["k", "words"])
 
     windows = sample.select("id", "text").mapInArrow(run, "k bigint, words array<string>")
-    return [list(r[0]) for r in windows.orderBy("k").limit(MAX_WINDOWS).select("words").collect()]
+    return windows.orderBy("k").limit(MAX_WINDOWS).select("words").toArrow()["words"].to_pylist()
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Crf:
