@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Words that a worker remembers before it starts anew.
-MEMORY_WORDS = 300_000
+MEMORY_WORDS = 200_000
 #: Rows that one output batch holds at most, and bytes of text.
 OUT_ROWS, OUT_BYTES = 2_000, 4_000_000
 NEVER = 1 << 40
