@@ -19,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words that a worker remembers before it starts anew.
-MEMORY_WORDS = 200_000
+#: Runs that a worker remembers before it starts anew; it forgets them at the end of a task too.
+MEMORY_WORDS = 60_000
 #: Rows that one output batch holds at most, and bytes of text.
 OUT_ROWS, OUT_BYTES = 2_000, 4_000_000
 NEVER = 1 << 40
@@ -325,13 +325,16 @@ class BpeModel:
         """Ids of whole texts, packed as little-endian unsigned 32-bit integers."""
         split = [text.split() for text in texts]
         if len(self.memory) > MEMORY_WORDS:
-            self.memory.clear()
-            self.words.clear()
+            self.forget()
         new = list({r for runs in split for r in runs}.difference(self.memory))
         if new:
             self.learn(new)
         return [b"".join(map(self.memory.__getitem__, runs)) for runs in split]
 
+    def forget(self) -> None:
+        self.memory.clear()
+        self.words.clear()
+
     def decode(self, packed: bytes) -> str:
         """Token strings joined by blanks: what a tokenizer file without decoder gives."""
         return " ".join(map(self.tokens.__getitem__, np.frombuffer(packed, "<u4").tolist()))
@@ -377,6 +380,7 @@ def encode(df: DataFrame, path: str, text: str = "text", out: str = "ids") -> Da
                 texts = b.column(b.schema.get_field_index(text)).cast(pa.binary()).to_pylist()
                 ids = pa.array(model.encode([t or b"" for t in texts]), pa.binary())
                 yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in keep), ids], [*keep, out])
+        model.forget()  # the worker may serve other operators next
 
     from pyspark.sql.types import BinaryType, StructField, StructType
 
