@@ -1,7 +1,8 @@
 """Removal of repeated byte strings by bucket-pointer refinement over a sparse set of suffixes.
 
 Every byte that a ``WIDTH``-byte string covers which also starts earlier (smaller doc_id, or same document and earlier
-start) is removed. Refinement keeps the suffixes in buckets and splits buckets by the bucket numbers at later offsets:
+start) is removed. A document is a distinct (doc_id, text), known by (d, t): the id and a hash that also tells texts of one id
+apart. Equal rows are one document, so their equal suffixes are one suffix and never repeat each other. Refinement keeps the suffixes in buckets and splits buckets by the bucket numbers at later offsets:
 
 1. Initial buckets. Of each WIDTH-byte window only one suffix is kept, the one with the smallest q-gram hash in it
    (leftmost of equal ones). Equal windows keep the same suffix, so no match is lost, and about 3 % of the suffixes
@@ -60,20 +61,29 @@ def kept_suffixes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ..
     return row[first], first - offsets[row[first]], count, suffix - first, gram[suffix], stretch
 
 
-def merged(owner: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Union of intervals per owner."""
-    if not len(owner):
-        return owner, start, end
-    order = np.lexsort((start, owner))
-    owner, start, end = owner[order], start[order], end[order]
-    # running maximum of ends inside an owner: lift each owner above the one before
-    lift = (np.cumsum(np.append(0, owner[1:] != owner[:-1]))).astype(np.int64) << 40
+def merged(d: np.ndarray, t: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Union of intervals per document (d, t)."""
+    if not len(d):
+        return d, t, start, end
+    order = np.lexsort((start, t, d))
+    d, t, start, end = d[order], t[order], start[order], end[order]
+    # running maximum of ends inside a document: lift each document above the one before
+    lift = (np.cumsum(np.append(0, (d[1:] != d[:-1]) | (t[1:] != t[:-1])))).astype(np.int64) << 40
     reach = np.maximum.accumulate(end + lift)
-    new = np.ones(len(owner), bool)
+    new = np.ones(len(d), bool)
     new[1:] = start[1:] + lift[1:] > reach[:-1]
     head = np.flatnonzero(new)
-    last = np.append(head[1:] - 1, len(owner) - 1)
-    return owner[head], start[head], reach[last] - lift[last]
+    last = np.append(head[1:] - 1, len(d) - 1)
+    return d[head], t[head], start[head], reach[last] - lift[last]
+
+
+def once(*columns: np.ndarray) -> np.ndarray:
+    """Places of the first of each run of equal rows."""
+    new = np.zeros(len(columns[0]), bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(new)
 
 
 def pack_suffix(first, place, count):
@@ -86,47 +96,62 @@ def pack_cover(start, end):
 
 
 def suffix_rows(docs: DataFrame) -> DataFrame:
-    """(h: bucket, seg: stretch number, d: document, p: packed place) of the kept suffixes, repeats inside a batch taken out.
+    """(h: bucket, seg: stretch number, d, t: document, p: packed place) of the kept suffixes, repeats inside a batch taken out.
 
-    Of suffixes of one batch with equal numbers only the first goes on; the others are written as known repeats.
+    Of suffixes of one batch with equal numbers only the first goes on; the others are written as known repeats. Suffixes
+    that equal rows share are written once.
     """
 
     def run(batches):
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            ids, hashes = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
             for lo, hi, data, offsets in bs.text_steps(batch, "text", 1_000_000):
                 row, first, count, place, h, seg = kept_suffixes(data, offsets)
-                d = ids[lo:hi][row] if len(row) else np.zeros(0, np.int64)
-                order = np.lexsort((first, d, seg, h))
-                row, first, count, place, h, seg, d = (x[order] for x in (row, first, count, place, h, seg, d))
+                d, t = (x[lo:hi][row] if len(row) else np.zeros(0, np.int64) for x in (ids, hashes))
+                order = np.lexsort((first, t, d, seg, h))
+                order = order[once(*(x[order] for x in (first, t, d, seg, h)))]
+                first, count, place, h, seg, d, t = (x[order] for x in (first, count, place, h, seg, d, t))
                 same = np.zeros(len(h), bool)
                 same[1:] = (h[1:] == h[:-1]) & (seg[1:] == seg[:-1])
-                crow, cs, ce = merged(d[same], first[same], first[same] + count[same] - 1 + WIDTH)
+                cd, ct, cs, ce = merged(d[same], t[same], first[same], first[same] + count[same] - 1 + WIDTH)
                 go = ~same
-                fill = bs.mix(crow.astype(np.uint64) * np.uint64(31) + cs.astype(np.uint64)).view(np.int64)
+                fill = bs.mix(ct.astype(np.uint64) * np.uint64(31) + cs.astype(np.uint64)).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.concatenate([h[go].view(np.int64), fill])),
-                        pa.array(np.concatenate([seg[go].view(np.int64), np.zeros(len(crow), np.int64)])),
-                        pa.array(np.concatenate([d[go], crow]).astype(np.int64)),
+                        pa.array(np.concatenate([seg[go].view(np.int64), np.zeros(len(cd), np.int64)])),
+                        pa.array(np.concatenate([d[go], cd]).astype(np.int64)),
+                        pa.array(np.concatenate([t[go], ct]).astype(np.int64)),
                         pa.array(np.concatenate([pack_suffix(first[go], place[go], count[go]), pack_cover(cs, ce)])),
                     ],
-                    ["h", "seg", "d", "p"],
+                    ["h", "seg", "d", "t", "p"],
                 )
 
-    return docs.select("d", "text").mapInArrow(run, "h bigint, seg bigint, d bigint, p bigint")
+    return docs.select("d", "t", "text").mapInArrow(run, "h bigint, seg bigint, d bigint, t bigint, p bigint")
 
 
 def stretches(joined: DataFrame) -> DataFrame:
-    """(key, d, p, bytes) for step 3: the stretch of each open suffix, or, for a large bucket, its single windows (bytes null)."""
+    """(key, d, t, p, bytes) for step 3: the stretch of each open suffix, or, for a large bucket, its single windows (bytes null).
+
+    Equal rows of a batch give theirs once; step 3 passes over what is left of them.
+    """
+
+    names = ["key", "d", "t", "p", "raw"]
+
+    def batch_of(key, d, t, p, raw):
+        return pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in (key, d, t, p)), pa.array(raw, pa.binary())], names)
 
     def run(batches):
         for batch in batches:
-            ids = batch.column(1).to_pylist()
-            texts = batch.column(2).cast(pa.binary()).to_pylist()
-            key, d, p, raw, size = [], [], [], [], 0
-            for i, text, items in zip(ids, texts, batch.column(3).to_pylist(), strict=True):
-                for item in items or ():
+            own = zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)
+            texts = batch.column(3).cast(pa.binary()).to_pylist()
+            seen = set()
+            key, d, t, p, raw, size = [], [], [], [], [], 0
+            for i, text, items in zip(own, texts, batch.column(4).to_pylist(), strict=True):
+                if not items or i in seen:
+                    continue
+                seen.add(i)
+                for item in items:
                     if item["p"] < 0 or item["h"] is None:
                         continue
                     first, count = item["p"] >> 16, item["p"] & 255
@@ -135,28 +160,30 @@ def stretches(joined: DataFrame) -> DataFrame:
                         prefix = bs.prefix_hash(np.frombuffer(part, np.uint8))
                         s = np.arange(len(part) - WIDTH + 1)
                         key += bs.span_hash(prefix, s, s + WIDTH).view(np.int64).tolist()
-                        d += [i] * len(s)
+                        d += [i[0]] * len(s)
+                        t += [i[1]] * len(s)
                         p += (first + s).tolist()
                         raw += [None] * len(s)
                     else:
                         key.append(item["h"])
-                        d.append(i)
+                        d.append(i[0])
+                        t.append(i[1])
                         p.append(item["p"])
                         raw.append(part)
                     size += len(part)
                 if size > STEP:
-                    yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(d, pa.int64()), pa.array(p, pa.int64()), pa.array(raw, pa.binary())], ["key", "d", "p", "raw"])
-                    key, d, p, raw, size = [], [], [], [], 0
-            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(d, pa.int64()), pa.array(p, pa.int64()), pa.array(raw, pa.binary())], ["key", "d", "p", "raw"])
+                    yield batch_of(key, d, t, p, raw)
+                    key, d, t, p, raw, size = [], [], [], [], [], 0
+            yield batch_of(key, d, t, p, raw)
 
     # all columns of the join, so that its exchange of texts is the same as the last step's and is written once
-    return joined.select("doc_id", "d", "text", "items").mapInArrow(run, "key bigint, d bigint, p bigint, raw binary")
+    return joined.select("doc_id", "d", "t", "text", "items").mapInArrow(run, "key bigint, d bigint, t bigint, p bigint, raw binary")
 
 
-def split_windows(keys: np.ndarray, d: np.ndarray, p: np.ndarray, raw: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Step 3 for whole buckets: (d, start, end) of repeated windows, merged."""
+def split_windows(keys: np.ndarray, d: np.ndarray, t: np.ndarray, p: np.ndarray, raw: list) -> tuple[np.ndarray, ...]:
+    """Step 3 for whole buckets: (d, t, start, end) of repeated windows, merged."""
     whole = np.array([x is not None for x in raw], bool)
-    hashes, owners, starts = [keys[~whole].view(np.uint64)], [d[~whole]], [p[~whole]]
+    hashes, ids, texts, starts = [keys[~whole].view(np.uint64)], [d[~whole]], [t[~whole]], [p[~whole]]
     if whole.any():
         parts = [x for x in raw if x is not None]
         size = np.array([len(x) for x in parts], np.int64)
@@ -167,18 +194,20 @@ def split_windows(keys: np.ndarray, d: np.ndarray, p: np.ndarray, raw: list) ->
         step = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
         s = at[which] + step
         hashes.append(bs.span_hash(bs.prefix_hash(data), s, s + WIDTH))
-        owners.append(d[whole][which])
+        ids.append(d[whole][which])
+        texts.append(t[whole][which])
         starts.append((p[whole] >> 16)[which] + step)
-    hashes, owners, starts = map(np.concatenate, (hashes, owners, starts))
-    order = np.lexsort((starts, owners, hashes))
-    hashes, owners, starts = hashes[order], owners[order], starts[order]
+    rows = [np.concatenate(x) for x in (starts, texts, ids, hashes)]
+    order = np.lexsort(rows)
+    order = order[once(*(x[order] for x in rows))]
+    starts, texts, ids, hashes = (x[order] for x in rows)
     again = np.zeros(len(hashes), bool)
     again[1:] = hashes[1:] == hashes[:-1]
-    return merged(owners[again], starts[again], starts[again] + WIDTH)
+    return merged(ids[again], texts[again], starts[again], starts[again] + WIDTH)
 
 
 def repeated_windows(rows: DataFrame) -> DataFrame:
-    """(d, s, e) from the rows of :func:`stretches`, bucket by bucket."""
+    """(d, t, s, e) from the rows of :func:`stretches`, bucket by bucket."""
 
     def run(batches):
         held: list[tuple] = []
@@ -186,52 +215,62 @@ def repeated_windows(rows: DataFrame) -> DataFrame:
         def flush(upto: int | None):
             """Hand over the buckets that are complete: all rows, or those before the last key."""
             nonlocal held
-            keys = np.concatenate([x[0] for x in held])
-            d, p = np.concatenate([x[1] for x in held]), np.concatenate([x[2] for x in held])
-            raw = [y for x in held for y in x[3]]
+            keys, d, t, p = (np.concatenate([x[k] for x in held]) for k in range(4))
+            raw = [y for x in held for y in x[4]]
             cut = len(keys) if upto is None else int(np.searchsorted(keys, keys[-1], side="left"))
-            held = [(keys[cut:], d[cut:], p[cut:], raw[cut:])]
+            held = [(keys[cut:], d[cut:], t[cut:], p[cut:], raw[cut:])]
             if upto is not None and cut == 0 and raw and raw[0] is None:
-                # a very long run of one window: its first row stays, the others are repeats already
-                held = [(keys[:1], d[:1], p[:1], raw[:1])]
-                return merged(d[1:], p[1:], p[1:] + WIDTH)
-            return split_windows(keys[:cut], d[:cut], p[:cut], raw[:cut])
+                # a very long run of one window: its first row stays, the others that are not that window again are repeats already
+                held = [(keys[:1], d[:1], t[:1], p[:1], raw[:1])]
+                again = (d != d[0]) | (t != t[0]) | (p != p[0])
+                return merged(d[again], t[again], p[again], p[again] + WIDTH)
+            return split_windows(keys[:cut], d[:cut], t[:cut], p[:cut], raw[:cut])
+
+        def batch_of(found):
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["d", "t", "s", "e"])
 
         size = 0
         for batch in batches:
-            raw = batch.column(3).to_pylist()
-            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy(), raw))
+            raw = batch.column(4).to_pylist()
+            held.append((*(batch.column(k).to_numpy() for k in range(4)), raw))
             size += sum(len(x) + 32 if x else 32 for x in raw)
             if size > STEP:
-                d, s, e = flush(1)
-                size = sum(len(x) + 32 if x else 32 for x in held[0][3])
-                yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(s), pa.array(e)], ["d", "s", "e"])
+                found = flush(1)
+                size = sum(len(x) + 32 if x else 32 for x in held[0][4])
+                yield batch_of(found)
         if held:
-            d, s, e = flush(None)
-            yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(s), pa.array(e)], ["d", "s", "e"])
+            yield batch_of(flush(None))
+
+    return rows.repartition("key").sortWithinPartitions("key", "d", "t", "p").mapInArrow(run, "d bigint, t bigint, s bigint, e bigint")
+
 
-    return rows.repartition("key").sortWithinPartitions("key", "d", "p").mapInArrow(run, "d bigint, s bigint, e bigint")
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, d, t, text: d puts documents in the order of their ids, t tells the texts of one id apart; below 0 without an id."""
+    text = F.coalesce("text", F.lit(""))
+    own = F.shiftrightunsigned(F.xxhash64(text, F.col("doc_id")), 1)
+    return docs.select("doc_id", F.coalesce("doc_id", F.lit(FIRST)).cast("long").alias("d"), F.when(F.col("doc_id").isNull(), -1 - own).otherwise(own).alias("t"), text.alias("text"))
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (binary) of every row of ``docs`` (doc_id, text).
 
-    Null texts are empty; a null doc_id comes before all others. doc_id names a document: rows that repeat an id with
-    the same text are that document again and get its result. Columns beyond the two are ignored. An empty table
-    gives an empty table.
+    Null texts are empty; a null doc_id comes before all others. Rows that repeat an id with the same text are one
+    document and get its result; different texts of one id, or without an id, are documents of their own, in the order of
+    their hashes. Columns beyond the two are ignored. An empty table gives an empty table.
     """
-    own = docs.select("doc_id", F.coalesce("doc_id", F.lit(FIRST)).cast("long").alias("d"), F.coalesce("text", F.lit("")).alias("text"))
+    own = keyed(docs)
     rows = suffix_rows(own).repartition("h")
-    by = Window.partitionBy("h").orderBy("seg", "d", "p")
+    by = Window.partitionBy("h").orderBy("seg", "d", "t", "p")
     marked = rows.withColumn("head", (F.lag("seg").over(by).isNull() | (F.lag("seg").over(by) != F.col("seg"))).cast("int"))
-    marked = marked.withColumn("numbers", F.sum("head").over(Window.partitionBy("h")))
+    marked = marked.withColumn("again", F.coalesce(F.lag(F.struct("seg", "d", "t", "p")).over(by) == F.struct("seg", "d", "t", "p"), F.lit(False)))
+    marked = marked.withColumn("numbers", F.sum("head").over(Window.partitionBy("h"))).where("NOT again")
     cover = F.when(F.col("p") < 0, F.col("p")).when(F.col("head") == 0, -1 - (F.shiftleft(F.shiftright("p", 16), 31) + F.col("p").bitwiseAND(255) - 1 + WIDTH))
     open_ = (F.col("p") >= 0) & (F.col("head") == 1) & (F.col("numbers") > 1)
-    items = marked.where((F.col("p") < 0) | (F.col("head") == 0) | open_).select("d", F.struct(F.when(cover.isNull(), F.col("h")).alias("h"), F.coalesce(cover, F.col("p")).alias("p"), (F.col("numbers") > MAX_BUCKET).alias("big")).alias("item"))
-    per_doc = items.groupBy("d").agg(F.collect_set("item").alias("items"))  # at most a text's length
-    joined = own.join(per_doc, "d", "left")
-    late = repeated_windows(stretches(joined)).groupBy(F.col("d").alias("_d")).agg(F.collect_list(F.struct("s", "e")).alias("late"))
-    both = joined.join(late, F.col("d") == F.col("_d"), "left").select("doc_id", "text", F.transform(F.filter("items", lambda x: x["p"] < 0), lambda x: x["p"]).alias("covers"), "late")
+    items = marked.where((F.col("p") < 0) | (F.col("head") == 0) | open_).select("d", "t", F.struct(F.when(cover.isNull(), F.col("h")).alias("h"), F.coalesce(cover, F.col("p")).alias("p"), (F.col("numbers") > MAX_BUCKET).alias("big")).alias("item"))
+    per_doc = items.groupBy("d", "t").agg(F.collect_set("item").alias("items"))  # at most a text's length
+    joined = own.join(per_doc, ["d", "t"], "left").select("doc_id", "d", "t", "text", "items")
+    late = repeated_windows(stretches(joined)).groupBy(F.col("d").alias("_d"), F.col("t").alias("_t")).agg(F.collect_list(F.struct("s", "e")).alias("late"))
+    both = joined.join(late, (F.col("d") == F.col("_d")) & (F.col("t") == F.col("_t")), "left").select("doc_id", "text", F.transform(F.filter("items", lambda x: x["p"] < 0), lambda x: x["p"]).alias("covers"), "late")
     id_field = docs.schema["doc_id"]
 
     def run(batches):
@@ -242,7 +281,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 packed = np.array([-1 - c for c in covers or ()], np.int64)
                 s = np.concatenate([packed >> 31, np.array([x["s"] for x in late or ()], np.int64)])
                 e = np.concatenate([(packed >> 31) + (packed & ((1 << 31) - 1)), np.array([x["e"] for x in late or ()], np.int64)])
-                _, s, e = merged(np.zeros(len(s), np.int64), s, e)
+                _, _, s, e = merged(np.zeros(len(s), np.int64), np.zeros(len(s), np.int64), s, e)
                 e = np.minimum(e, len(text))
                 ok = s < e
                 s, e = s[ok].tolist(), e[ok].tolist()

@@ -62,3 +62,24 @@ def test_edges(spark):
     got = sorted((r.doc_id or -1, r.n_removed) for r in sd.digest(docs).collect())
     assert got == [(-1, 149), (3, 150), (3, 150), (4, 149)]
     assert sd.digest(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("big", [2_000, 1])
+def test_equal_rows_and_shared_ids(spark, big, monkeypatch):
+    """Equal rows are one document; different texts of one id, or without an id, are several."""
+    monkeypatch.setattr(sd, "MAX_BUCKET", big)
+    monkeypatch.setattr(sd, "STEP", 20_000)
+    rng = random.Random(5)
+    noise = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
+    a, b, c, d, e = (noise(300) for _ in range(5))
+    passage = noise(400)
+    parts = {20 + k: noise(30) + passage[rng.randint(0, 150) : rng.randint(260, 400)] + noise(30) for k in range(12)}
+    rows = [(5, a), (None, b), (None, c), (-(1 << 63), b), (7, d), (7, e), (8, a + "!"), *parts.items()]
+    docs = spark.createDataFrame(rows * 3, "doc_id bigint, text string")
+    want = {i: brute({5: a.encode(), 8: (a + "!").encode(), **{k: t.encode() for k, t in parts.items()}})[i] for i in (5, 8, *parts)}
+    alone = lambda t: (len(t), 0, 0, hashlib.sha256(t.encode()).hexdigest())
+    empty = hashlib.sha256(b"").hexdigest()
+    expected = [(None, *alone(b)), (None, *alone(c)), (-(1 << 63), 300, 300, 1, empty), (7, *alone(d)), (7, *alone(e)), *((i, *w) for i, w in want.items())]
+    for n in (1, 7):
+        got = [tuple(r) for r in sd.digest(docs.repartition(n)).collect()]
+        assert sorted(got, key=str) == sorted(expected * 3, key=str)
