@@ -22,8 +22,6 @@ NAMES = [part.strip().split(" ")[0] for part in ELEMENTS.split(",")]
 FORMATS = {"b": 1, "a": 2, "i": 3}
 MIXED = 4
 _ILLEGAL = re.compile("[^\t\n\r\x20-\ud7ff\ue000-\ufffd\U00010000-\U0010ffff]")
-#: Lines that are dropped one after another to get a parse.
-MAX_REPAIRS = 50
 
 
 def decode(raw: bytes) -> str:
@@ -34,9 +32,9 @@ def decode(raw: bytes) -> str:
 
 
 def parse(text: str) -> ET.Element | None:
-    """Element tree after replacing illegal characters and dropping lines that do not fit."""
+    """Element tree after replacing illegal characters and dropping, one after another, all lines that do not fit."""
     lines = _ILLEGAL.sub(" ", text).split("\n")
-    for _ in range(MAX_REPAIRS):
+    while True:  # every turn blanks a line that was not blank
         try:
             return ET.fromstring("\n".join(lines))
         except ET.ParseError as e:
@@ -44,7 +42,6 @@ def parse(text: str) -> ET.Element | None:
             if not 0 <= at < len(lines) or not lines[at].strip():
                 return None
             lines[at] = ""
-    return None
 
 
 def _int(node: ET.Element, name: str) -> int | None:
@@ -85,13 +82,15 @@ def elements(doc_id: str, raw: bytes | None) -> list[dict]:
     tree = parse(text)
     if tree is None:
         return [blank | {"error_code": "xml_error"}]
-    out, seq = [], 0
+    out, seq, seen = [], 0, set()
     for outline in tree.iter("outline"):
+        if outline in seen:  # inside an outline that was read
+            continue
         for node in outline.iter():
+            seen.add(node)
             if node.tag in ("outline", "item"):
                 out.append(blank | {"kind": node.tag, "elem_seq": seq, "text": node.text})
                 seq += 1
-        break
     for no, page in enumerate(tree.iter("page"), 1):
         at = blank | {"page_no": no, "page_width": _int(page, "width"), "page_height": _int(page, "height")}
         out.append(at | {"kind": "page", "elem_seq": seq})

@@ -17,3 +17,13 @@ def test_feature_table(spark):
     assert (a.mean_bold_words_pp, a.first_100_words.split()[0], a.bold_text, a.file_size) == (1, "two", "© bold", -1)
     assert a.mean_free_space_pp == (120000 - 100 - 200 * 46 - 81) / 120000
     assert b.text == b.first_100_words == "pw_protected" and b.count_pages == 0 and len(b.numeric) == 41
+
+
+def test_page_xml_many_bad_lines_and_outlines():
+    bad = "\n".join(f'<text top="{k}"><b>x</text>' for k in range(60))
+    good = '<text top="99" left="1" width="2" height="3" font="0">kept</text>'
+    xml = f"<pdf2xml>\n<page number=\"1\">\n{bad}\n{good}\n</page>\n<outline>\n<item>a</item>\n<outline>\n<item>b</item>\n</outline>\n</outline>\n<outline>\n<item>c</item>\n</outline>\n</pdf2xml>"
+    got = page_xml.elements("d", xml.encode())
+    assert [r["text"] for r in got if r["kind"] == "text"] == ["kept"] and sum(r["kind"] == "page" for r in got) == 1
+    assert [r["text"] for r in got if r["kind"] == "item"] == ["a", "b", "c"] and sum(r["kind"] == "outline" for r in got) == 3
+    assert page_xml.elements("d", b"<pdf2xml>\n<page>\n")[0]["error_code"] == "xml_error"
