@@ -42,3 +42,21 @@ def test_long_conversations():
     assert chat.spans_by_windows(turns, chat.render) is not None
     numbered = lambda turns: f"{len(turns)} turns" + chat.render(turns)
     assert chat.spans(turns[:60], numbered)[2] and chat.spans(turns[:60], numbered) == chat.spans_by_prefixes(turns[:60], numbered)
+
+
+def test_a_rewrite_at_one_prefix_is_found():
+    def moved(turns):
+        """The system text goes behind a last tool turn."""
+        if turns[-1][0] != "tool":
+            return chat.render(turns)
+        return chat.render([t for t in turns if t[0] != "system"] + [t for t in turns if t[0] == "system"])
+
+    turns = [("system", "rules"), *(("tool" if k == 30 else "user" if k % 2 else "assistant", f"said {k}") for k in range(1, 100))]
+    found = chat.spans(turns, moved)
+    assert found[2] and found == chat.spans_by_prefixes(turns, moved)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text("ab", max_size=20), st.text("ab", max_size=20))
+def test_common_prefix(a, b):
+    assert chat._common(a, b) == next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
