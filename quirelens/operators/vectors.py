@@ -8,19 +8,19 @@ from pyspark.sql import functions as F
 from quirelens.functions import text as T
 
 
-def vocabulary(docs: DataFrame, text: str = "text", size: int = 100, min_df: float = 0.01, max_df: float = 0.5) -> DataFrame:
-    """(term, tf, df): the most frequent terms among those in a fitting share of the documents; ties by term."""
+def vocabulary(docs: DataFrame, text: str = "text", size: int = 100, min_df: float = 0.01, max_df: float = 0.5, clean=T.clean_text) -> DataFrame:
+    """(term, tf, df): the most frequent terms of the cleaned field among those in a fitting share of the documents; ties by term."""
     n = docs.count()
-    terms = docs.select("doc_id", F.explode(T.tokens(F.col(text))).alias("term"))
+    terms = docs.select("doc_id", F.explode(T.tokens(clean(F.col(text)))).alias("term"))
     # one row per document and term first, so that document counts need no distinct
     each = terms.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("k"))
     stats = each.groupBy("term").agg(F.sum("k").alias("tf"), F.count(F.lit(1)).alias("df"))
     return stats.where((F.col("df") >= min_df * n) & (F.col("df") <= max_df * n)).orderBy(F.desc("tf"), "term").limit(size)
 
 
-def term_frequencies(docs: DataFrame, vocab: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, term, weight): counts of vocabulary terms, scaled to length 1 per document. The vocabulary has at most its size in rows."""
-    terms = docs.select("doc_id", F.explode(T.tokens(F.col(text))).alias("term")).join(F.broadcast(vocab.select("term")), "term")
+def term_frequencies(docs: DataFrame, vocab: DataFrame, text: str = "text", clean=T.clean_text) -> DataFrame:
+    """(doc_id, term, weight): counts of vocabulary terms in the cleaned field, scaled to length 1 per document. The vocabulary has at most its size in rows."""
+    terms = docs.select("doc_id", F.explode(T.tokens(clean(F.col(text)))).alias("term")).join(F.broadcast(vocab.select("term")), "term")
     counts = terms.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("k"))
     norms = counts.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("k") * F.col("k"))).alias("norm"))
     return counts.join(norms, "doc_id").select("doc_id", "term", (F.col("k") / F.col("norm")).alias("weight"))

@@ -208,7 +208,7 @@ STOP_SQL = "[" + ", ".join(f"'{w}'" for w in T.STOP_WORDS) + "]"
 
 @query("text_clean", f"SELECT doc_id, array_to_string(list_filter({SQL_WORDS}, lambda w: NOT list_contains({STOP_SQL}, w)), ' ') AS clean FROM documents")
 def text_clean(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", T.clean_text(F.col("text")).alias("clean"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.clean_text(F.col("text"), T.STOP_WORDS).alias("clean"))
 
 
 @query("copyright_symbol", """SELECT page_id, CAST(regexp_matches(lower(t), '©|[^a-z]doi[^a-z]|[^a-z]isbn[^a-z]') AS INT) AS copyright_symbol
@@ -231,7 +231,7 @@ def property_clean(spark, sf_dir):
   SELECT id, array_to_string(CASE WHEN list_position(w, 'pdf') > 0 THEN list_concat(w[:list_position(w, 'pdf') - 1], w[list_position(w, 'pdf') + 1:]) ELSE w END, ' ') AS clean FROM w""")
 def metadata_clean(spark, sf_dir):
     values = table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.col("url").alias("v")).unionByName(table(spark, sf_dir, "part").select((-1 - F.col("p_partkey")).alias("id"), F.col("p_name").alias("v")))
-    return values.select("id", T.clean_metadata(F.col("v")).alias("clean"))
+    return values.select("id", T.clean_metadata(F.col("v"), T.STOP_WORDS).alias("clean"))
 
 
 @query("property_parse", "SELECT p_partkey AS doc_id, p_type AS creator, p_brand AS producer, CAST(p_size AS DOUBLE) AS page_size_x, p_size + 0.5 AS page_size_y, CAST(p_partkey * 10 AS DOUBLE) AS file_size, -1.0 AS page_rot FROM part")
@@ -248,9 +248,14 @@ VOCAB = """(WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(t
   SELECT term, CAST(sum(k) AS BIGINT) AS tf, count(*) AS df FROM e GROUP BY 1 HAVING count(*) >= 0.01 * (SELECT n FROM n) AND count(*) <= 0.5 * (SELECT n FROM n) ORDER BY tf DESC, term LIMIT 100)"""
 
 
+def as_is(column):
+    """The SQL of the two queries below takes texts uncleaned."""
+    return column
+
+
 @query("vocabulary_top100", f"SELECT term, tf, df FROM {VOCAB}")
 def vocabulary_top100(spark, sf_dir):
-    return vectors.vocabulary(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return vectors.vocabulary(table(spark, sf_dir, "documents").select("doc_id", "text"), clean=as_is)
 
 
 @query("tf_l2", f"""WITH v AS (SELECT term FROM {VOCAB}), t AS (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '([\\p{{L}}\\p{{N}}_]{{2,}})', 1)) AS term FROM documents),
@@ -258,7 +263,7 @@ def vocabulary_top100(spark, sf_dir):
   SELECT doc_id, term, round(k / sqrt(sum(k * k) OVER (PARTITION BY doc_id)), 6) AS weight FROM c""")
 def tf_l2(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return vectors.term_frequencies(docs, vectors.vocabulary(docs)).withColumn("weight", F.round("weight", 6))
+    return vectors.term_frequencies(docs, vectors.vocabulary(docs, clean=as_is), clean=as_is).withColumn("weight", F.round("weight", 6))
 
 
 # ---------------------------------------------------------------- numeric features (lineitem)

@@ -167,3 +167,19 @@ def test_stream_resumes(spark, tmp_path):
     for number in range(2):
         incremental.merge_batch_statistics(spark, spark.range(number * 4, number * 4 + 4).selectExpr("double(id) AS x"), ["x"], str(tmp_path / "stats"), number)
     assert tuple(one(incremental.current_statistics(spark, str(tmp_path / "stats")))) == ("x", 8, 3.5, 0.0, 7.0)
+
+
+def test_stop_words_are_sparks(spark):
+    assert list(T.ALL_STOP_WORDS) == T.spark_stop_words(spark)
+    df = spark.createDataFrame([("because nous cats about", "because nous cats")], "a string, b string")
+    assert tuple(one(df.select(T.clean_text(F.col("a")), T.clean_metadata(F.col("b"))))) == ("cats", "cats")
+
+
+def test_fields_are_cleaned_before_tokens(spark):
+    df = spark.createDataFrame([(1, "Acrobat Distiller 5.0", None, "my because_file pdf ab", "cats because dogs")], "doc_id int, producer string, creator string, file_name string, text string")
+    row = one(models.with_tokens(df, ("producer", "creator", "file_name", "text")))
+    assert (row.producer_tokens, row.creator_tokens, row.file_name_tokens, row.text_tokens) == (["acrobatdistiller"], ["none"], ["because_file"], ["cats", "dogs"])
+    vocab = vectors.vocabulary(df, max_df=1.0)
+    assert {r.term for r in vocab.collect()} == {"cats", "dogs"}
+    producers = vectors.vocabulary(df, "producer", max_df=1.0, clean=T.clean_property)
+    assert [(r.term, r.weight) for r in vectors.term_frequencies(df, producers, "producer", clean=T.clean_property).collect()] == [("acrobatdistiller", 1.0)]
