@@ -28,12 +28,26 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return _counted(kept.withColumn("text", F.col("clean_text")))
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """Columns of ``documents`` and the key of the distinct (doc_id, text): by id, rows without one last, then by the text's hashes."""
+    hashes = {"k_text": F.xxhash64("text"), "k_more": F.xxhash64(F.lit("key"), "text")}
+    return docs.select(*COLUMNS).withColumns({"k_none": F.col("doc_id").isNull(), "k_id": F.coalesce("doc_id", F.lit(0)).cast("long")} | hashes)
+
+
+KEY = ("k_none", "k_id", "k_text", "k_more")
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked ones stays: the one with the smallest id (of equal rows, one)."""
-    heads = jaccard_join.join(docs).where("doc_id = component_id").select("doc_id").distinct()
-    own = docs.select(*COLUMNS)
-    # a row without an id is nobody's copy by id: it stays
-    return own.where("doc_id IS NOT NULL").join(heads, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS).unionByName(own.where("doc_id IS NULL"))
+    """One document of each group of linked ones stays: the one with the smallest id, with or without an id.
+
+    A document is a distinct (doc_id, text). Those without an id come last, those of one id go by their texts' hashes;
+    of rows that are one document the one with the smallest other columns stays.
+    """
+    own = _keyed(docs)
+    linked = jaccard_join.join(own.select(F.struct(*KEY).alias("doc_id"), "text"))
+    heads = linked.where("doc_id = component_id").select("doc_id.*").distinct()
+    kept = own.join(heads, list(KEY), "left_semi").groupBy(*KEY).agg(F.min(F.struct("lang", "source", "n_chars", "doc_id", "text")).alias("row"))
+    return kept.select("row.*").select(*COLUMNS)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -91,3 +91,18 @@ def test_edges(spark, sf_dir):
     for _, stage in cp.STAGES:
         full = stage(spark, docs, sf_dir)
         assert full.count() >= 0 and stage(spark, docs.limit(0), sf_dir).count() == 0
+
+
+def test_shared_and_missing_ids(spark, sf_dir):
+    say = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    a, b, c, d, e, f = map(say, range(6))
+    # 1: one id, two texts; 2, 3: texts of one id, one a copy of id 2's; without an id: copies of each other, and of id 1's
+    rows = [(1, a), (1, b), (2, c), (3, c + " end"), (3, d), (None, e), (None, e + " end"), (None, e), (None, a + " end"), (None, f), (4, d), (None, ""), (5, None)]
+    docs = spark.createDataFrame([(i, t, "en", f"s{k}", 1) for k, (i, t) in enumerate(rows)] * 2, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    want = {(1, a), (1, b), (2, c), (3, d), (None, f), (None, ""), (5, None)}
+    for n in (1, 5):
+        after = [(r.doc_id, r.text, r.source) for r in cp.near_duplicates(spark, docs.repartition(n), sf_dir).collect()]
+        got = {(i, t) for i, t, _ in after}
+        assert len(after) == len(got) == len(want) + 1
+        assert want <= got and len(got & {(None, e), (None, e + " end")}) == 1
+        assert {s for i, t, s in after if (i, t) == (1, a)} == {"s0"} and {s for _, t, s in after if t == e} <= {"s5"}
