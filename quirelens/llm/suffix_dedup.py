@@ -1,8 +1,8 @@
-"""Removal of repeated byte strings by bucket-pointer refinement over a sparse set of suffixes.
+"""Removal of repeated byte strings by hashes of sampled windows (in place of bucket-pointer refinement, see the README).
 
 Every byte that a ``WIDTH``-byte string covers which also starts earlier (smaller doc_id, or same document and earlier
 start) is removed. A document is a distinct (doc_id, text), known by (d, t): the id and a hash that also tells texts of one id
-apart. Equal rows are one document, so their equal suffixes are one suffix and never repeat each other. Refinement keeps the suffixes in buckets and splits buckets by the bucket numbers at later offsets:
+apart. Equal rows are one document, so their equal suffixes are one suffix and never repeat each other. Suffixes are kept in buckets, which are split by direct hashes:
 
 1. Initial buckets. Of each WIDTH-byte window only one suffix is kept, the one with the smallest q-gram hash in it
    (leftmost of equal ones). Equal windows keep the same suffix, so no match is lost, and about 3 % of the suffixes
