@@ -1,19 +1,21 @@
 """N-gram Jaccard join by a token-group matrix: linked documents, their classes and components, exactly.
 
 Documents are sets of ``SHINGLE``-word shingles (64-bit hashes); equal sets are one class. Two classes link at
-``PERCENT`` % similarity. In any fixed order of the shingles, linked sets share one among their first
-``n - ceil(0.8 n) + 1``; the order used puts a bounded list of very frequent shingles last (any list gives the same
-links). Then:
-
-1. Buckets of the index. Classes that share a first shingle meet in its bucket. Small buckets give their pairs, pruned
-   by length and by how many first shingles a pair shares at least.
-2. Groups. In large buckets classes are compared with a few leaders, others each round; verified links merge classes into
-   groups (components), so a crowd of near copies costs a few comparisons per member and round, not one per pair.
-3. Matrix. For what large buckets still hold in different groups, each group's union of shingles is stored as rows
-   (shingle, group); a query's overlap with the union bounds its overlap with any member, and only groups that reach
-   the needed overlap are opened and compared member by member.
-
-Every link found is verified on whole sets; only sets that some candidate needs are materialised.
+``PERCENT`` % similarity.
+
+1. Classes that may link. A shingle that no other class holds is in no overlap, so a class with more than a fifth of such
+   shingles has no links. A fixed share of the shingles, those with low hashes, tells this for most classes; a bounded
+   list of very frequent shingles counts as shared and is not dealt out. Whole sets are made for the rest only.
+2. Groups. Similar sets are put into groups by their least shingles, several times; each set asks one leader of a group,
+   the one that shares most of its own set. Verified links merge groups, so a crowd of near copies costs a few
+   comparisons per member.
+3. Matrix. Each group's union of shingles is stored as rows (shingle, group): first for sets of about one size, where the
+   overlap with the union shows which sets can link beyond their group at all, then for the groups themselves.
+   A query's overlap with the union bounds its overlap with any member, and only groups that reach the needed overlap
+   are opened and compared member by member. In the common order of shingles, rarest first, linked sets share one among
+   their first ``n - ceil(0.8 n) + 1``, so the second matrix holds first shingles only.
+
+Every link found is verified on whole sets.
 """
 
 from __future__ import annotations
@@ -27,12 +29,14 @@ from quirelens.llm import bytescan as bs
 from quirelens.runtime import cut_lineage
 
 SHINGLE, PERCENT = 5, 80
-#: Bucket size from which pairs are not written out; rounds of leaders and leaders a round; frequent shingles put last at most.
-SMALL_BUCKET, LEADER_ROUNDS, LEADERS, MAX_FREQUENT = 48, 4, 3, 100_000
-#: Low hashes counted per flush for the frequent list, and the count in a flush that makes a shingle a candidate.
-FLUSH, FLUSH_COUNT = 2_000_000, 4
-#: Bits of the filter that keeps needless sets from being written (a fixed size; a full filter only costs time).
-FILTER_BITS = 1 << 22
+#: Rounds of leaders, questions a class and round, frequent shingles left out of the exchange at most.
+LEADER_ROUNDS, SIGNATURES, MAX_FREQUENT = 2, 4, 100_000
+#: Shingles with hashes below this (0.3 of all) tell which classes may link; above a fifth, or they tell nothing.
+LOW = np.uint64(3 * (1 << 64) // 10)
+#: Low hashes counted per flush for the frequent list, the count in a flush that makes a shingle a candidate, and in all.
+FLUSH, FLUSH_COUNT, FREQUENT = 2_000_000, 4, 24
+#: Least and most bits of the filter that keeps needless sets from being written (a full filter only costs time).
+FILTER_BITS = (1 << 16, 1 << 27)
 
 
 def row_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -60,16 +64,14 @@ def needed(a: Column, b: Column) -> Column:
     return F.ceil(PERCENT * (a + b) / (100 + PERCENT) - 1e-9)
 
 
-def first_count(n):
-    """How many first shingles of a set of size n the index needs."""
-    return n - -(-PERCENT * n // 100) + 1
+def first_column(n: Column) -> Column:
+    return n - F.ceil(PERCENT * n / 100 - 1e-9) + 1
 
 
 def shared_at_least(a: Column, b: Column) -> Column:
     """Least number of first shingles that linked sets of sizes a and b share: of the set whose first shingles end
     earlier, all common ones up to there are among them, and only those behind may be common besides."""
-    first = lambda n: n - F.ceil(PERCENT * n / 100 - 1e-9) + 1
-    return F.least(needed(a, b) - a + first(a), needed(a, b) - b + first(b))
+    return F.least(needed(a, b) - a + first_column(a), needed(a, b) - b + first_column(b))
 
 
 def close(a: Column, b: Column) -> Column:
@@ -86,7 +88,7 @@ def measure(docs: DataFrame) -> DataFrame:
             for lo, hi, data, offsets in bs.text_steps(batch, "text"):
                 rows, h = row_sets(data, offsets)
                 n, c = set_number(rows, h, hi - lo)
-                low = h[h < np.uint64(1 << 62)]
+                low = h[h < LOW]
                 held.append(low)
                 size += len(low)
                 frequent = [None] * (hi - lo)
@@ -107,13 +109,17 @@ def measure(docs: DataFrame) -> DataFrame:
 
 def frequent_list(measured: DataFrame) -> np.ndarray:
     """The most frequent low shingles, MAX_FREQUENT at most, sorted."""
-    each = measured.where("frequent IS NOT NULL").select(F.explode("frequent").alias("f")).groupBy("f.h").agg(F.sum("f.k").alias("k")).where(F.col("k") > SMALL_BUCKET // 2)
+    each = measured.where("frequent IS NOT NULL").select(F.explode("frequent").alias("f")).groupBy("f.h").agg(F.sum("f.k").alias("k")).where(F.col("k") > FREQUENT)
     top = each.orderBy(F.desc("k"), "h").limit(MAX_FREQUENT).select("h").toArrow()
     return np.sort(top["h"].to_numpy().astype(np.int64).view(np.uint64))
 
 
-def index_rows(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """(k: place of the shingle in the order, c, n) for the first shingles of each class; a class once per step."""
+def low_rows(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
+    """(k: low shingle, c, need) of each class, a class once per step; shingles of ``frequent`` are known to be shared and left out.
+
+    ``need`` of the rows of a class must be shared with other classes, or more than a fifth of its set is its own and
+    nothing can link with it. A class that needs none has a row with its own number as k besides.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(frequent)  # MAX_FREQUENT numbers at most
 
     def run(batches):
@@ -125,74 +131,102 @@ def index_rows(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
                 _, once = np.unique(c, return_index=True)
                 take = np.zeros(hi - lo, bool)
                 take[once] = True
-                mine = take[rows]
-                rows, h = rows[mine], h[mine]
-                late = np.zeros(len(h), bool)
+                take &= n > 0
+                go = (h < LOW) & take[rows]
                 if len(last) and len(h):
-                    late = last[np.minimum(np.searchsorted(last, h), len(last) - 1)] == h
-                key = (h >> np.uint64(2)).view(np.int64) + (late.astype(np.int64) << 62)
-                order = np.lexsort((key, rows))
-                rows, key = rows[order], key[order]
-                size = np.bincount(rows, minlength=hi - lo)
-                place = np.arange(len(rows)) - (np.cumsum(size) - size)[rows]
-                go = place < first_count(n)[rows]
-                yield pa.RecordBatch.from_arrays([pa.array(key[go]), pa.array(c[rows[go]]), pa.array(n[rows[go]])], ["k", "c", "n"])
+                    go &= last[np.minimum(np.searchsorted(last, h), len(last) - 1)] != h
+                rows, h = rows[go], h[go]
+                need = np.bincount(rows, minlength=hi - lo) - (n - -(-PERCENT * n // 100))
+                auto = np.flatnonzero(take & (need <= 0))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate([h.view(np.int64), c[auto]])), pa.array(np.concatenate([c[rows], c[auto]])), pa.array(np.concatenate([need[rows], need[auto]]))],
+                    ["k", "c", "need"],
+                )
+
+    return docs.select("text").mapInArrow(run, "k bigint, c bigint, need bigint")
 
-    return docs.select("text").mapInArrow(run, "k bigint, c bigint, n bigint")
+
+def linkable(docs: DataFrame, measured: DataFrame) -> DataFrame:
+    """(c) of the classes that may link by what their low shingles show: at most a fifth of the set is known to be its own."""
+    by = Window.partitionBy("k")  # shingles of many classes are in the frequent list and have no rows here
+    met = low_rows(docs, frequent_list(measured)).withColumn("lo", F.min("c").over(by)).withColumn("hi", F.max("c").over(by))
+    met = met.where("lo < hi OR need <= 0").select("k", "c", "need").distinct()
+    return cut_lineage(met.groupBy("c").agg(F.count(F.lit(1)).alias("f"), F.max("need").alias("need")).where("f >= need").select("c"))
 
 
 def class_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(c, hs: whole set, sorted) of the classes in ``wanted`` (column c), read from the texts again."""
-    probe = wanted.select("c").distinct()
-    shared = docs.sparkSession.sparkContext.broadcast(filter_of(probe))
+    """(c, hs: whole set) of the classes in ``wanted`` (distinct c), read from the texts again."""
+    bits = filter_bits(wanted)
+    shared = docs.sparkSession.sparkContext.broadcast(filter_of(wanted, bits))
 
     def run(batches):
-        bits = shared.value
+        known = shared.value
         for batch in batches:
             for lo, hi, data, offsets in bs.text_steps(batch, "text"):
                 rows, h = row_sets(data, offsets)
-                _, c = set_number(rows, h, hi - lo)
+                n, c = set_number(rows, h, hi - lo)
                 u = c.view(np.uint64)
-                hit = np.ones(len(c), bool)
-                for part in (u % np.uint64(FILTER_BITS), bs.mix(u) % np.uint64(FILTER_BITS)):
+                hit = n > 0
+                for part in (u % np.uint64(bits), bs.mix(u) % np.uint64(bits)):
                     p = part.astype(np.int64)
-                    hit &= (bits[p >> 5] >> (p & 31).astype(np.uint32)) & np.uint32(1) == 1
+                    hit &= (known[p >> 5] >> (p & 31).astype(np.uint32)) & np.uint32(1) == 1
                 _, once = np.unique(c, return_index=True)
                 first = np.zeros(len(c), bool)
                 first[once] = True
-                chosen = np.flatnonzero(hit & first)
-                ends = np.cumsum(np.bincount(rows, minlength=hi - lo))
-                sets = [h[ends[k - 1] if k else 0 : ends[k]].view(np.int64) for k in chosen.tolist()]
-                yield pa.RecordBatch.from_arrays([pa.array(c[chosen]), pa.array(sets, pa.list_(pa.int64()))], ["c", "hs"])
+                chosen = hit & first
+                mine = chosen[rows]
+                ends = np.concatenate([[0], np.cumsum(n[chosen])])
+                sets = pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), pa.array(h[mine].view(np.int64))).cast(pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(c[chosen]), sets], ["c", "hs"])
 
     found = docs.select("text").mapInArrow(run, "c bigint, hs array<bigint>")
-    return found.join(probe, "c", "left_semi").groupBy("c").agg(F.first("hs").alias("hs"))
+    return found.join(wanted, "c", "left_semi").groupBy("c").agg(F.first("hs").alias("hs"))
+
 
+def filter_bits(numbers: DataFrame) -> int:
+    """Size of the filter: about 16 bits a number, within FILTER_BITS."""
+    least, most = FILTER_BITS
+    return min(most, max(least, 1 << (16 * numbers.count()).bit_length()))
 
-def filter_of(numbers: DataFrame) -> np.ndarray:
-    """A Bloom filter of FILTER_BITS bits over the distinct column c: partial filters are or-ed word by word in Spark."""
+
+def filter_of(numbers: DataFrame, bits: int) -> np.ndarray:
+    """A Bloom filter of ``bits`` bits over the column c: partial filters are or-ed word by word in Spark."""
 
     def run(batches):
-        out = np.zeros(FILTER_BITS // 32, np.uint32)
+        out = np.zeros(bits // 32, np.uint32)
         for batch in batches:
             u = batch.column(0).to_numpy().view(np.uint64)
-            for part in (u % np.uint64(FILTER_BITS), bs.mix(u) % np.uint64(FILTER_BITS)):
+            for part in (u % np.uint64(bits), bs.mix(u) % np.uint64(bits)):
                 p = part.astype(np.int64)
                 np.bitwise_or.at(out, p >> 5, np.uint32(1) << (p & 31).astype(np.uint32))
         w = np.flatnonzero(out)
         yield pa.RecordBatch.from_arrays([pa.array(w, pa.int64()), pa.array(out[w].astype(np.int64))], ["w", "m"])
 
-    words = numbers.select("c").mapInArrow(run, "w bigint, m bigint").groupBy("w").agg(F.bit_or("m").alias("m")).toArrow()  # FILTER_BITS / 32 rows at most
-    out = np.zeros(FILTER_BITS // 32, np.uint32)
+    words = numbers.select("c").mapInArrow(run, "w bigint, m bigint").groupBy("w").agg(F.bit_or("m").alias("m")).toArrow()  # bits / 32 rows at most
+    out = np.zeros(bits // 32, np.uint32)
     out[words["w"].to_numpy()] = words["m"].to_numpy().astype(np.uint32)
     return out
 
 
-def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) that link."""
-    both = pairs.join(sets.select(F.col("c").alias("a"), F.col("hs").alias("ha")), "a").join(sets.select(F.col("c").alias("b"), F.col("hs").alias("hb")), "b")
+def shared_parts(sets: DataFrame) -> DataFrame:
+    """(c, n, toks: (df, h) of the shingles that other sets have too, rarest first) of the sets that keep enough of them.
+
+    What is left out is in one set alone, so overlaps are those of the parts. In the common order such shingles come
+    first, then the others by the number of sets that hold them.
+    """
+    each = sets.select("c", F.size("hs").cast("long").alias("n"), F.explode("hs").alias("h"))
+    counts = cut_lineage(each.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1"))  # written, so that a hot shingle's side of the join can be split
+    kept = each.join(counts, "h").select("c", "n", "h", "df").repartition("c")
+    parts = kept.groupBy("c").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "h"))).alias("toks"))  # at most a set
+    return parts.where(100 * F.size("toks") >= PERCENT * F.col("n"))
+
+
+def verify(pairs: DataFrame, parts: DataFrame) -> DataFrame:
+    """The pairs (a, b) that link; b is the side that may be in many pairs."""
+    own = parts.select("c", "n", F.transform("toks", lambda x: x["h"]).alias("hs"))
+    both = pairs.join(own.select(F.col("c").alias("a"), F.col("n").alias("na"), F.col("hs").alias("ha")), "a").join(own.select(F.col("c").alias("b"), F.col("n").alias("nb"), F.col("hs").alias("hb")), "b")
     common = F.size(F.array_intersect("ha", "hb"))
-    return both.where(100 * common >= PERCENT * (F.size("ha") + F.size("hb") - common)).select("a", "b")
+    return both.where(100 * common >= PERCENT * (F.col("na") + F.col("nb") - common)).select("a", "b")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -220,71 +254,78 @@ def merge_groups(groups: DataFrame, links: DataFrame) -> DataFrame:
     return cut_lineage(groups.join(moved.select(F.col("c").alias("g"), F.col("g").alias("to")), "g", "left").select("c", F.coalesce("to", "g").alias("g")))
 
 
+def ask_leaders(live: DataFrame, turn: int) -> DataFrame:
+    """(a: member, b: leader), ``SIGNATURES`` questions a class at most: sets with one least shingle (by a hash of the turn) ask
+    the one among them that shares most of its own set."""
+    least = [F.struct(F.lit(j).alias("j"), F.array_min(F.transform("toks", lambda x, j=j: F.xxhash64(x["h"], F.lit(turn * SIGNATURES + j)))).alias("s")) for j in range(SIGNATURES)]
+    signed = live.select("c", "n", "g", (F.size("toks") / F.col("n")).alias("share"), F.explode(F.array(*least)).alias("x")).select("c", "n", "g", "share", "x.j", "x.s")
+    leads = signed.groupBy("j", "s").agg(F.max_by(F.struct("c", "n", "g"), F.struct("share", "c")).alias("lead"), (F.min("g") < F.max("g")).alias("open")).where("open").select("j", "s", "lead")
+    met = signed.join(cut_lineage(leads), ["j", "s"]).where((F.col("g") != F.col("lead.g")) & close(F.col("n"), F.col("lead.n")))
+    return met.select(F.col("c").alias("a"), F.col("lead.c").alias("b")).distinct()
+
+
+def firsts(live: DataFrame) -> DataFrame:
+    """(h, c, n, g): the shared ones among the first shingles of each set."""
+    alone = F.col("n") - F.size("toks")
+    count = F.greatest(first_column(F.col("n")) - alone, F.lit(0)).cast("int")
+    return live.select("c", "n", "g", F.explode(F.slice("toks", F.lit(1), count)).alias("x")).select("x.h", "c", "n", "g")
+
+
+def meeting(rows: DataFrame) -> DataFrame:
+    """The rows of :func:`firsts` whose shingle is held by another group too, of sets that share enough of their first shingles."""
+    spans = cut_lineage(rows.groupBy("h").agg(F.min("g").alias("g0"), F.max("g").alias("g1"), F.min("n").alias("n0"), F.max("n").alias("n1")).where("g0 < g1"))
+    met = rows.join(spans, "h")
+    low, high = F.greatest("n0", F.ceil(PERCENT * F.col("n") / 100 - 1e-9)), F.least("n1", F.floor(100 * F.col("n") / PERCENT + 1e-9))
+    seen = met.groupBy("c", "n").agg(F.count(F.lit(1)).alias("shared"), F.min(low).alias("low"), F.max(high).alias("high"))
+    # over partners' sizes the bound grows up to n and falls beyond (up to rounding, hence 2)
+    bound = F.least(shared_at_least(F.col("n"), F.col("low")), shared_at_least(F.col("n"), F.col("high"))) - 2
+    return met.join(seen.where((F.col("low") <= F.col("high")) & (F.col("shared") >= bound)).select("c"), "c", "left_semi").select("h", "c", "n", "g")
+
+
+def qualifying(live: DataFrame) -> DataFrame:
+    """The sets of ``live`` (c, n, toks, g) that overlap enough with the union of some group of sets of about their size.
+
+    Token-group matrix: per shingle, the groups that hold it, here classes of sizes within 4 % (a few hundred at most), each
+    with its smallest and largest size and component. A set's own component does not count.
+    """
+    each = live.select("c", "n", "g", F.explode("toks").alias("x")).select("x.h", "c", "n", "g")
+    band = F.floor(F.log("n") / np.log(1.04))
+    cells = each.groupBy("h", band.alias("band")).agg(F.min("g").alias("g0"), F.max("g").alias("g1"), F.min("n").alias("n0"), F.max("n").alias("n1"))
+    matrix = cut_lineage(cells.groupBy("h").agg(F.collect_list(F.struct("band", "g0", "g1", "n0", "n1")).alias("cells"), F.min("g0").alias("low"), F.max("g1").alias("high")).where("low < high").select("h", "cells"))
+    open_ = lambda x: ((x["g0"] != F.col("g")) | (x["g1"] != F.col("g"))) & (100 * x["n1"] >= PERCENT * F.col("n")) & (PERCENT * x["n0"] <= 100 * F.col("n"))
+    met = each.join(matrix, "h").select("c", "n", F.explode(F.filter("cells", open_)).alias("x")).select("c", "n", "x.band", "x.n0")
+    told = met.groupBy("c", "n", "band").agg(F.count(F.lit(1)).alias("common"), F.min("n0").alias("n0"))
+    least = F.greatest("n0", F.ceil(PERCENT * F.col("n") / 100 - 1e-9))
+    return live.join(told.where(F.col("common") >= needed(F.col("n"), least)).select("c").distinct(), "c", "left_semi")
+
+
+def opened_pairs(rows: DataFrame) -> DataFrame:
+    """(a, b) of different groups to be verified: groups whose union shares enough first shingles with a set are opened for it."""
+    spans = rows.groupBy("g").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    union = rows.select("h", F.col("g").alias("other")).distinct()
+    asks = rows.join(union, "h").where("g <> other").groupBy("c", "n", "other").agg(F.count(F.lit(1)).alias("shared")).join(spans.withColumnRenamed("g", "other"), "other")
+    low, high = F.greatest("least", F.ceil(PERCENT * F.col("n") / 100 - 1e-9)), F.least("most", F.floor(100 * F.col("n") / PERCENT + 1e-9))
+    bound = F.least(shared_at_least(F.col("n"), low), shared_at_least(F.col("n"), high)) - 2
+    opened = cut_lineage(asks.where((low <= high) & (F.col("shared") >= bound)).select("c", "other"))
+    asking = rows.join(opened, "c").select("h", "c", "n", "other")
+    inside = rows.select("h", F.col("c").alias("b"), F.col("n").alias("nb"), F.col("g").alias("other"))
+    met = asking.join(inside, ["h", "other"]).where(close(F.col("n"), F.col("nb")) & (F.col("c") < F.col("b"))).groupBy(F.col("c").alias("a"), "b", "n", "nb").agg(F.count(F.lit(1)).alias("shared"))
+    return met.where(F.col("shared") >= shared_at_least(F.col("n"), F.col("nb"))).select("a", "b")
+
+
 def groups_of(docs: DataFrame, measured: DataFrame) -> DataFrame:
-    """Component labels (c, g) of the classes that have candidates."""
-    rows = index_rows(docs, frequent_list(measured)).repartition("k")
-    by = Window.partitionBy("k")
-    met = rows.withColumn("again", (F.lag("c").over(by.orderBy("n", "c")) == F.col("c")) & (F.lag("n").over(by.orderBy("n", "c")) == F.col("n"))).where("again IS NULL OR NOT again")
-    met = met.withColumn("size", F.count(F.lit(1)).over(by)).where("size > 1").select("k", "c", "n", "size")
-    met = cut_lineage(met)
-    few = met.where(F.col("size") <= SMALL_BUCKET).groupBy("k").agg(F.array_sort(F.collect_list(F.struct("n", "c"))).alias("own"))  # at most SMALL_BUCKET
-    each = few.select(F.posexplode("own").alias("i", "x"), "own").select("x", F.explode(F.slice("own", F.col("i") + 2, F.lit(SMALL_BUCKET))).alias("y"))
-    shared = each.where(close(F.col("x.n"), F.col("y.n")) & (F.col("x.c") != F.col("y.c"))).groupBy(F.least("x.c", "y.c").alias("a"), F.greatest("x.c", "y.c").alias("b")).agg(F.count(F.lit(1)).alias("k"), F.first("x.n").alias("nx"), F.first("y.n").alias("ny"))
-    large = cut_lineage(met.where(F.col("size") > SMALL_BUCKET).select("k", "c", "n"))
-    crowd = large.groupBy("c").agg(F.count(F.lit(1)).alias("extra"))
-    # the set whose first shingles end earlier has all common ones up to there among the shared; large buckets may hold more of them
-    pruned = shared.join(crowd.select(F.col("c").alias("a"), F.col("extra").alias("ea")), "a", "left").join(crowd.select(F.col("c").alias("b"), F.col("extra").alias("eb")), "b", "left")
-    spare = F.least(F.coalesce("ea", F.lit(0)), F.coalesce("eb", F.lit(0)))
-    pairs = cut_lineage(pruned.where(F.col("k") + spare >= shared_at_least(F.col("nx"), F.col("ny"))).select("a", "b"))
-    nodes = cut_lineage(pairs.select(F.col("a").alias("c")).unionByName(pairs.select(F.col("b").alias("c"))).unionByName(large.select("c")).distinct())
-    # kept by class number, so that no verification moves the sets again; lost blocks are read from the texts once more
-    sets = class_sets(docs, nodes).persist()
-    links = cut_lineage(verify(pairs, sets))
-    groups = merge_groups(nodes.select("c", F.col("c").alias("g")), links)
+    """Component labels (c, g) of the classes that may link."""
+    parts = cut_lineage(shared_parts(class_sets(docs, linkable(docs, measured))))
+    groups = parts.select("c", F.col("c").alias("g"))
+    live = parts.withColumn("g", F.col("c"))
     for turn in range(LEADER_ROUNDS):
-        mixed = large.join(groups, "c")
-        leads = [F.min_by(F.struct("c", "n", "g"), F.xxhash64("c", F.lit(turn * LEADERS + k))) for k in range(LEADERS)]
-        spread = mixed.groupBy("k").agg((F.min("g") < F.max("g")).alias("open"), F.array_distinct(F.array(*leads)).alias("leads")).where("open").select("k", F.explode("leads").alias("lead"))
-        met_lead = mixed.join(spread, "k").where((F.col("g") != F.col("lead.g")) & close(F.col("n"), F.col("lead.n"))).groupBy("c", "n", "lead").agg(F.count(F.lit(1)).alias("shared"))
-        # a leader leads in most of the buckets that a near copy shares with it; whoever is passed over here is asked in step 3
-        asked = met_lead.where(F.col("shared") >= shared_at_least(F.col("n"), F.col("lead.n"))).select(F.least("c", "lead.c").alias("a"), F.greatest("c", "lead.c").alias("b")).distinct()
-        new = cut_lineage(verify(asked, sets))
-        if new.isEmpty():
-            break
-        groups = merge_groups(groups, new)
-    more = cut_lineage(open_groups(large, groups, sets))
-    groups = groups if more.isEmpty() else merge_groups(groups, more)
-    sets.unpersist()
-    return groups
-
-
-def open_groups(large: DataFrame, groups: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links between different groups that meet in large buckets: the token-group matrix bounds, qualifying groups are opened."""
-    sized = sets.withColumn("n", F.size("hs").cast("long"))
-    members = groups.join(sized.select("c", "n"), "c")
-    spans = members.groupBy("g").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.count(F.lit(1)).alias("members"))
-    inside = large.join(groups, "c").select("k", "c", "n", "g")
-    present = inside.select("k", F.col("g").alias("other")).distinct()
-    # pairs that share a small bucket too were judged there; all other shared first shingles are counted here
-    asks = inside.join(present, "k").where("g <> other").groupBy("c", "n", "g", "other").agg(F.count(F.lit(1)).alias("shared")).join(spans.withColumnRenamed("g", "other"), "other")
-    low = F.greatest(F.col("least"), F.ceil(PERCENT * F.col("n") / 100 - 1e-9))
-    high = F.least(F.col("most"), F.floor(100 * F.col("n") / PERCENT + 1e-9))
-    first = lambda n: n - F.ceil(PERCENT * n / 100 - 1e-9) + 1
-    # over the sizes in the group: the first bound grows with the size, the second falls (up to rounding, hence 2)
-    bound = F.least(needed(F.col("n"), low) - F.col("n") + first(F.col("n")), needed(F.col("n"), high) - high + first(high) - 2)
-    asks = asks.where((low <= high) & (F.col("shared") >= bound))
-    # the smaller group asks the larger one; equal ones by number
-    own = spans.select(F.col("g"), F.col("members").alias("mine"))
-    asks = cut_lineage(asks.join(own, "g").where("mine < members OR (mine = members AND g < other)").select("c", "n", "other", "least", "members"))
-    wide = asks.where("members > 1")
-    matrix = wide.select(F.col("other").alias("g")).distinct().join(members, "g").join(sets, "c").select("g", F.explode("hs").alias("h")).distinct()
-    told = wide.join(sets, "c").select("c", "n", "other", "least", F.explode("hs").alias("h"))
-    overlap = told.join(matrix.withColumnRenamed("g", "other"), ["other", "h"]).groupBy("c", "n", "other", "least").agg(F.count(F.lit(1)).alias("common"))
-    size = F.greatest(F.col("least"), F.ceil(PERCENT * F.col("n") / 100 - 1e-9))
-    # a group of one is its own union: comparing is opening
-    opened = overlap.where(F.col("common") >= needed(F.col("n"), size)).select("c", "n", "other").unionByName(asks.where("members = 1").select("c", "n", "other"))
-    pairs = opened.join(members.select(F.col("c").alias("y"), F.col("g").alias("other"), F.col("n").alias("ny")), "other").where(close(F.col("n"), F.col("ny"))).select(F.least("c", "y").alias("a"), F.greatest("c", "y").alias("b")).distinct()
-    return verify(pairs, sets)
+        links = cut_lineage(verify(ask_leaders(live, turn), live))
+        groups = merge_groups(groups, links)
+        live = live.drop("g").join(groups, "c")
+        live = live.join(meeting(firsts(live)).select("c").distinct(), "c", "left_semi")
+        live = cut_lineage(qualifying(live))
+    links = cut_lineage(verify(opened_pairs(cut_lineage(meeting(firsts(live)))), live))
+    return groups if links.isEmpty() else merge_groups(groups, links)
 
 
 def join(docs: DataFrame) -> DataFrame:

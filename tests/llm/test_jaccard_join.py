@@ -49,9 +49,9 @@ def test_given_data(spark):
     compare(table(spark, "/root/testdata/sf0.01", "documents").withColumn("n", F.lit("clash")))
 
 
-@pytest.mark.parametrize("small", [48, 2])
+@pytest.mark.parametrize("small", [24, 2])
 def test_crowds(spark, small, monkeypatch):
-    monkeypatch.setattr(jj, "SMALL_BUCKET", small)
+    monkeypatch.setattr(jj, "FREQUENT", small)
     monkeypatch.setattr(jj, "FLUSH_COUNT", 2)
     rng = random.Random(small)
     line = [f"line{k}" for k in range(14)]
