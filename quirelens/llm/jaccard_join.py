@@ -6,11 +6,13 @@ Documents are sets of ``SHINGLE``-word shingles (64-bit hashes); equal sets are
 1. Classes that may link. A shingle that no other class holds is in no overlap, so a class with more than a fifth of such
    shingles has no links. A fixed share of the shingles, those with low hashes, tells this for most classes; a bounded
    list of very frequent shingles counts as shared and is not dealt out. Whole sets are made for the rest only.
-2. Groups. Similar sets are put into groups by their least shingles, several times; each set asks one leader of a group,
-   the one that shares most of its own set. Verified links merge groups, so a crowd of near copies costs a few
-   comparisons per member.
+2. Groups. Similar sets are put into groups by their least and their commonest shingles; each set asks one leader of a
+   group, the one that shares most of its own set. Verified links merge components. Sets near one leader are a crowd; inside
+   it they are known by their differences from the crowd's core, which tell overlaps exactly. Members near the core link
+   with its centre, others are compared only where they share differences, so a crowd of near copies is not compared
+   pair by pair.
 3. Matrix. Each group's union of shingles is stored as rows (shingle, group): first for sets of about one size, where the
-   overlap with the union shows which sets can link beyond their group at all, then for the groups themselves.
+   overlap with the union shows which sets can link beyond their own group at all, then for the groups themselves.
    A query's overlap with the union bounds its overlap with any member, and only groups that reach the needed overlap
    are opened and compared member by member. In the common order of shingles, rarest first, linked sets share one among
    their first ``n - ceil(0.8 n) + 1``, so the second matrix holds first shingles only.
@@ -29,8 +31,9 @@ from quirelens.llm import bytescan as bs
 from quirelens.runtime import cut_lineage
 
 SHINGLE, PERCENT = 5, 80
-#: Rounds of leaders, questions a class and round, frequent shingles left out of the exchange at most.
-LEADER_ROUNDS, SIGNATURES, MAX_FREQUENT = 2, 4, 100_000
+#: Questions a class and round of leaders, similarity in percent at which a set counts to its leader's crowd, frequent
+#: shingles left out of the exchange at most.
+SIGNATURES, NEAR, MAX_FREQUENT = 4, 50, 100_000
 #: Shingles with hashes below this (0.3 of all) tell which classes may link; above a fifth, or they tell nothing.
 LOW = np.uint64(3 * (1 << 64) // 10)
 #: Low hashes counted per flush for the frequent list, the count in a flush that makes a shingle a candidate, and in all.
@@ -221,12 +224,16 @@ def shared_parts(sets: DataFrame) -> DataFrame:
     return parts.where(100 * F.size("toks") >= PERCENT * F.col("n"))
 
 
-def verify(pairs: DataFrame, parts: DataFrame) -> DataFrame:
-    """The pairs (a, b) that link; b is the side that may be in many pairs."""
+def compared(pairs: DataFrame, parts: DataFrame) -> DataFrame:
+    """The pairs (a, b) with their sizes and overlap; b is the side that may be in many pairs."""
     own = parts.select("c", "n", F.transform("toks", lambda x: x["h"]).alias("hs"))
     both = pairs.join(own.select(F.col("c").alias("a"), F.col("n").alias("na"), F.col("hs").alias("ha")), "a").join(own.select(F.col("c").alias("b"), F.col("n").alias("nb"), F.col("hs").alias("hb")), "b")
-    common = F.size(F.array_intersect("ha", "hb"))
-    return both.where(100 * common >= PERCENT * (F.col("na") + F.col("nb") - common)).select("a", "b")
+    return both.select("a", "b", "na", "nb", F.size(F.array_intersect("ha", "hb")).alias("common"))
+
+
+def at_least(percent: int) -> Column:
+    """Whether pairs of :func:`compared` reach this similarity."""
+    return 100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -249,21 +256,77 @@ def components(links: DataFrame) -> DataFrame:
 
 def merge_groups(groups: DataFrame, links: DataFrame) -> DataFrame:
     """Groups (c, g) after further links: the components of the graph of groups."""
+    if links.isEmpty():
+        return groups
     ends = links.join(groups.select(F.col("c").alias("a"), F.col("g").alias("ga")), "a").join(groups.select(F.col("c").alias("b"), F.col("g").alias("gb")), "b")
     moved = components(ends.where("ga <> gb").select(F.col("ga").alias("a"), F.col("gb").alias("b")).distinct())
     return cut_lineage(groups.join(moved.select(F.col("c").alias("g"), F.col("g").alias("to")), "g", "left").select("c", F.coalesce("to", "g").alias("g")))
 
 
-def ask_leaders(live: DataFrame, turn: int) -> DataFrame:
-    """(a: member, b: leader), ``SIGNATURES`` questions a class at most: sets with one least shingle (by a hash of the turn) ask
-    the one among them that shares most of its own set."""
-    least = [F.struct(F.lit(j).alias("j"), F.array_min(F.transform("toks", lambda x, j=j: F.xxhash64(x["h"], F.lit(turn * SIGNATURES + j)))).alias("s")) for j in range(SIGNATURES)]
-    signed = live.select("c", "n", "g", (F.size("toks") / F.col("n")).alias("share"), F.explode(F.array(*least)).alias("x")).select("c", "n", "g", "share", "x.j", "x.s")
-    leads = signed.groupBy("j", "s").agg(F.max_by(F.struct("c", "n", "g"), F.struct("share", "c")).alias("lead"), (F.min("g") < F.max("g")).alias("open")).where("open").select("j", "s", "lead")
-    met = signed.join(cut_lineage(leads), ["j", "s"]).where((F.col("g") != F.col("lead.g")) & close(F.col("n"), F.col("lead.n")))
+def ask_leaders(live: DataFrame, marks: list[Column]) -> DataFrame:
+    """(a: member, b: leader), one question a class and mark at most: sets of about one size with one mark ask the one among
+    them that shares most of its own set."""
+    band = lambda j: F.floor(F.log("n") / np.log(1.25) + j % 2 / 2)
+    keys = [F.struct(F.xxhash64(mark, band(j), F.lit(j % 2)).alias("s")) for j, mark in enumerate(marks)]
+    signed = live.select("c", "n", "g", (F.size("toks") / F.col("n")).alias("share"), F.explode(F.array(*keys)).alias("x")).select("c", "n", "g", "share", "x.s").where("s IS NOT NULL")
+    leads = signed.groupBy("s").agg(F.max_by(F.struct("c", "n", "g"), F.struct("share", "c")).alias("lead"), (F.min("g") < F.max("g")).alias("open")).where("open").select("s", "lead")
+    met = signed.join(cut_lineage(leads), "s").where((F.col("g") != F.col("lead.g")) & close(F.col("n"), F.col("lead.n")))
     return met.select(F.col("c").alias("a"), F.col("lead.c").alias("b")).distinct()
 
 
+def least_shingles() -> list[Column]:
+    return [F.array_min(F.transform("toks", lambda x, j=j: F.xxhash64(x["h"], F.lit(j)))) for j in range(SIGNATURES)]
+
+
+def commonest_shingles() -> list[Column]:
+    return [F.get("toks", F.size("toks") - 1 - j)["h"] for j in range(SIGNATURES)]
+
+
+def deviations(live: DataFrame) -> DataFrame:
+    """(c, g, y, rest, x) of the crowds y that hold several components, seen from the crowd's core.
+
+    The core is what most members hold. ``rest`` is where a set differs from it, apart from shingles that no other set
+    has; ``x`` grows with the number of all differences, those included. Two sets differ in what only one of them has in
+    its differences, so they link exactly if x + x' <= 2 * (100 + PERCENT) * (number of differences they share).
+    """
+    own = live.select("c", "n", "g", "y", F.transform("toks", lambda x: x["h"]).alias("hs"))
+    crowds = cut_lineage(own.groupBy("y").agg(F.count(F.lit(1)).alias("m"), (F.min("g") < F.max("g")).alias("open")).where("open").select("y", "m"))
+    own = own.join(crowds, "y")
+    held = own.select("y", "m", F.explode("hs").alias("h")).groupBy("y", "m", "h").agg(F.count(F.lit(1)).alias("k")).where("2 * k > m")
+    core = cut_lineage(held.groupBy("y").agg(F.collect_list("h").alias("core")))  # under twice the mean size of its sets
+    seen = own.join(core, "y", "left").withColumn("core", F.coalesce("core", F.array().cast("array<bigint>")))
+    rest = F.array_sort(F.concat(F.array_except("core", "hs"), F.array_except("hs", "core")))
+    seen = seen.select("c", "g", "y", "n", (F.col("n") - F.size("hs")).alias("alone"), rest.alias("rest"))
+    x = (100 + PERCENT) * (F.size("rest") + F.col("alone")) - (100 - PERCENT) * F.col("n")
+    return cut_lineage(seen.select("c", "g", "y", "rest", x.alias("x")))
+
+
+def centres(seen: DataFrame) -> DataFrame:
+    return cut_lineage(seen.groupBy("y").agg(F.min_by(F.struct("c", "g", "x"), F.struct("x", "c")).alias("centre")))
+
+
+def core_links(seen: DataFrame) -> DataFrame:
+    """(a, b): members so near the core that they link with the nearest one, whatever differences they share."""
+    return seen.join(centres(seen), "y").where((F.col("x") + F.col("centre.x") <= 0) & (F.col("c") != F.col("centre.c"))).select(F.col("c").alias("a"), F.col("centre.c").alias("b"))
+
+
+def deviant_links(seen: DataFrame) -> DataFrame:
+    """(a, b): the other links between components of a crowd. Such sets share differences, at least one among the first
+    of each, so the index of differences finds them; a member of the centre's component is only asked, never asks."""
+    placed = seen.join(centres(seen), "y").withColumn("inside", F.col("g") == F.col("centre.g"))
+    outer = cut_lineage(placed.where("NOT inside").groupBy("y").agg(F.min("x").alias("x_out")))
+    placed = placed.join(outer, "y")
+    need = F.greatest(F.lit(1), F.ceil((F.col("x") + F.when(F.col("inside"), F.col("x_out")).otherwise(F.least("centre.x", "x_out"))) / (2.0 * (100 + PERCENT)) - 1e-9))
+    count = F.greatest(F.size("rest") - need + 1, F.lit(0)).cast("int")
+    rows = cut_lineage(placed.select("y", "c", "g", "inside", F.explode(F.slice("rest", F.lit(1), count)).alias("h")))
+    asking = rows.where("NOT inside").select("y", "h", F.col("c").alias("a"), F.col("g").alias("ga"))
+    told = rows.select("y", "h", F.col("c").alias("b"), F.col("g").alias("gb"), "inside")
+    pairs = asking.join(told, ["y", "h"]).where((F.col("ga") != F.col("gb")) & (F.col("inside") | (F.col("a") < F.col("b")))).select("a", "b").distinct()
+    side = lambda k: seen.select(F.col("c").alias(k), F.col("x").alias(f"x{k}"), F.col("rest").alias(f"rest_{k}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    return both.where(F.col("xa") + F.col("xb") <= 2 * (100 + PERCENT) * F.size(F.array_intersect("rest_a", "rest_b"))).select("a", "b")
+
+
 def firsts(live: DataFrame) -> DataFrame:
     """(h, c, n, g): the shared ones among the first shingles of each set."""
     alone = F.col("n") - F.size("toks")
@@ -315,17 +378,27 @@ def opened_pairs(rows: DataFrame) -> DataFrame:
 
 def groups_of(docs: DataFrame, measured: DataFrame) -> DataFrame:
     """Component labels (c, g) of the classes that may link."""
-    parts = cut_lineage(shared_parts(class_sets(docs, linkable(docs, measured))))
+    parts = cut_lineage(shared_parts(cut_lineage(class_sets(docs, linkable(docs, measured)))))
     groups = parts.select("c", F.col("c").alias("g"))
     live = parts.withColumn("g", F.col("c"))
-    for turn in range(LEADER_ROUNDS):
-        links = cut_lineage(verify(ask_leaders(live, turn), live))
-        groups = merge_groups(groups, links)
+    for marks in (least_shingles(), commonest_shingles()):
+        asked = cut_lineage(compared(ask_leaders(live, marks), live))
+        groups = merge_groups(groups, asked.where(at_least(PERCENT)).select("a", "b"))
         live = live.drop("g").join(groups, "c")
-        live = live.join(meeting(firsts(live)).select("c").distinct(), "c", "left_semi")
-        live = cut_lineage(qualifying(live))
-    links = cut_lineage(verify(opened_pairs(cut_lineage(meeting(firsts(live)))), live))
-    return groups if links.isEmpty() else merge_groups(groups, links)
+    # a set belongs to the crowd of the leader that it is nearest to, linked or not
+    nearest = asked.where(at_least(NEAR)).groupBy(F.col("a").alias("c")).agg(F.max_by("b", F.struct(F.col("common") / (F.col("na") + F.col("nb") - F.col("common")), "b")).alias("b"))
+    crowd = nearest.join(groups.select(F.col("c").alias("b"), F.col("g").alias("y")), "b").select("c", "y")
+    live = live.join(meeting(firsts(live)).select("c").distinct(), "c", "left_semi").join(crowd, "c", "left").withColumn("y", F.coalesce("y", "g"))
+    live = cut_lineage(qualifying(live))
+    seen = deviations(live)
+    groups = merge_groups(groups, core_links(seen))
+    seen = seen.drop("g").join(groups, "c")
+    groups = merge_groups(groups, cut_lineage(deviant_links(seen)))
+    # pairs of one crowd are done; what is left are sets of different crowds
+    live = live.withColumn("g", F.col("y"))
+    live = cut_lineage(qualifying(live.join(meeting(firsts(live)).select("c").distinct(), "c", "left_semi")))
+    links = compared(opened_pairs(cut_lineage(meeting(firsts(live)))), live).where(at_least(PERCENT))
+    return merge_groups(groups, cut_lineage(links.select("a", "b")))
 
 
 def join(docs: DataFrame) -> DataFrame:
