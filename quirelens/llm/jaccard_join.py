@@ -379,26 +379,20 @@ def opened_pairs(rows: DataFrame) -> DataFrame:
 def groups_of(docs: DataFrame, measured: DataFrame) -> DataFrame:
     """Component labels (c, g) of the classes that may link."""
     parts = cut_lineage(shared_parts(cut_lineage(class_sets(docs, linkable(docs, measured)))))
-    groups = parts.select("c", F.col("c").alias("g"))
     live = parts.withColumn("g", F.col("c"))
-    for marks in (least_shingles(), commonest_shingles()):
-        asked = cut_lineage(compared(ask_leaders(live, marks), live))
-        groups = merge_groups(groups, asked.where(at_least(PERCENT)).select("a", "b"))
-        live = live.drop("g").join(groups, "c")
+    asked = cut_lineage(compared(ask_leaders(live, least_shingles() + commonest_shingles()), live))
+    groups = merge_groups(live.select("c", "g"), asked.where(at_least(PERCENT)).select("a", "b"))
     # a set belongs to the crowd of the leader that it is nearest to, linked or not
     nearest = asked.where(at_least(NEAR)).groupBy(F.col("a").alias("c")).agg(F.max_by("b", F.struct(F.col("common") / (F.col("na") + F.col("nb") - F.col("common")), "b")).alias("b"))
     crowd = nearest.join(groups.select(F.col("c").alias("b"), F.col("g").alias("y")), "b").select("c", "y")
-    live = live.join(meeting(firsts(live)).select("c").distinct(), "c", "left_semi").join(crowd, "c", "left").withColumn("y", F.coalesce("y", "g"))
-    live = cut_lineage(qualifying(live))
+    live = cut_lineage(live.drop("g").join(groups, "c").join(crowd, "c", "left").withColumn("y", F.coalesce("y", "g")))
+    live = cut_lineage(qualifying(live.join(meeting(firsts(live)).select("c").distinct(), "c", "left_semi")))
     seen = deviations(live)
     groups = merge_groups(groups, core_links(seen))
-    seen = seen.drop("g").join(groups, "c")
-    groups = merge_groups(groups, cut_lineage(deviant_links(seen)))
+    links = deviant_links(seen.drop("g").join(groups, "c"))
     # pairs of one crowd are done; what is left are sets of different crowds
-    live = live.withColumn("g", F.col("y"))
-    live = cut_lineage(qualifying(live.join(meeting(firsts(live)).select("c").distinct(), "c", "left_semi")))
-    links = compared(opened_pairs(cut_lineage(meeting(firsts(live)))), live).where(at_least(PERCENT))
-    return merge_groups(groups, cut_lineage(links.select("a", "b")))
+    pairs = opened_pairs(cut_lineage(meeting(firsts(live.withColumn("g", F.col("y"))))))
+    return merge_groups(groups, cut_lineage(links.unionByName(compared(pairs, live).where(at_least(PERCENT)).select("a", "b"))))
 
 
 def join(docs: DataFrame) -> DataFrame:
