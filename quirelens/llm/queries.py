@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirelens.llm import bpe, chat, jaccard_join, mixing, pii, quality, spotsigs, suffix_dedup, toxicity, urls
-from quirelens.runtime import table
+from quirelens import runtime
 
 #: Where the vocabulary files of the public tokenizers lie (a parameter; they are not part of the repository).
 TOKENIZER_FILE = "word_bpe_49k.json"
@@ -23,6 +23,11 @@ def tokenizer_path(name: str = TOKENIZER_FILE) -> str:
     return public_tokenizers.path(name)
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    runtime.small_batches(spark)
+    return runtime.table(spark, sf_dir, name)
+
+
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(table(spark, sf_dir, "documents"))
 

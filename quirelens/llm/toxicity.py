@@ -208,7 +208,7 @@ def collect_windows(sample: DataFrame, triggers: list[str]) -> list[list[str]]:
             for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 words = [trim(t) for t in text.split()]
                 chunks = [words[k : k + CHAIN] for k in range(0, len(words), CHAIN)]
-                hits = [c for c in chunks if any(t in marks for w in c for t in terms_of(w))][:4]
+                hits = [c for c in chunks if any(t in marks for w in c for t in terms_of(w))]
                 if chunks:
                     hits.append(chunks[i % len(chunks)])
                 out += hits
