@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quirelens.llm import bpe, jaccard_join, mixing, pii, quality
 from quirelens.llm.queries import tokenizer_path
-from quirelens.runtime import shared_folder, table
+from quirelens.runtime import shared_folder, small_batches, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -24,6 +24,7 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go; kept ones lose their failing lines."""
+    small_batches(spark)
     kept = quality.judge(docs.select(*COLUMNS)).where("kept")
     return _counted(kept.withColumn("text", F.col("clean_text")))
 
@@ -43,6 +44,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     A document is a distinct (doc_id, text). Those without an id come last, those of one id go by their texts' hashes;
     of rows that are one document the one with the smallest other columns stays.
     """
+    small_batches(spark)
     own = _keyed(docs)
     linked = jaccard_join.join(own.select(F.struct(*KEY).alias("doc_id"), "text"))
     heads = linked.where("doc_id = component_id").select("doc_id.*").distinct()
@@ -52,16 +54,19 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every span found gives way to its kind in brackets."""
+    small_batches(spark)
     return _counted(pii.redact(docs.select(*COLUMNS)))
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its source's target takes it."""
+    small_batches(spark)
     return mixing.mix(docs.select(*COLUMNS))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, n_tokens, ids (packed), decoded text."""
+    small_batches(spark)
     ids = bpe.encode(docs.select("doc_id", "source", "text"), tokenizer_path()).select("doc_id", "source", "ids")
     return bpe.decode(ids, tokenizer_path()).select("doc_id", "source", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", "decoded")
 
