@@ -44,7 +44,7 @@ SETS = 2_000
 FILTER_BITS = (1 << 16, 1 << 27)
 
 
-def kept(df: DataFrame, rows: int = 50_000) -> DataFrame:
+def written(df: DataFrame, rows: int = 50_000) -> DataFrame:
     """``df`` written and read again in as few partitions as its rows need, so that small tables don't make many small files."""
     out = cut_lineage(df)
     return out.coalesce(max(1, -(-out.count() // rows)))
@@ -162,7 +162,7 @@ def linkable(docs: DataFrame, measured: DataFrame) -> DataFrame:
     by = Window.partitionBy("k")  # shingles of many classes are in the frequent list and have no rows here
     met = low_rows(docs, frequent_list(measured)).withColumn("lo", F.min("c").over(by)).withColumn("hi", F.max("c").over(by))
     met = met.where("lo < hi OR need <= 0").select("k", "c", "need").distinct()
-    return kept(met.groupBy("c").agg(F.count(F.lit(1)).alias("f"), F.max("need").alias("need")).where("f >= need").select("c"))
+    return written(met.groupBy("c").agg(F.count(F.lit(1)).alias("f"), F.max("need").alias("need")).where("f >= need").select("c"))
 
 
 def class_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -226,7 +226,7 @@ def shared_parts(sets: DataFrame) -> DataFrame:
     first, then the others by the number of sets that hold them.
     """
     each = sets.select("c", F.size("hs").cast("long").alias("n"), F.explode("hs").alias("h"))
-    counts = kept(each.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1"))  # written, so that a hot shingle's side of the join can be split
+    counts = written(each.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1"))  # written, so that a hot shingle's side of the join can be split
     kept = each.join(counts, "h").select("c", "n", "h", "df").repartition("c")
     parts = kept.groupBy("c").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "h"))).alias("toks"))  # at most a set
     return parts.where(100 * F.size("toks") >= PERCENT * F.col("n"))
@@ -249,13 +249,13 @@ def components(links: DataFrame) -> DataFrame:
 
     Labels fall to the least neighbour's, twice in one job, then jump to that label's own label.
     """
-    edges = kept(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    edges = written(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = edges.groupBy(F.col("a").alias("c")).agg(F.least(F.col("a"), F.min("b")).alias("g"))
     while True:
         for _ in range(2):
             near = edges.join(labels, F.col("b") == F.col("c")).groupBy("a").agg(F.min("g").alias("low"))
             labels = labels.join(near, F.col("c") == F.col("a")).select("c", F.least("g", "low").alias("g"), F.col("g").alias("old"))
-        labels = kept(labels)
+        labels = written(labels)
         if labels.where("g <> old").isEmpty():
             return labels.select("c", "g")
         jump = labels.select(F.col("c").alias("via"), F.col("g").alias("far"))
@@ -268,7 +268,7 @@ def merge_groups(groups: DataFrame, links: DataFrame) -> DataFrame:
         return groups
     ends = links.join(groups.select(F.col("c").alias("a"), F.col("g").alias("ga")), "a").join(groups.select(F.col("c").alias("b"), F.col("g").alias("gb")), "b")
     moved = components(ends.where("ga <> gb").select(F.col("ga").alias("a"), F.col("gb").alias("b")).distinct())
-    return kept(groups.join(moved.select(F.col("c").alias("g"), F.col("g").alias("to")), "g", "left").select("c", F.coalesce("to", "g").alias("g")))
+    return written(groups.join(moved.select(F.col("c").alias("g"), F.col("g").alias("to")), "g", "left").select("c", F.coalesce("to", "g").alias("g")))
 
 
 def ask_leaders(live: DataFrame, marks: list[Column]) -> DataFrame:
@@ -278,7 +278,7 @@ def ask_leaders(live: DataFrame, marks: list[Column]) -> DataFrame:
     keys = [F.struct(F.xxhash64(mark, band(j), F.lit(j % 2)).alias("s")) for j, mark in enumerate(marks)]
     signed = live.select("c", "n", "g", (F.size("toks") / F.col("n")).alias("share"), F.explode(F.array(*keys)).alias("x")).select("c", "n", "g", "share", "x.s").where("s IS NOT NULL")
     leads = signed.groupBy("s").agg(F.max_by(F.struct("c", "n", "g"), F.struct("share", "c")).alias("lead"), (F.min("g") < F.max("g")).alias("open")).where("open").select("s", "lead")
-    met = signed.join(kept(leads), "s").where((F.col("g") != F.col("lead.g")) & close(F.col("n"), F.col("lead.n")))
+    met = signed.join(written(leads), "s").where((F.col("g") != F.col("lead.g")) & close(F.col("n"), F.col("lead.n")))
     return met.select(F.col("c").alias("a"), F.col("lead.c").alias("b")).distinct()
 
 
@@ -298,19 +298,19 @@ def deviations(live: DataFrame) -> DataFrame:
     its differences, so they link exactly if x + x' <= 2 * (100 + PERCENT) * (number of differences they share).
     """
     own = live.select("c", "n", "g", "y", F.transform("toks", lambda x: x["h"]).alias("hs"))
-    crowds = kept(own.groupBy("y").agg(F.count(F.lit(1)).alias("m"), (F.min("g") < F.max("g")).alias("open")).where("open").select("y", "m"))
+    crowds = written(own.groupBy("y").agg(F.count(F.lit(1)).alias("m"), (F.min("g") < F.max("g")).alias("open")).where("open").select("y", "m"))
     own = own.join(crowds, "y")
     held = own.select("y", "m", F.explode("hs").alias("h")).groupBy("y", "m", "h").agg(F.count(F.lit(1)).alias("k")).where("2 * k > m")
-    core = kept(held.groupBy("y").agg(F.collect_list("h").alias("core")))  # under twice the mean size of its sets
+    core = written(held.groupBy("y").agg(F.collect_list("h").alias("core")))  # under twice the mean size of its sets
     seen = own.join(core, "y", "left").withColumn("core", F.coalesce("core", F.array().cast("array<bigint>")))
     rest = F.array_sort(F.concat(F.array_except("core", "hs"), F.array_except("hs", "core")))
     seen = seen.select("c", "g", "y", "n", (F.col("n") - F.size("hs")).alias("alone"), rest.alias("rest"))
     x = (100 + PERCENT) * (F.size("rest") + F.col("alone")) - (100 - PERCENT) * F.col("n")
-    return kept(seen.select("c", "g", "y", "rest", x.alias("x")), SETS)
+    return written(seen.select("c", "g", "y", "rest", x.alias("x")), SETS)
 
 
 def centres(seen: DataFrame) -> DataFrame:
-    return kept(seen.groupBy("y").agg(F.min_by(F.struct("c", "g", "x"), F.struct("x", "c")).alias("centre")))
+    return written(seen.groupBy("y").agg(F.min_by(F.struct("c", "g", "x"), F.struct("x", "c")).alias("centre")))
 
 
 def core_links(seen: DataFrame) -> DataFrame:
@@ -322,11 +322,11 @@ def deviant_links(seen: DataFrame) -> DataFrame:
     """(a, b): the other links between components of a crowd. Such sets share differences, at least one among the first
     of each, so the index of differences finds them; a member of the centre's component is only asked, never asks."""
     placed = seen.join(centres(seen), "y").withColumn("inside", F.col("g") == F.col("centre.g"))
-    outer = kept(placed.where("NOT inside").groupBy("y").agg(F.min("x").alias("x_out")))
+    outer = written(placed.where("NOT inside").groupBy("y").agg(F.min("x").alias("x_out")))
     placed = placed.join(outer, "y")
     need = F.greatest(F.lit(1), F.ceil((F.col("x") + F.when(F.col("inside"), F.col("x_out")).otherwise(F.least("centre.x", "x_out"))) / (2.0 * (100 + PERCENT)) - 1e-9))
     count = F.greatest(F.size("rest") - need + 1, F.lit(0)).cast("int")
-    rows = kept(placed.select("y", "c", "g", "inside", F.explode(F.slice("rest", F.lit(1), count)).alias("h")))
+    rows = written(placed.select("y", "c", "g", "inside", F.explode(F.slice("rest", F.lit(1), count)).alias("h")))
     asking = rows.where("NOT inside").select("y", "h", F.col("c").alias("a"), F.col("g").alias("ga"))
     told = rows.select("y", "h", F.col("c").alias("b"), F.col("g").alias("gb"), "inside")
     pairs = asking.join(told, ["y", "h"]).where((F.col("ga") != F.col("gb")) & (F.col("inside") | (F.col("a") < F.col("b")))).select("a", "b").distinct()
@@ -344,7 +344,7 @@ def firsts(live: DataFrame) -> DataFrame:
 
 def meeting(rows: DataFrame) -> DataFrame:
     """The rows of :func:`firsts` whose shingle is held by another group too, of sets that share enough of their first shingles."""
-    spans = kept(rows.groupBy("h").agg(F.min("g").alias("g0"), F.max("g").alias("g1"), F.min("n").alias("n0"), F.max("n").alias("n1")).where("g0 < g1"))
+    spans = written(rows.groupBy("h").agg(F.min("g").alias("g0"), F.max("g").alias("g1"), F.min("n").alias("n0"), F.max("n").alias("n1")).where("g0 < g1"))
     met = rows.join(spans, "h")
     low, high = F.greatest("n0", F.ceil(PERCENT * F.col("n") / 100 - 1e-9)), F.least("n1", F.floor(100 * F.col("n") / PERCENT + 1e-9))
     seen = met.groupBy("c", "n").agg(F.count(F.lit(1)).alias("shared"), F.min(low).alias("low"), F.max(high).alias("high"))
@@ -362,7 +362,7 @@ def qualifying(live: DataFrame) -> DataFrame:
     each = live.select("c", "n", "g", F.explode("toks").alias("x")).select("x.h", "c", "n", "g")
     band = F.floor(F.log("n") / np.log(1.04))
     cells = each.groupBy("h", band.alias("band")).agg(F.min("g").alias("g0"), F.max("g").alias("g1"), F.min("n").alias("n0"), F.max("n").alias("n1"))
-    matrix = kept(cells.groupBy("h").agg(F.collect_list(F.struct("band", "g0", "g1", "n0", "n1")).alias("cells"), F.min("g0").alias("low"), F.max("g1").alias("high")).where("low < high").select("h", "cells"))
+    matrix = written(cells.groupBy("h").agg(F.collect_list(F.struct("band", "g0", "g1", "n0", "n1")).alias("cells"), F.min("g0").alias("low"), F.max("g1").alias("high")).where("low < high").select("h", "cells"))
     open_ = lambda x: ((x["g0"] != F.col("g")) | (x["g1"] != F.col("g"))) & (100 * x["n1"] >= PERCENT * F.col("n")) & (PERCENT * x["n0"] <= 100 * F.col("n"))
     met = each.join(matrix, "h").select("c", "n", F.explode(F.filter("cells", open_)).alias("x")).select("c", "n", "x.band", "x.n0")
     told = met.groupBy("c", "n", "band").agg(F.count(F.lit(1)).alias("common"), F.min("n0").alias("n0"))
@@ -377,7 +377,7 @@ def opened_pairs(rows: DataFrame) -> DataFrame:
     asks = rows.join(union, "h").where("g <> other").groupBy("c", "n", "other").agg(F.count(F.lit(1)).alias("shared")).join(spans.withColumnRenamed("g", "other"), "other")
     low, high = F.greatest("least", F.ceil(PERCENT * F.col("n") / 100 - 1e-9)), F.least("most", F.floor(100 * F.col("n") / PERCENT + 1e-9))
     bound = F.least(shared_at_least(F.col("n"), low), shared_at_least(F.col("n"), high)) - 2
-    opened = kept(asks.where((low <= high) & (F.col("shared") >= bound)).select("c", "other"))
+    opened = written(asks.where((low <= high) & (F.col("shared") >= bound)).select("c", "other"))
     asking = rows.join(opened, "c").select("h", "c", "n", "other")
     inside = rows.select("h", F.col("c").alias("b"), F.col("n").alias("nb"), F.col("g").alias("other"))
     met = asking.join(inside, ["h", "other"]).where(close(F.col("n"), F.col("nb")) & (F.col("c") < F.col("b"))).groupBy(F.col("c").alias("a"), "b", "n", "nb").agg(F.count(F.lit(1)).alias("shared"))
@@ -386,21 +386,21 @@ def opened_pairs(rows: DataFrame) -> DataFrame:
 
 def groups_of(docs: DataFrame, measured: DataFrame) -> DataFrame:
     """Component labels (c, g) of the classes that may link."""
-    parts = kept(shared_parts(kept(class_sets(docs, linkable(docs, measured)), SETS)), SETS)
+    parts = written(shared_parts(written(class_sets(docs, linkable(docs, measured)), SETS)), SETS)
     live = parts.withColumn("g", F.col("c"))
-    asked = kept(compared(ask_leaders(live, least_shingles() + commonest_shingles()), live))
+    asked = written(compared(ask_leaders(live, least_shingles() + commonest_shingles()), live))
     groups = merge_groups(live.select("c", "g"), asked.where(at_least(PERCENT)).select("a", "b"))
     # a set belongs to the crowd of the leader that it is nearest to, linked or not
     nearest = asked.where(at_least(NEAR)).groupBy(F.col("a").alias("c")).agg(F.max_by("b", F.struct(F.col("common") / (F.col("na") + F.col("nb") - F.col("common")), "b")).alias("b"))
     crowd = nearest.join(groups.select(F.col("c").alias("b"), F.col("g").alias("y")), "b").select("c", "y")
-    live = kept(live.drop("g").join(groups, "c").join(crowd, "c", "left").withColumn("y", F.coalesce("y", "g")), SETS)
-    live = kept(qualifying(live.join(meeting(firsts(live)).select("c").distinct(), "c", "left_semi")), SETS)
+    live = written(live.drop("g").join(groups, "c").join(crowd, "c", "left").withColumn("y", F.coalesce("y", "g")), SETS)
+    live = written(qualifying(live.join(meeting(firsts(live)).select("c").distinct(), "c", "left_semi")), SETS)
     seen = deviations(live)
     groups = merge_groups(groups, core_links(seen))
     links = deviant_links(seen.drop("g").join(groups, "c"))
     # pairs of one crowd are done; what is left are sets of different crowds
-    pairs = opened_pairs(kept(meeting(firsts(live.withColumn("g", F.col("y"))))))
-    return merge_groups(groups, kept(links.unionByName(compared(pairs, live).where(at_least(PERCENT)).select("a", "b"))))
+    pairs = opened_pairs(written(meeting(firsts(live.withColumn("g", F.col("y"))))))
+    return merge_groups(groups, written(links.unionByName(compared(pairs, live).where(at_least(PERCENT)).select("a", "b"))))
 
 
 def join(docs: DataFrame) -> DataFrame:
