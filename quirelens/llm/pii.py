@@ -1,7 +1,8 @@
 """Personal data: fixed patterns as seeds, and bootstrapped contextual extraction of identifiers they miss.
 
-Seeds are e-mail addresses, IPv4 addresses, payment cards and phone numbers. The words around the seeds induce lexical
-patterns (kind, word before or word after). A pattern and the identifier-like tokens that stand in its slot form a
+Seeds are e-mail addresses, IPv4 addresses, payment cards, phone numbers (the base kinds) and long hexadecimal keys
+(secrets). The words around the seeds induce lexical patterns: (kind, word before, two words before, or word after),
+quotes and brackets beside a value left aside. A pattern and the identifier-like tokens that stand in its slot form a
 bipartite graph; confidence runs over it from both sides for a few rounds:
 
 * a pattern is as good as the mean confidence of its instances (the seeds of its kind 1, other kinds 0)
@@ -18,8 +19,9 @@ from pyspark.sql import functions as F
 
 from quirelens.runtime import cut_lineage
 
-#: Order in which kinds are written.
-KINDS = ("email", "ip", "card", "phone")
+#: Order in which kinds are written; the first BASE of them are the base kinds.
+KINDS = ("email", "ip", "card", "phone", "secret")
+BASE = 4
 # Possessive loops and the look at the character before (or the end of the last match) keep the leftmost matches as they
 # are and the search linear: a match that fails at the beginning of a run fails inside it too.
 PATTERNS = {
@@ -27,13 +29,16 @@ PATTERNS = {
     "ip": r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++){3}",
     "card": r"[0-9](?:[ -]?[0-9])++",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
+    "secret": r"(?<![A-Za-z0-9])[0-9A-Fa-f]{32,128}+(?![A-Za-z0-9])",
 }
 #: What a text must hold before a pattern is tried on it.
-NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[ -]?[0-9]){15}", "phone": r"\+[0-9][ ().0-9-]"}
+NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[ -]?[0-9]){15}", "phone": r"\+[0-9][ ().0-9-]", "secret": r"[0-9A-Fa-f]{32}"}
 #: Identifier-like tokens: candidates for the slots of patterns, with the words around them.
 TOKEN = r"(?<![^\x20\x09-\x0D])(?=[^\x20\x09-\x0D]{0,63}[0-9@])[^\x20\x09-\x0D]{5,64}(?![^\x20\x09-\x0D])"
 MIN_SEEDS, MIN_CONFIDENCE, ROUNDS = 5, 0.8, 3
+#: Characters beside a token that are looked at for its words; words, gaps and the marks that may stand beside a value.
 CONTEXT = 40
+WORD, GAP, QUOTES = r"[^\x20\x09-\x0D]+", r"[\x20\x09-\x0D]+", r"[\x22\x27(\[<>\])]{0,2}"
 
 
 def spans(text: Column, kind: str) -> Column:
@@ -75,13 +80,15 @@ def valid(value: Column, kind: str) -> Column:
         return F.length(d).between(16, 19) & luhn(d)
     if kind == "phone":
         return F.length(digits(value)).between(8, 15)
+    if kind == "secret":
+        return F.regexp_like(value, F.lit("[0-9]")) & F.regexp_like(value, F.lit("[A-Fa-f]"))
     return F.lit(True)
 
 
 EMPTY = "array<struct<n:int,start:int,end:int,value:string>>"
 
 
-def base_spans(text: Column) -> Column:
+def seed_spans(text: Column) -> Column:
     """Array of (n: place in KINDS, start, end, value) of the seeds, by kind and start."""
 
     def of_kind(n: int) -> Column:
@@ -94,6 +101,10 @@ def plain(found: Column) -> Column:
     return F.transform(found, lambda s: F.struct(s["n"].alias("n"), s["start"].alias("start"), s["end"].alias("end")))
 
 
+def only_base(found: Column) -> Column:
+    return F.filter(found, lambda s: s["n"] < BASE)
+
+
 def keyed(df: DataFrame) -> DataFrame:
     """doc_id, text (null: empty), and two hashes of the row that serve as its key."""
     text = F.coalesce("text", F.lit(""))
@@ -102,7 +113,7 @@ def keyed(df: DataFrame) -> DataFrame:
 
 def measured(df: DataFrame) -> DataFrame:
     """doc_id, h1, h2, base, and tokens: identifier-like tokens that no seed overlaps, and the seeds, with the words around them."""
-    rows = keyed(df).withColumn("base", base_spans(F.col("text")))
+    rows = keyed(df).withColumn("base", seed_spans(F.col("text")))
     text = F.col("text")
     found = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
     gaps = F.split(text, TOKEN, -1)
@@ -119,9 +130,11 @@ def measured(df: DataFrame) -> DataFrame:
     def around(t: Column) -> Column:
         # the window before starts CONTEXT characters before the token, or at the text's beginning
         first = F.greatest(t["start"] - CONTEXT, F.lit(0))
-        left = F.regexp_extract(F.substring(text, first + 1, t["start"] - first), r"([^\x20\x09-\x0D]+)[\x20\x09-\x0D]+$", 1)
-        right = F.regexp_extract(F.substring(text, t["end"] + 1, F.lit(CONTEXT)), r"^[\x20\x09-\x0D]+([^\x20\x09-\x0D]+)", 1)
-        return F.struct(t["n"].alias("n"), t["start"].alias("start"), t["end"].alias("end"), F.sha2(t["value"], 256).alias("value"), F.lower(left).alias("before"), F.lower(right).alias("after"))
+        window = F.substring(text, first + 1, t["start"] - first)
+        left = F.regexp_extract(window, rf"({WORD}){GAP}{QUOTES}$", 1)
+        two = F.regexp_replace(F.regexp_extract(window, rf"({WORD}{GAP}{WORD}){GAP}{QUOTES}$", 1), GAP, " ")
+        right = F.regexp_extract(F.substring(text, t["end"] + 1, F.lit(CONTEXT)), rf"^{QUOTES}{GAP}({WORD})", 1)
+        return F.struct(t["n"].alias("n"), t["start"].alias("start"), t["end"].alias("end"), F.sha2(t["value"], 256).alias("value"), F.lower(left).alias("before"), F.lower(two).alias("two"), F.lower(right).alias("after"))
 
     has = F.regexp_like(text, F.lit("[0-9@]"))
     tokens = F.when(has, F.transform(F.concat(F.col("base"), free), around))
@@ -131,7 +144,7 @@ def measured(df: DataFrame) -> DataFrame:
 def discover(narrow: DataFrame) -> DataFrame:
     """(h1, h2, new): spans that no fixed pattern took, found by confident lexical patterns."""
     each = narrow.where("tokens IS NOT NULL").select("h1", "h2", F.explode("tokens").alias("t")).select("h1", "h2", "t.*")
-    slots = F.filter(F.array(F.struct(F.lit("<").alias("side"), F.col("before").alias("word")), F.struct(F.lit(">").alias("side"), F.col("after").alias("word"))), lambda s: s["word"] != "")
+    slots = F.filter(F.array(*(F.struct(F.lit(side).alias("side"), F.col(c).alias("word")) for side, c in (("<", "before"), ("<<", "two"), (">", "after")))), lambda s: s["word"] != "")
     edges = each.select("h1", "h2", "start", "end", "value", "n", F.explode(slots).alias("slot")).select("h1", "h2", "start", "end", "value", "n", "slot.side", "slot.word")
     # an instance is a value: the same value in many texts is one node of the graph
     graph = cut_lineage(edges.select("side", "word", "value", "n").distinct())
@@ -160,8 +173,8 @@ def find(df: DataFrame) -> DataFrame:
     """
     keep = [c for c in df.columns if c not in ("base", "found")]
     text = F.coalesce("text", F.lit(""))
-    rows = df.select(*(F.col(c).alias(f"r_{k}") for k, c in enumerate(keep)), plain(base_spans(text)).alias("base"), F.xxhash64("doc_id", text).alias("h1"), F.xxhash64(text, F.lit("key"), F.col("doc_id")).alias("h2"))
-    return with_new(rows, discover(cut_lineage(measured(df)))).select(*(F.col(f"r_{k}").alias(c) for k, c in enumerate(keep)), "base", "found")
+    rows = df.select(*(F.col(c).alias(f"r_{k}") for k, c in enumerate(keep)), plain(seed_spans(text)).alias("base"), F.xxhash64("doc_id", text).alias("h1"), F.xxhash64(text, F.lit("key"), F.col("doc_id")).alias("h2"))
+    return with_new(rows, discover(cut_lineage(measured(df)))).select(*(F.col(f"r_{k}").alias(c) for k, c in enumerate(keep)), only_base(F.col("base")).alias("base"), "found")
 
 
 def redact(df: DataFrame) -> DataFrame:
@@ -189,5 +202,5 @@ def written(found: Column) -> Column:
 def digest(df: DataFrame) -> DataFrame:
     narrow = cut_lineage(measured(df))
     both = with_new(narrow.drop("tokens"), discover(narrow))
-    counts = [F.size(F.filter("base", (lambda n: lambda s: s["n"] == n)(n))).cast("long").alias(f"n_{k}") for n, k in enumerate(KINDS)]
-    return both.select("doc_id", *counts, F.sha2(written(F.col("base")), 256).alias("base_sha256"), written(F.col("found")).alias("spans"))
+    counts = [F.size(F.filter("base", (lambda n: lambda s: s["n"] == n)(n))).cast("long").alias(f"n_{k}") for n, k in enumerate(KINDS[:BASE])]
+    return both.select("doc_id", *counts, F.sha2(written(only_base(F.col("base"))), 256).alias("base_sha256"), written(F.col("found")).alias("spans"), F.size("found").cast("long").alias("n_spans"))

@@ -60,3 +60,13 @@ def test_bootstrapping_and_redaction(spark):
     assert clean.columns == df.columns and clean.count() == len(rows)
     have = {r.doc_id: r.text for r in clean.collect()}
     assert have[100] == "we saw mailto [EMAIL] thanks indeed" and have[101] == rows[41][1] and have[102] == "see [EMAIL]" and have[None] is None
+
+
+def test_contexts_discover(spark):
+    key = "0123456789abcdef" * 2
+    rows = [(k, f'word{k} other{k} token = "{key[: -len(str(k))]}{k}" end{k}') for k in range(10, 22)] + [(99, 'so token = "hunter2-not-hex-9" it was'), (100, 'so tokens are "hunter3-not-hex-9" here')]
+    got = {r.doc_id: (r.spans, r.n_spans) for r in pii.digest(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    at = rows[12][1].index('"')
+    assert got[99] == (f"secret:{at}:{at + 19}", 1) and got[100] == ("", 0)
+    assert all(got[k][0].startswith("secret:") for k in range(10, 22))
+    assert {r.text for r in pii.redact(spark.createDataFrame(rows[12:], "doc_id bigint, text string")).collect()} == {rows[12][1], rows[13][1]}
