@@ -39,9 +39,15 @@ def still_to_do(batch: DataFrame, saved: DataFrame, required: list[str]) -> Data
     return batch.join(complete, "doc_id", "left_anti")
 
 
-def unseen_by_path(images: DataFrame, saved: DataFrame) -> DataFrame:
-    """Images none of whose saved ids is part of their path (the substring form; ids are compared within a folder)."""
-    return images.join(saved, (images["folder"] == saved["saved_folder"]) & F.contains(images["path"], saved["saved_id"]), "left_anti")
+def unseen_by_path(images: DataFrame, saved: DataFrame, key: str) -> DataFrame:
+    """Images none of whose saved ids (``saved_id``, runs of digits) is part of their path.
+
+    An id that a path holds is a part of one of its runs of digits, so all parts of these runs meet the ids by equality.
+    """
+    runs = F.regexp_extract_all("path", F.lit("([0-9]+)"), F.lit(1))
+    cuts = F.flatten(F.transform(runs, lambda r: F.flatten(F.transform(F.sequence(F.lit(1), F.length(r)), lambda i: F.transform(F.sequence(i, F.length(r)), lambda j: r.substr(i, j - i + 1))))))
+    held = images.select(key, F.explode(F.array_distinct(cuts)).alias("saved_id")).join(saved.select("saved_id"), "saved_id").select(key).distinct()
+    return images.join(held, key, "left_anti")
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quirelens.functions import text as T
+from quirelens.runtime import cut_lineage
+from quirelens.sources import tables as files
 
 
 def vocabulary(docs: DataFrame, text: str = "text", size: int = 100, min_df: float = 0.01, max_df: float = 0.5, clean=T.clean_text) -> DataFrame:
@@ -39,11 +42,13 @@ def statistics(df: DataFrame, features: list[str]) -> DataFrame:
 
 
 def merge_statistics(*stats: DataFrame) -> DataFrame:
-    """Statistics of the union from those of its parts."""
+    """Statistics of the union from those of its parts.
+
+    A mean times its count differs from the sum in the last digits; 14 digits of it are the sum again."""
     both = stats[0]
     for s in stats[1:]:
         both = both.unionByName(s)
-    return both.groupBy("feature").agg((F.sum(F.col("mean") * F.col("n")) / F.sum("n")).alias("mean"), F.sum("n").alias("n"), F.min("min").alias("min"), F.max("max").alias("max")).select("feature", "n", "mean", "min", "max")
+    return both.groupBy("feature").agg((F.sum(F.format_string("%.13e", F.col("mean") * F.col("n")).cast("double")) / F.sum("n")).alias("mean"), F.sum("n").alias("n"), F.min("min").alias("min"), F.max("max").alias("max")).select("feature", "n", "mean", "min", "max")
 
 
 def scaled(value: Column, least: Column, most: Column, mean: Column | None = None) -> Column:
@@ -61,6 +66,19 @@ def scale(df: DataFrame, stats: DataFrame, features: list[str], impute: str = "z
     return wide.withColumns(out).select(*df.columns)
 
 
+def normalise(spark: SparkSession, df: DataFrame, features: list[str], path: str, train: bool) -> DataFrame:
+    """Scale by stored statistics. Training merges the batch's statistics into the stored ones first; without any,
+    prediction fails."""
+    if train:
+        new = statistics(df, features)
+        try:
+            new = cut_lineage(merge_statistics(files.read_statistics(spark, path, features), new))
+        except AnalysisException:  # nothing stored yet
+            pass
+        files.write_statistics(new, path, features)
+    return scale(df, files.read_statistics(spark, path, features), features)
+
+
 def knn_vote(queries: DataFrame, train: DataFrame, k: int = 5) -> DataFrame:
     """(doc_id, p1): share of class 1 among the k nearest training rows, weighted by inverse distance; zero distances take all.
 

@@ -122,11 +122,11 @@ def labelled_rows(spark, sf_dir):
 
 
 @query("unseen_by_path", """SELECT p.page_id, p.url AS path FROM pages p WHERE NOT EXISTS (
-  SELECT 1 FROM labels l WHERE l.toxic = 1 AND l.doc_id % 16 = p.page_id % 16 AND contains(p.url, CAST(l.doc_id AS VARCHAR)))""")
+  SELECT 1 FROM labels l WHERE l.toxic = 1 AND contains(p.url, CAST(l.doc_id AS VARCHAR)))""")
 def unseen_by_path(spark, sf_dir):
-    images = table(spark, sf_dir, "pages").select("page_id", F.col("url").alias("path"), (F.col("page_id") % 16).alias("folder"))
-    saved = table(spark, sf_dir, "labels").where("toxic = 1").select(F.col("doc_id").cast("string").alias("saved_id"), (F.col("doc_id") % 16).alias("saved_folder"))
-    return curation.unseen_by_path(images, saved).select("page_id", "path")
+    images = table(spark, sf_dir, "pages").select("page_id", F.col("url").alias("path"))
+    saved = table(spark, sf_dir, "labels").where("toxic = 1").select(F.col("doc_id").cast("string").alias("saved_id"))
+    return curation.unseen_by_path(images, saved, "page_id").select("page_id", "path")
 
 
 @query("processed_union", "SELECT doc_id FROM labels WHERE toxic = 1 UNION SELECT doc_id FROM labels WHERE quality = 0 UNION SELECT doc_id FROM documents WHERE lang = 'es'")

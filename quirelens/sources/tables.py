@@ -61,6 +61,23 @@ def read_statistics(spark: SparkSession, path: str, features: list[str]) -> Data
     return stats
 
 
+def write_statistics(stats: DataFrame, path: str, features: list[str]) -> None:
+    """Scaling statistics, one row for every feature and none for others; checked by :func:`read_statistics`."""
+    stats.where(F.col("feature").isin(features)).write.mode("overwrite").parquet(path)
+
+
+def write_images(index: DataFrame, path: str, append: bool = True) -> None:
+    """The page image index: doc_id, page_no, image and, where known, label."""
+    index.write.mode("append" if append else "overwrite").parquet(path)
+
+
+def load_vectors(spark: SparkSession, path: str, ids: DataFrame, nets=("res", "xce", "inc")) -> DataFrame:
+    """(doc_id, page_no, vector) of the chosen documents: the networks' vectors of a page behind each other."""
+    rows = spark.read.parquet(path).join(ids.select("doc_id"), "doc_id", "left_semi")
+    wide = rows.groupBy("doc_id", "page_no").agg(*(F.first(F.when(F.col("net") == n, F.col("vector")), ignorenulls=True).alias(n) for n in nets))
+    return wide.where(" AND ".join(f"{n} IS NOT NULL" for n in nets)).select("doc_id", "page_no", F.concat(*nets).alias("vector"))
+
+
 def append_vectors(df: DataFrame, path: str) -> None:
     """Page vectors, one folder per network."""
     df.write.partitionBy("net").mode("append").parquet(path)

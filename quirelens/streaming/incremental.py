@@ -11,16 +11,17 @@ from quirelens.operators import report, vectors
 from quirelens.runtime import shared_folder
 
 
-def score_new(source: DataFrame, score, results: str, checkpoint: str, key: str = "doc_id") -> None:
+def score_new(source: DataFrame, score, results: str, checkpoint: str, key: str = "doc_id", done: DataFrame | None = None) -> None:
     """Score what the streaming ``source`` has not given yet and append it to ``results`` (Parquet); ends when all is done.
 
-    The checkpoint resumes after a stop. A batch that runs again after a failure adds nothing twice: its rows are held
-    against the results already written, within the batch's own folder.
+    The checkpoint resumes after a stop. A batch that runs again after a failure adds nothing twice, since it writes its
+    own folder anew. Ids in ``done`` are processed already and not scored again.
     """
 
     def each(batch: DataFrame, number: int) -> None:
         # one folder per batch, overwritten when the batch is repeated
-        score(batch.dropDuplicates([key])).write.mode("overwrite").parquet(f"{results}/batch={number}")
+        fresh = batch if done is None else batch.join(done.select(key), key, "left_anti")
+        score(fresh.dropDuplicates([key])).write.mode("overwrite").parquet(f"{results}/batch={number}")
 
     source.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 

@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 from quirelens.plans import catalog
+from quirelens.plans import tables as _tables  # noqa: F401  registers its queries
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
