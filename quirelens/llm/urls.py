@@ -2,8 +2,8 @@
 
 The trees learn from labelled URLs: those a rule of the list decides are the labels (their rule's verdict), and a
 caller may pass a table of its own. Features are lexical only: length, depth, digit share, entropy, parameter
-counts, and the smoothed share of blocked URLs per host suffix. Suffixes are hashed into ``SUFFIX_BUCKETS``
-buckets, so the table of suffix statistics has a fixed bound and may be broadcast.
+counts, and the smoothed share of blocked URLs per host suffix, in training without the row's own label. Suffixes are
+hashed into ``SUFFIX_BUCKETS`` buckets, so the table of suffix statistics has a fixed bound and may be broadcast.
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quirelens.runtime import cut_lineage
+
 #: The rule list of the registered query: (verdict, host, path).
 RULES = (
     ("allow", "org", "/"),
@@ -25,8 +27,10 @@ RULES = (
 #: Labelled rows that the trees see at most (by hash of the URL), and the size of the ensemble.
 MAX_LABELLED = 20_000
 TREES, DEPTH = 8, 3
+#: Probability from which a URL that no rule decides is blocked: only where the trees are sure.
+BLOCK_AT = 0.7
 SUFFIX_BUCKETS = 2_048
-FEATURES = ("url_chars", "host_chars", "path_chars", "depth", "labels", "digit_share", "entropy", "n_params", "query_chars", "has_fragment", "has_extension", "is_https", "suffix_share", "start_share")
+FEATURES = ("url_chars", "host_chars", "path_chars", "depth", "labels", "digit_share", "entropy", "n_params", "query_chars", "has_fragment", "has_extension", "is_https", "suffix_share")
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -73,14 +77,13 @@ def lexical(df: DataFrame, url: str = "url") -> DataFrame:
             "has_extension": F.regexp_like(F.col("path"), F.lit(r"\.[A-Za-z0-9]{1,5}$")).cast("double"),
             "is_https": F.startswith(F.lower(u), F.lit("https:")).cast("double"),
             "suffix_bucket": F.pmod(F.xxhash64(F.substring_index("host", ".", -2)), F.lit(SUFFIX_BUCKETS)).cast("int"),
-            "start_bucket": F.pmod(F.xxhash64(F.substring_index("host", ".", -1), F.regexp_extract("path", r"^(/[^/]*/?)", 1)), F.lit(SUFFIX_BUCKETS)).cast("int"),
         }
     )
 
 
-def bucket_share(labelled: DataFrame, bucket: str, out: str) -> DataFrame:
-    """Smoothed share of blocked URLs per bucket: SUFFIX_BUCKETS rows at most."""
-    return labelled.groupBy(bucket).agg(((F.sum("label") + 1.0) / (F.count(F.lit(1)) + 2.0)).alias(out))
+def suffix_counts(labelled: DataFrame) -> DataFrame:
+    """(suffix_bucket, blocked, seen): SUFFIX_BUCKETS rows at most."""
+    return labelled.groupBy("suffix_bucket").agg(F.sum("label").alias("blocked"), F.count(F.lit(1)).alias("seen"))
 
 
 class UrlModel:
@@ -92,17 +95,21 @@ class UrlModel:
         counts = {r[0]: r[1] for r in rows.groupBy("label").count().collect()}  # two rows
         total = sum(counts.values())
         self.default = 1.0 if counts.get(1.0, 0) > counts.get(0.0, 0) else 0.0
-        self.shares = [bucket_share(rows, "suffix_bucket", "suffix_share"), bucket_share(rows, "start_bucket", "start_share")]
+        self.counts = cut_lineage(suffix_counts(rows))
         self.model = None
         if counts.get(0.0) and counts.get(1.0):
             share = min(1.0, MAX_LABELLED / total)
             some = rows.where(F.pmod(F.xxhash64("url", F.lit("fit")), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
-            train = self.featured(some).select("features", "label", (F.when(F.col("label") == 1, total / (2.0 * counts[1.0])).otherwise(total / (2.0 * counts[0.0]))).alias("weight"))
-            self.model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, maxBins=32, stepSize=0.4, seed=11, weightCol="weight").fit(train)
-
-    def featured(self, df: DataFrame) -> DataFrame:
-        for s, name in zip(self.shares, ("suffix", "start"), strict=True):
-            df = df.join(F.broadcast(s), f"{name}_bucket", "left").fillna(0.5, f"{name}_share")
+            train = self.featured(some, F.col("label")).select("features", "label")
+            train = cut_lineage(train)  # read once for every level of every tree
+            self.model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, maxBins=32, stepSize=0.4, seed=11).fit(train)
+
+    def featured(self, df: DataFrame, own: Column | None = None) -> DataFrame:
+        """Add the feature vector; ``own`` is the label that a training row has itself put into the suffix counts."""
+        blocked, seen = F.coalesce("blocked", F.lit(0.0)), F.coalesce("seen", F.lit(0))
+        if own is not None:
+            blocked, seen = blocked - own, seen - 1
+        df = df.join(F.broadcast(self.counts), "suffix_bucket", "left").withColumn("suffix_share", (blocked + 1.0) / (seen + 2.0))
         return VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(df)
 
     def block_probability(self, df: DataFrame) -> DataFrame:
@@ -126,5 +133,5 @@ def judge(pages: DataFrame, rules=RULES, labelled: DataFrame | None = None) -> D
     df = lexical(pages.select("page_id", "url"))
     df = model.block_probability(df.withColumn("rule", matching_rule(F.col("host"), F.col("path"), rules)))
     by_rule = F.create_map(*(F.lit(x) for v, h, p in rules for x in (h + p, v)))
-    by_model = F.when(F.col("p_block") >= 0.5, "block").otherwise("allow")
+    by_model = F.when(F.col("p_block") >= BLOCK_AT, "block").otherwise("allow")
     return df.select("page_id", "host", "path", "rule", F.coalesce(by_rule[F.col("rule")], by_model).alias("verdict"), "p_block")

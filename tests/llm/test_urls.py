@@ -1,5 +1,7 @@
 import re
 
+from pyspark.sql import functions as F
+
 from quirelens.llm import urls
 from quirelens.runtime import table
 
@@ -32,3 +34,14 @@ def test_trees_learn(spark):
     assert all((r.verdict == "block") == (r.page_id % 2 == 0) for r in got)
     empty = spark.createDataFrame([], "page_id bigint, url string")
     assert urls.judge(empty).count() == 0
+
+
+def test_repeated_rows_and_own_label(spark):
+    rows = [(1, "http://a.net/x"), (1, "http://a.net/x"), (2, None), (3, "http://b.net/y")]
+    got = urls.judge(spark.createDataFrame(rows, "page_id bigint, url string")).collect()
+    assert len(got) == 4 and len({tuple(r) for r in got if r.page_id == 1}) == 1
+    # a host that stands once says nothing of its own label
+    once = spark.createDataFrame([(f"http://h{k}.s{k}.net/", float(k % 2)) for k in range(40)], "url string, label double")
+    model = urls.UrlModel(once)
+    lexical = urls.lexical(once)
+    assert {round(r.suffix_share, 3) for r in model.featured(lexical, F.col("label")).collect()} == {0.5}
