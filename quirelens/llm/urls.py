@@ -2,7 +2,7 @@
 
 The trees learn from labelled URLs: those a rule of the list decides are the labels (their rule's verdict), and a
 caller may pass a table of its own. Features are lexical only: length, depth, digit share, entropy, parameter
-counts, and the smoothed share of blocked URLs per host suffix, in training without the row's own label. Suffixes are
+counts, and the smoothed share of blocked URLs per host suffix, in training from the other folds. Suffixes are
 hashed into ``SUFFIX_BUCKETS`` buckets, so the table of suffix statistics has a fixed bound and may be broadcast.
 """
 
@@ -29,7 +29,7 @@ MAX_LABELLED = 20_000
 TREES, DEPTH = 8, 3
 #: Probability from which a URL that no rule decides is blocked: only where the trees are sure.
 BLOCK_AT = 0.7
-SUFFIX_BUCKETS = 2_048
+SUFFIX_BUCKETS, FOLDS = 2_048, 5
 FEATURES = ("url_chars", "host_chars", "path_chars", "depth", "labels", "digit_share", "entropy", "n_params", "query_chars", "has_fragment", "has_extension", "is_https", "suffix_share")
 
 
@@ -81,9 +81,13 @@ def lexical(df: DataFrame, url: str = "url") -> DataFrame:
     )
 
 
-def suffix_counts(labelled: DataFrame) -> DataFrame:
-    """(suffix_bucket, blocked, seen): SUFFIX_BUCKETS rows at most."""
-    return labelled.groupBy("suffix_bucket").agg(F.sum("label").alias("blocked"), F.count(F.lit(1)).alias("seen"))
+def fold(url: Column) -> Column:
+    return F.pmod(F.xxhash64(url, F.lit("fold")), F.lit(FOLDS))
+
+
+def suffix_counts(labelled: DataFrame, *more: Column) -> DataFrame:
+    """(suffix_bucket, blocked, seen) and further keys: SUFFIX_BUCKETS rows at most, FOLDS times that by fold."""
+    return labelled.groupBy("suffix_bucket", *more).agg(F.sum("label").alias("blocked"), F.count(F.lit(1)).alias("seen"))
 
 
 class UrlModel:
@@ -96,20 +100,25 @@ class UrlModel:
         total = sum(counts.values())
         self.default = 1.0 if counts.get(1.0, 0) > counts.get(0.0, 0) else 0.0
         self.counts = cut_lineage(suffix_counts(rows))
+        self.own_fold = cut_lineage(suffix_counts(rows, fold(F.col("url")).alias("fold")))
         self.model = None
         if counts.get(0.0) and counts.get(1.0):
             share = min(1.0, MAX_LABELLED / total)
             some = rows.where(F.pmod(F.xxhash64("url", F.lit("fit")), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
-            train = self.featured(some, F.col("label")).select("features", "label")
+            train = self.featured(some, training=True).select("features", "label")
             train = cut_lineage(train)  # read once for every level of every tree
             self.model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, maxBins=32, stepSize=0.4, seed=11).fit(train)
 
-    def featured(self, df: DataFrame, own: Column | None = None) -> DataFrame:
-        """Add the feature vector; ``own`` is the label that a training row has itself put into the suffix counts."""
+    def featured(self, df: DataFrame, training: bool = False) -> DataFrame:
+        """Add the feature vector. A training row's suffix share comes from the other folds: all rows of one fold and
+        suffix have one value, so it says nothing of the row's own label."""
+        df = df.join(F.broadcast(self.counts), "suffix_bucket", "left")
         blocked, seen = F.coalesce("blocked", F.lit(0.0)), F.coalesce("seen", F.lit(0))
-        if own is not None:
-            blocked, seen = blocked - own, seen - 1
-        df = df.join(F.broadcast(self.counts), "suffix_bucket", "left").withColumn("suffix_share", (blocked + 1.0) / (seen + 2.0))
+        if training:
+            own = self.own_fold.withColumnsRenamed({"blocked": "own_blocked", "seen": "own_seen"})
+            df = df.withColumn("fold", fold(F.col("url"))).join(F.broadcast(own), ["suffix_bucket", "fold"], "left")
+            blocked, seen = blocked - F.coalesce("own_blocked", F.lit(0.0)), seen - F.coalesce("own_seen", F.lit(0))
+        df = df.withColumn("suffix_share", (blocked + 1.0) / (seen + 2.0))
         return VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(df)
 
     def block_probability(self, df: DataFrame) -> DataFrame:

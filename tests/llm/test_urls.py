@@ -44,4 +44,8 @@ def test_repeated_rows_and_own_label(spark):
     once = spark.createDataFrame([(f"http://h{k}.s{k}.net/", float(k % 2)) for k in range(40)], "url string, label double")
     model = urls.UrlModel(once)
     lexical = urls.lexical(once)
-    assert {round(r.suffix_share, 3) for r in model.featured(lexical, F.col("label")).collect()} == {0.5}
+    assert {round(r.suffix_share, 3) for r in model.featured(lexical, training=True).collect()} == {0.5}
+    # rows of one suffix and fold have one value, whatever their labels
+    many = spark.createDataFrame([(f"http://h{k}.same.net/", float(k % 2)) for k in range(60)], "url string, label double")
+    shares = urls.UrlModel(many).featured(urls.lexical(many), training=True).groupBy("fold").agg(F.count_distinct("suffix_share").alias("n")).collect()
+    assert {r.n for r in shares} == {1}
