@@ -6,7 +6,8 @@ Line rules (a line is a stretch between line ends that holds a word):
 * symbols: at least ``SYMBOL_SHARE`` of its words end in or are made of ``#*$%&|<>``
 * shouting: at least ``SHOUT_SHARE`` of its words end in ``!!``
 * stutter: eight words or more of which at least ``STUTTER_SHARE`` repeat the word before
-* boilerplate: it is one of the usual notices of web pages (cookies, scripts, sharing), as a whole line
+* boilerplate: it is one of the usual notices of web pages (cookies, scripts, sharing) in four languages, as a whole line
+* punctuation: fewer than ``SENTENCE_WORDS`` words and no word that closes a sentence or clause: headings, menus, labels
 * bare: it has no letter and no digit
 
 A document is rejected if the base rules fail it or if the lines left hold less than ``KEEP_SHARE`` of its words.
@@ -25,16 +26,38 @@ from quirelens.llm import bytescan as bs
 SYMBOLS = b"#*$%&|<>"
 SYMBOL_SHARE, SHOUT_SHARE, STUTTER_SHARE, KEEP_SHARE = 0.5, 0.5, 0.6, 0.5
 MIN_WORDS = 50
+SENTENCE_WORDS = 8
+#: Marks that close a sentence or clause at the end of a word, and what may stand behind them (fixed values).
+END_MARKS, CLOSERS = b".!?:;", b"\"')]"
+#: Three-byte marks that close a sentence wherever they stand (fixed values).
+WIDE_ENDS = ("…", "。", "！", "？", "।")
 #: Whole lines, lower case, without blanks and full stops at the end (fixed values).
 NOTICES = (
     "accept all cookies",
+    "accept cookies",
+    "accepter tous les cookies",
+    "aceptar todas las cookies",
+    "alle cookies akzeptieren",
+    "anmelden",
+    "auf facebook teilen",
     "back to top",
+    "ce site utilise des cookies",
     "click here",
     "click here to subscribe",
+    "compartir en facebook",
+    "diese website verwendet cookies",
     "enable javascript to continue",
+    "este sitio utiliza cookies",
+    "haut de page",
+    "iniciar sesión",
+    "leer más",
+    "lire la suite",
     "log in",
+    "nach oben",
+    "partager sur facebook",
     "please enable javascript",
     "read more",
+    "se connecter",
     "share on facebook",
     "share on twitter",
     "sign in",
@@ -42,7 +65,9 @@ NOTICES = (
     "skip to content",
     "subscribe to our newsletter",
     "this site uses cookies",
+    "volver arriba",
     "we use cookies",
+    "weiterlesen",
 )
 
 STAT_COLUMNS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_bad_lines", "words_left")
@@ -52,6 +77,23 @@ def _sum_by(rows: np.ndarray, n: int, weight: np.ndarray | None = None) -> np.nd
     return np.bincount(rows, weights=weight, minlength=n).astype(np.int64)
 
 
+def _closes(data: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """Which words (ends ``e``) end in a mark that closes a sentence or clause, or in one and a quote or bracket behind it."""
+    marks, closers = (np.isin(np.arange(256), np.frombuffer(x, np.uint8)) for x in (END_MARKS, CLOSERS))
+    last = data[e - 1]
+    return marks[last] | (closers[last] & marks[data[np.maximum(e - 2, 0)]])
+
+
+def _wide_ends(data: np.ndarray) -> np.ndarray:
+    """Positions at which one of WIDE_ENDS starts."""
+    out = np.zeros(len(data), bool)
+    for mark in WIDE_ENDS:
+        m = np.frombuffer(mark.encode(), np.uint8)
+        at = np.flatnonzero(data[: max(len(data) - 2, 0)] == m[0])
+        out[at[(data[at + 1] == m[1]) & (data[at + 2] == m[2])]] = True
+    return out
+
+
 def measure(data: np.ndarray, offsets: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
     """Statistics per text, and (start, end, failed) of every line with a word."""
     n = len(offsets) - 1
@@ -116,11 +158,13 @@ def measure(data: np.ndarray, offsets: np.ndarray) -> tuple[dict[str, np.ndarray
     marked = per_line(symbol[e - 1] & ((e - s) > 1))
     stutter = np.zeros(len(s), bool)
     stutter[1:] = (h[1:] == h[:-1]) & (of_word[1:] == of_word[:-1])
+    wide = cum(_wide_ends(data))
     alnum = cum(((data >= 48) & (data <= 57)) | ((data >= 65) & (data <= 90)) | ((data >= 97) & (data <= 122)) | (data >= 128))
     bad = (bars >= 3) & (4 * bars >= w - bars)
     bad |= (w >= 3) & (marked >= SYMBOL_SHARE * w)
     bad |= (w >= 3) & (loud >= SHOUT_SHARE * w)
     bad |= (w >= 8) & (per_line(stutter) >= STUTTER_SHARE * w)
+    bad |= (w < SENTENCE_WORDS) & (per_line(_closes(data, e)) == 0) & (wide[stop] == wide[b])
     bad |= alnum[stop] == alnum[b]
     short = np.flatnonzero((stop - b < 60) & ~bad)
     for k in short.tolist():

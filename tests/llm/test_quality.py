@@ -44,3 +44,39 @@ def test_line_rules(spark):
     assert got[1].kept and got[1].clean_text == f"{prose}\n{other}\n" and got[1].n_bad_lines == 2
     assert [got[k].kept for k in (2, 3, 4, 5, 6)] == [False, False, False, False, True]
     assert got[6].clean_text == prose
+
+
+def brute_left(text):
+    """Words outside failing lines, line by line."""
+    left = 0
+    for line in text.split("\n"):
+        w = WORD.findall(line)
+        if not w:
+            continue
+        bars = sum(x in ("|", ">", "•", "·", "»", "›") for x in w)
+        loud = sum(len(x.encode()) > 2 and x.endswith("!!") for x in w)
+        marked = sum(len(x.encode()) > 1 and x[-1] in "#*$%&|<>" for x in w)
+        stutter = sum(a == b for a, b in zip(w, w[1:], strict=False))
+        closes = any(re.search(r"[.!?:;][\"')\]]?$", x) for x in w) or any(m in line for m in quality.WIDE_ENDS)
+        bad = bars >= 3 and 4 * bars >= len(w) - bars
+        bad |= len(w) >= 3 and (2 * marked >= len(w) or 2 * loud >= len(w))
+        bad |= len(w) >= 8 and stutter >= 0.6 * len(w)
+        bad |= len(w) < quality.SENTENCE_WORDS and not closes
+        bad |= not re.search(r"[0-9A-Za-z]|[^\x00-\x7f]", line)
+        bad |= len(line.encode()) < 60 and line.strip(" \t\n\r\x0b\x0c").rstrip(".").lower() in quality.NOTICES
+        left += 0 if bad else len(w)
+    return left
+
+
+def test_verdict_against_brute_force(spark):
+    rng = random.Random(5)
+    bits = ["Read more.", "Leer más", "a | b | c | d", "wow!! yes!! no", "x% y% z.", "go " * 9 + ".", "Menu item", "Said (so.)", "這是一句。", "***", "one two three four five six seven eight", "A longer line that says something, and ends.", ""]
+    texts = ["\n".join(rng.choice(bits) for _ in range(rng.randint(0, 40))) for _ in range(300)]
+    got = {r.doc_id: r for r in quality.digest(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    for k, t in enumerate(texts):
+        want, r = brute(t), got[k]
+        assert r.words_left == brute_left(t), repr(t)
+        assert r.kept == (want[0] >= 50 and 100 * want[4] <= 50 * want[0] and 2 * brute_left(t) >= want[0])
+    assert {r.kept for r in got.values()} == {True, False}
+    again = spark.createDataFrame([(1, texts[0]), (1, texts[0]), (None, texts[1]), (None, None)], "doc_id bigint, text string")
+    assert quality.digest(again).count() == 4
