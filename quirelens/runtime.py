@@ -17,11 +17,14 @@ SESSION_DEFAULTS = {
 
 #: Rows an Arrow batch holds at most; texts may be long, and workers hold a batch of input and one of output at a time.
 BATCH_ROWS = "1000"
+#: Bytes after which an Arrow batch ends; a longer text is a batch of its own.
+BATCH_BYTES = str(4 << 20)
 
 
 def small_batches(spark: SparkSession) -> None:
     """Keep Arrow batches small, so that a Python worker's memory follows single texts."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
