@@ -11,7 +11,7 @@ import pyarrow as pa
 BASE = 0x9E3779B97F4A7C15
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
 #: Bytes of text that one vectorised step handles; a single longer text is a step of its own.
-STEP_BYTES = 2_000_000
+STEP_BYTES = 500_000
 
 
 def mix(h: np.ndarray) -> np.ndarray:

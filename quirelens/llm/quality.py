@@ -101,7 +101,7 @@ def measure(data: np.ndarray, offsets: np.ndarray) -> tuple[dict[str, np.ndarray
     out = {k: np.zeros(n, np.int64) for k in STAT_COLUMNS}
     if not len(s):
         return out, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
-    cum = lambda mask: np.concatenate([[0], np.cumsum(mask)])
+    cum = lambda mask: np.concatenate([np.zeros(1, np.int32), np.cumsum(mask, dtype=np.int32)])  # noqa: E731  a text is below 2 GB
     heads = cum((data & 0xC0) != 0x80)
     symbol = np.isin(data, np.frombuffer(SYMBOLS, np.uint8))
     symbols = cum(symbol)
