@@ -107,7 +107,7 @@ def measure(data: np.ndarray, offsets: np.ndarray) -> tuple[dict[str, np.ndarray
     symbols = cum(symbol)
     out["n_words"] = _sum_by(row, n)
     out["word_chars"] = _sum_by(row, n, heads[e] - heads[s])
-    out["n_symbols"] = symbols[offsets[1:]] - symbols[offsets[:-1]]
+    out["n_symbols"] = (symbols[offsets[1:]] - symbols[offsets[:-1]]).astype(np.int64)
     prefix = bs.prefix_hash(data)
     h = bs.span_hash(prefix, s, e)
     # words of three-word runs that occur again in the same text
