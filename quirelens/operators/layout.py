@@ -69,7 +69,7 @@ def page_lines(runs: list[Line], heights: Heights) -> list[Line]:
             last = lines[-1]
             if 0 <= r.left - last.right < NEAR_RUN:
                 last.width = r.right - last.left
-                last.text += r.text
+                last.text = f"{last.text} {r.text}"
                 last.fmt = both_formats(last.fmt, r.fmt)
         else:
             heights.reset(r.font, r.height)
@@ -79,16 +79,22 @@ def page_lines(runs: list[Line], heights: Heights) -> list[Line]:
 
 
 def merge_level(level: list[Line], lefts: Counter) -> list[Line]:
-    """Lines of one top, left to right: close neighbours join where one is formatted or the right one's left edge is rare."""
-    level = sorted(level, key=lambda x: x.left)
-    for k in range(len(level) - 1, 0, -1):
-        a, b = level[k - 1], level[k]
-        if b.left - a.right < NEAR_RUN and (a.fmt or b.fmt or lefts[b.left] <= 2):
-            a.width = max(a.right, b.right) - a.left
-            a.text = f"{a.text} {b.text}"
-            a.fmt = both_formats(a.fmt, b.fmt)
-            del level[k]
-    return level
+    """Lines of one top: close neighbours join where one is formatted or the right one's left edge is rare.
+
+    All joins are decided on the lines as they came, then made from the right; each lowers the count of the left edge
+    that it takes away. The lines that stay keep their element order.
+    """
+    across = sorted(level, key=lambda x: x.left)
+    pairs = list(zip(across, across[1:], strict=False))
+    joins = [(a, b) for a, b in pairs if b.left - a.right < NEAR_RUN and (a.fmt or b.fmt or lefts[b.left] <= 2)]
+    taken = set()
+    for a, b in reversed(joins):
+        a.width = b.right - a.left
+        a.text = f"{a.text} {b.text}"
+        a.fmt = both_formats(a.fmt, b.fmt)
+        lefts[b.left] -= 1
+        taken.add(id(b))
+    return [x for x in level if id(x) not in taken]
 
 
 def normal_gap(levels: list[list[Line]]) -> int | None:
@@ -191,7 +197,7 @@ def page_boxes(runs: list[Line], heights: Heights) -> list[tuple[str, Block]]:
     for x in lines:
         by_top[x.top].append(x)
     tops = sorted(by_top)
-    levels = [sorted(by_top[tops[0]], key=lambda x: x.left)] + [merge_level(by_top[t], lefts) for t in tops[1:]]
+    levels = [by_top[tops[0]]] + [merge_level(by_top[t], lefts) for t in tops[1:]]
     norm = normal_gap(levels)
     flat = [x for level in levels for x in level]
     if norm is None:

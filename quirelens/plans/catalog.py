@@ -469,6 +469,23 @@ def layout_boxes(spark, sf_dir):
     return layout.boxes(layout_elements(spark, sf_dir)).drop("text")
 
 
+@query("layout_islands", """WITH r AS (SELECT l_orderkey, l_returnflag AS f, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_returnflag) AS n FROM lineitem),
+  i AS (SELECT *, n - row_number() OVER (PARTITION BY l_orderkey, f ORDER BY n) AS g FROM r)
+  SELECT CAST(l_orderkey // 64 AS VARCHAR) AS doc_id, CAST(l_orderkey % 64 + 1 AS INTEGER) AS page_no, CASE WHEN count(*) > 2 THEN 'block' ELSE 'text' END AS kind,
+  CAST(CASE f WHEN 'A' THEN 50 WHEN 'N' THEN 150 ELSE 250 END AS INTEGER) AS box_left, CAST(min(n) * 20 AS INTEGER) AS box_top, CAST(max(n) * 20 + 12 AS INTEGER) AS box_bot, CAST(count(*) AS INTEGER) AS n_lines
+  FROM i GROUP BY l_orderkey, f, g""")
+def layout_islands(spark, sf_dir):
+    """An order as a page, its lines as evenly spaced text lines indented by their flag: each stretch of one flag is one box, a block from three lines on."""
+    from quirelens.operators import layout
+
+    rows = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey", "l_returnflag", "int(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_returnflag)) AS elem_seq")
+    runs = rows.selectExpr(
+        "string(l_orderkey div 64) AS doc_id", "int(l_orderkey % 64) + 1 AS page_no", "elem_seq", "'text' AS kind", "elem_seq * 20 AS top",
+        "CASE l_returnflag WHEN 'A' THEN 50 WHEN 'N' THEN 150 ELSE 250 END AS left", "100 AS width", "12 AS height", "0 AS font", "'run' AS text", "0 AS fmt",
+    )
+    return layout.boxes(runs).selectExpr("doc_id", "page_no", "kind", "`left` AS box_left", "top AS box_top", "bot AS box_bot", "n_lines")
+
+
 @query("page_xml_elements", """SELECT kind, CAST(count(*) AS BIGINT) AS n, CAST(coalesce(sum(n_links), 0) AS BIGINT) AS links FROM (
   SELECT 'page' AS kind, 0 AS n_links FROM part UNION ALL SELECT 'text', 1 FROM part UNION ALL SELECT 'fontspec', 0 FROM part) GROUP BY 1""")
 def page_xml_elements(spark, sf_dir):
