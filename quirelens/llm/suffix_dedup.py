@@ -1,21 +1,26 @@
-"""Removal of repeated byte strings by hashes of sampled windows (in place of bucket-pointer refinement, see the README).
+"""Removal of repeated byte strings by bucket-pointer refinement over kept suffixes.
 
 Every byte that a ``WIDTH``-byte string covers which also starts earlier (smaller doc_id, or same document and earlier
 start) is removed. A document is a distinct (doc_id, text), known by (d, t): the id and a hash that also tells texts of one id
-apart. Equal rows are one document, so their equal suffixes are one suffix and never repeat each other. Suffixes are kept in buckets, which are split by direct hashes:
+apart. Equal rows are one document, so their equal suffixes are one suffix and never repeat each other.
 
-1. Initial buckets. Of each WIDTH-byte window only one suffix is kept, the one with the smallest q-gram hash in it
+Suffixes are put into buckets by their first bytes, and buckets are refined by the bucket numbers that stand at later
+offsets: the number of the first 2k bytes comes from the pair (number at i, number at i + k), both of the pass before. From
+``Q`` bytes on two passes settle ``WIDTH`` bytes, and no pass reads the text again.
+
+1. Initial buckets. Of each WIDTH-byte window only one suffix is kept, the one with the smallest GRAM-byte hash in it
    (leftmost of equal ones). Equal windows keep the same suffix, so no match is lost, and about 3 % of the suffixes
-   stay. Their bucket number is the hash of their q-gram; equal strings have equal numbers wherever they stand.
-2. Refinement by the stretch. A kept suffix answers for a run of windows. Inside a bucket suffixes are sorted by the
-   number of the whole stretch that their windows cover, then by position: all but the first of a number are repeats
-   as a whole, and buckets with one number need no more work.
-3. Refinement by later offsets. In the buckets left, each first suffix of a number is split by the numbers of its single
-   windows; all but the first of a window number are repeats. Prefix sums give the number of any stretch from those of
-   its parts, so every level reuses the last.
-
-Only narrow rows are sorted. Stretches of step 3 are a few hundredths of the text; a bucket with more than
-``MAX_BUCKET`` of them goes on by single windows, each its own key, so it spreads over the cluster.
+   stay. Their bucket is the hash of those bytes; equal strings have equal numbers wherever they stand.
+2. Refinement over the cluster. A kept suffix answers for a run of windows. Inside a bucket suffixes are sorted by the
+   refined numbers at the first and the last of these windows, then by position: all but the first of a number
+   are repeats as a whole, and buckets with one number need no more work. These numbers are hashes of the pairs, so
+   that tasks name equal pairs alike without an exchange for each pass.
+3. Refinement of open buckets. In the buckets left, every offset of the first suffixes of a number gets the rank of its
+   Q bytes; each pass sorts by (rank, rank at the later offset), and the new ranks are what the next pass sorts by. All
+   but the first window of a last rank are repeats.
+
+Only narrow rows are sorted over the cluster. Stretches of step 3 are a few hundredths of the text; a bucket with more than
+``MAX_BUCKET`` of them goes on by single windows, each its own key (the refined number of step 2), so it spreads.
 """
 
 from __future__ import annotations
@@ -30,6 +35,9 @@ from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 from quirelens.llm import bytescan as bs
 
 WIDTH, GRAM = 100, 32
+#: Bytes of the initial numbers that are refined: WIDTH is Q doubled twice.
+Q = 25
+PASSES = (Q, 2 * Q)
 MAX_BUCKET = 2_000
 #: Stand-in for a null doc_id: before all others.
 FIRST = -(1 << 63)
@@ -37,6 +45,42 @@ FIRST = -(1 << 63)
 STEP = 4_000_000
 
 
+def number_of(pair: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Number of the refined bucket that two numbers, an own one and a later offset's, lead to; equal pairs, equal numbers."""
+    own, later = pair
+    return bs.mix(own * np.uint64(bs.BASE) + later)
+
+
+def refined_at(prefix: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Numbers of the WIDTH-byte windows that start at ``at``, refined from those of Q bytes at the offsets they need."""
+    level = [bs.span_hash(prefix, at + k, at + k + Q) for k in range(0, WIDTH, Q)]
+    while len(level) > 1:
+        level = [number_of(pair) for pair in zip(level[::2], level[1::2], strict=True)]
+    return level[0]
+
+
+def refined_all(data: np.ndarray) -> np.ndarray:
+    """Numbers of all WIDTH-byte windows of ``data``, each pass over the numbers of the last."""
+    at = np.arange(max(len(data) - Q + 1, 0))
+    number = bs.span_hash(bs.prefix_hash(data), at, at + Q)
+    for k in PASSES:
+        number = number_of((number[:-k], number[k:]))
+    return number
+
+
+def refined_ranks(data: np.ndarray) -> np.ndarray:
+    """Ranks instead of numbers: sort the Q-byte buckets, then by (own rank, rank at the later offset), reusing each pass's ranks.
+
+    Ranks hold for this array only; windows that run over the end of a stretch get one as well, which nobody asks for.
+    """
+    at = np.arange(max(len(data) - Q + 1, 0))
+    rank = np.unique(bs.span_hash(bs.prefix_hash(data), at, at + Q), return_inverse=True)[1].astype(np.int64)
+    for k in PASSES:
+        # a rank is below the array's length, so a pair fits into 64 bits for arrays below 2**31
+        rank = np.unique(rank[:-k] * np.int64(len(data)) + rank[k:], return_inverse=True)[1].astype(np.int64)
+    return rank
+
+
 def kept_suffixes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     """(row, first window, number of windows, place of the suffix in the first window, bucket, stretch number) per kept suffix."""
     none = tuple(np.zeros(0, np.int64) for _ in range(4)) + (np.zeros(0, np.uint64),) * 2
@@ -57,7 +101,9 @@ def kept_suffixes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ..
     head = np.flatnonzero(new)
     first, suffix = starts[head], chosen[head]
     count = np.diff(np.append(head, len(starts)))
-    stretch = bs.mix(bs.span_hash(prefix, first, first + count - 1 + WIDTH) + (suffix - first).astype(np.uint64) * np.uint64(bs.BASE))
+    # a stretch is shorter than two windows, so its first and its last one cover it
+    shape = (count.astype(np.uint64) << np.uint64(8)) | (suffix - first).astype(np.uint64)
+    stretch = number_of((number_of((refined_at(prefix, first), refined_at(prefix, first + count - 1))), shape))
     return row[first], first - offsets[row[first]], count, suffix - first, gram[suffix], stretch
 
 
@@ -157,9 +203,9 @@ def stretches(joined: DataFrame) -> DataFrame:
                     first, count = item["p"] >> 16, item["p"] & 255
                     part = (text or b"")[first : first + count - 1 + WIDTH]
                     if item["big"]:
-                        prefix = bs.prefix_hash(np.frombuffer(part, np.uint8))
-                        s = np.arange(len(part) - WIDTH + 1)
-                        key += bs.span_hash(prefix, s, s + WIDTH).view(np.int64).tolist()
+                        number = refined_all(np.frombuffer(part, np.uint8))
+                        s = np.arange(len(number))
+                        key += number.view(np.int64).tolist()
                         d += [i[0]] * len(s)
                         t += [i[1]] * len(s)
                         p += (first + s).tolist()
@@ -183,7 +229,8 @@ def stretches(joined: DataFrame) -> DataFrame:
 def split_windows(keys: np.ndarray, d: np.ndarray, t: np.ndarray, p: np.ndarray, raw: list) -> tuple[np.ndarray, ...]:
     """Step 3 for whole buckets: (d, t, start, end) of repeated windows, merged."""
     whole = np.array([x is not None for x in raw], bool)
-    hashes, ids, texts, starts = [keys[~whole].view(np.uint64)], [d[~whole]], [t[~whole]], [p[~whole]]
+    # single windows come with their number as key; ranks and numbers are told apart
+    numbers, ranked, ids, texts, starts = [keys[~whole]], [np.zeros(np.count_nonzero(~whole), bool)], [d[~whole]], [t[~whole]], [p[~whole]]
     if whole.any():
         parts = [x for x in raw if x is not None]
         size = np.array([len(x) for x in parts], np.int64)
@@ -192,17 +239,17 @@ def split_windows(keys: np.ndarray, d: np.ndarray, t: np.ndarray, p: np.ndarray,
         count = np.maximum(size - WIDTH + 1, 0)
         which = np.repeat(np.arange(len(parts)), count)
         step = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
-        s = at[which] + step
-        hashes.append(bs.span_hash(bs.prefix_hash(data), s, s + WIDTH))
+        numbers.append(refined_ranks(data)[at[which] + step])
+        ranked.append(np.ones(len(which), bool))
         ids.append(d[whole][which])
         texts.append(t[whole][which])
         starts.append((p[whole] >> 16)[which] + step)
-    rows = [np.concatenate(x) for x in (starts, texts, ids, hashes)]
+    rows = [np.concatenate(x) for x in (starts, texts, ids, numbers, ranked)]
     order = np.lexsort(rows)
     order = order[once(*(x[order] for x in rows))]
-    starts, texts, ids, hashes = (x[order] for x in rows)
-    again = np.zeros(len(hashes), bool)
-    again[1:] = hashes[1:] == hashes[:-1]
+    starts, texts, ids, numbers, ranked = (x[order] for x in rows)
+    again = np.zeros(len(numbers), bool)
+    again[1:] = (numbers[1:] == numbers[:-1]) & (ranked[1:] == ranked[:-1])
     return merged(ids[again], texts[again], starts[again], starts[again] + WIDTH)
 
 

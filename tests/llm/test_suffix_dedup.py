@@ -1,9 +1,11 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quirelens.llm import bytescan as bs
 from quirelens.llm import suffix_dedup as sd
 from quirelens.runtime import table
 
@@ -83,3 +85,20 @@ def test_equal_rows_and_shared_ids(spark, big, monkeypatch):
     for n in (1, 7):
         got = [tuple(r) for r in sd.digest(docs.repartition(n)).collect()]
         assert sorted(got, key=str) == sorted(expected * 3, key=str)
+
+
+def test_refined_numbers():
+    """Refined numbers and ranks are equal exactly where the windows are, periodic texts included."""
+    rng = np.random.default_rng(3)
+    word = rng.integers(97, 100, 130).astype(np.uint8)
+    data = np.concatenate([word, rng.integers(97, 99, 40).astype(np.uint8), word[:110], np.full(260, 97, np.uint8), word[20:]])
+    windows = [data[k : k + W].tobytes() for k in range(len(data) - W + 1)]
+    first = [windows.index(w) for w in windows]
+    prefix = bs.prefix_hash(data)
+    sparse = sd.refined_at(prefix, np.arange(len(windows)))
+    assert (sparse == sd.refined_all(data)).all()
+    for numbers in (sparse, sd.refined_ranks(data)):
+        kinds = {}
+        assert [kinds.setdefault(int(x), k) for k, x in enumerate(numbers)] == first
+    for short in (0, 1, 24, 25, 74, 99):
+        assert len(sd.refined_all(data[:short])) == len(sd.refined_ranks(data[:short])) == 0
