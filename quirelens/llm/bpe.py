@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quirelens.llm import bytescan as bs
+
 #: Runs that a worker remembers before it starts anew; it forgets them at the end of a task too.
 MEMORY_WORDS = 60_000
 #: Rows that one output batch holds at most, and bytes of text.
@@ -381,6 +383,7 @@ def encode(df: DataFrame, path: str, text: str = "text", out: str = "ids") -> Da
                 ids = pa.array(model.encode([t or b"" for t in texts]), pa.binary())
                 yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in keep), ids], [*keep, out])
         model.forget()  # the worker may serve other operators next
+        bs.give_back()
 
     from pyspark.sql.types import BinaryType, StructField, StructType
 
@@ -399,6 +402,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") ->
                 packed = b.column(b.schema.get_field_index(ids)).to_pylist()
                 texts = pa.array([model.decode(p or b"") for p in packed], pa.string())
                 yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in keep), texts], [*keep, out])
+        bs.give_back()
 
     from pyspark.sql.types import StringType, StructField, StructType
 

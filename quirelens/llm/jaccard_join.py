@@ -114,6 +114,8 @@ def measure(docs: DataFrame) -> DataFrame:
             if last:  # a row of its own, without a document
                 kind = batch.schema.field(0).type
                 yield pa.RecordBatch.from_arrays([pa.array([None], kind), pa.array([-1], pa.int64()), pa.array([0], pa.int64()), pa.array([last], pa.list_(pa.struct([("h", pa.int64()), ("k", pa.int64())])))], ["doc_id", "n", "c", "frequent"])
+        held.clear()
+        bs.give_back()
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, n bigint, c bigint, frequent array<struct<h: bigint, k: bigint>>")
 
@@ -153,6 +155,7 @@ def low_rows(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
                     [pa.array(np.concatenate([h.view(np.int64), c[auto]])), pa.array(np.concatenate([c[rows], c[auto]])), pa.array(np.concatenate([need[rows], need[auto]]))],
                     ["k", "c", "need"],
                 )
+        bs.give_back()
 
     return docs.select("text").mapInArrow(run, "k bigint, c bigint, need bigint")
 
@@ -189,6 +192,7 @@ def class_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 ends = np.concatenate([[0], np.cumsum(n[chosen])])
                 sets = pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), pa.array(h[mine].view(np.int64))).cast(pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([pa.array(c[chosen]), sets], ["c", "hs"])
+        bs.give_back()
 
     found = docs.select("text").mapInArrow(run, "c bigint, hs array<bigint>")
     return found.join(wanted, "c", "left_semi").groupBy("c").agg(F.first("hs").alias("hs"))

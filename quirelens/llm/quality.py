@@ -206,6 +206,7 @@ def clean_lines(df: DataFrame) -> DataFrame:
                     [*(part.column(part.schema.get_field_index(c)) for c in keep), *(pa.array(stats[k]) for k in STAT_COLUMNS), pa.array(texts, pa.string())],
                     [*keep, *STAT_COLUMNS, "clean_text"],
                 )
+        bs.give_back()
 
     from pyspark.sql.types import LongType, StringType, StructField, StructType
 
