@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirelens.llm import bpe, chat, jaccard_join, mixing, pii, quality, spotsigs, suffix_dedup, toxicity, urls
+from quirelens.llm import bpe, chat, jaccard_join, mixing, pii, prefix_trie, quality, spotsigs, suffix_dedup, toxicity, urls
 from quirelens import runtime
 
 #: Where the vocabulary files of the public tokenizers lie (a parameter; they are not part of the repository).
@@ -72,6 +72,10 @@ def op10_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.digest(table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.build(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_chat": op2_chat,
@@ -83,6 +87,7 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_jaccard": op9_jaccard,
     "op10_spotsigs": op10_spotsigs,
+    "op11_prefix_trie": op11_prefix_trie,
 }
 
 ORACLE_SQL: dict[str, str] = {}
