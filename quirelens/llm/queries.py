@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirelens.llm import bpe, chat, jaccard_join, mixing, pii, prefix_trie, quality, spelling, spotsigs, suffix_dedup, toxicity, urls
+from quirelens.llm import bpe, chat, html_extract, jaccard_join, mixing, pii, prefix_trie, quality, spelling, spotsigs, suffix_dedup, toxicity, urls
 from quirelens import runtime
 
 #: Where the vocabulary files of the public tokenizers lie (a parameter; they are not part of the repository).
@@ -76,6 +76,10 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.build(table(spark, sf_dir, "conversations"))
 
 
+def op12_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"))
 
@@ -92,6 +96,7 @@ QUERIES = {
     "op9_jaccard": op9_jaccard,
     "op10_spotsigs": op10_spotsigs,
     "op11_prefix_trie": op11_prefix_trie,
+    "op12_main_text": op12_main_text,
     "op13_spelling": op13_spelling,
 }
 
