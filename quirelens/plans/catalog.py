@@ -507,7 +507,7 @@ def train_stack(spark, sf_dir):
         F.coalesce("n_chars", F.lit(0)).cast("double").alias("n_chars"), T.word_count(F.col("text")).cast("double").alias("n_words"), F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("double").alias("n_lines"),
     )
     train = rows.join(table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("double").alias("label")), "doc_id")
-    stack = models.Stack(("text", "first_100_words", "folder_name"), ["n_chars", "n_words", "n_lines"], trees=20).fit(train)
+    stack = models.Stack(("text", "first_100_words", "folder_name"), ["n_chars", "n_words", "n_lines"], trees=20, folds=2).fit(train)
     return stack.score(rows).select("doc_id", "probability", report.decide(F.col("probability")).alias("prediction"))
 
 
