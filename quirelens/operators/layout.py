@@ -1,116 +1,167 @@
-"""Page layout: lines, normal gap, blocks and text boxes, rebuilt per document in page and element order.
+"""Page layout: lines, normal gap, blocks and text boxes.
 
-The steps depend on order and on what earlier steps changed, so they run as one function per document
-(``applyInPandas``); a document is bounded by its pages. Everything after the boxes is DataFrame work (pages.py).
+Lines, joins of lines and gaps are windows and joins over the runs of a page. Only two steps run in Python: whether a run's height
+is odd for its font depends on all earlier runs of the font in its document, so sorted runs are streamed with that state; and
+blocks depend on the blocks before, so each page's lines make its boxes in one function (a page is bounded by what fits on one).
+
+Runs without a document, page or place are left out; a null text is empty, a null font is -1, a null format 0. Of runs with equal
+elem_seq the order is by place and text. Documents without runs give no rows.
 """
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from quirelens.operators import pages
+from quirelens.runtime import cut_lineage
 
 BOXES = "doc_id string, page_no int, box_id int, kind string, left int, top int, right int, bot int, n_lines int, text string"
 #: Distances in pixels (fixed values).
 NEAR_RUN, GAP_SLACK, EDGE_SLACK, SIDE_SLACK, INDENT = 10, 1, 5, 1, (10, 25)
-SAME_SIDE, OVERLAP_SHARE = 2, 0.15
+#: A line whose top is above the bottom of the one before follows it if that is less than OVERLAP_PERCENT of the height.
+SAME_SIDE, OVERLAP_PERCENT, RARE_EDGE = 2, 15, 2
+PAGE = ["doc_id", "page_no"]
 
 
 @dataclass
 class Line:
     top: int
     left: int
-    width: int
-    height: int
-    font: int
+    right: int
+    bot: int
     text: str
-    fmt: int
 
-    @property
-    def right(self) -> int:
-        return self.left + self.width
 
-    @property
-    def bot(self) -> int:
-        return self.top + self.height
+def both_formats(a: Column, b: Column) -> Column:
+    """Format of two joined runs: the one that there is, 4 if they differ."""
+    return F.when((a == b) | (b == 0), a).when(a == 0, b).otherwise(4)
 
 
-def both_formats(a: int, b: int) -> int:
-    return a if a == b or b == 0 else b if a == 0 else 4
+# ---------------------------------------------------------------- lines
 
 
-class Heights:
-    """Most frequent run height of each font of a document."""
+def odd_heights(runs: DataFrame) -> DataFrame:
+    """``runs`` with ``odd``: another height is the usual one of the run's font so far in its document, and its page has a line already.
 
-    def __init__(self) -> None:
-        self.counts: dict[int, Counter] = defaultdict(Counter)
-        self.best: dict[int, int] = {}
+    runs: doc_id, page_no, seq, font, height, begun (the page has a line before). Runs of a font are streamed in order; what
+    is kept is how often each height was seen.
+    """
+    names = runs.columns
+    ordered = runs.repartition("doc_id", "font").sortWithinPartitions("doc_id", "font", "page_no", "seq")
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, seen, usual = None, {}, None
+        for batch in batches:
+            odd = []
+            for key in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "font", "height", "begun")), strict=True):
+                if key[:2] != now:
+                    now, seen, usual = key[:2], {}, None
+                height, begun = key[2:]
+                seen[height] = seen.get(height, 0) + 1
+                expected = height == usual
+                if not expected:
+                    usual = max(seen, key=seen.get)  # of equal ones the first seen
+                odd.append(not expected and height != usual and begun)
+                if not expected and not odd[-1]:
+                    seen[height] = 1
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(odd, pa.bool_())], names=[*names, "odd"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in runs.schema.fields)
+    return ordered.mapInArrow(stream, f"{schema}, odd boolean")
+
+
+def lines(elements: DataFrame) -> DataFrame:
+    """(doc_id, page_no, seq, top, left, right, height, font, text, fmt): text runs as lines (W04).
+
+    Runs of odd height close behind a line lengthen it, one after another, up to the next run with text, which is a line
+    of its own besides.
+    """
+    given = elements.where("kind = 'text' AND doc_id IS NOT NULL").dropna(subset=["page_no", "top", "left", "width", "height"])
+    runs = given.select("doc_id", "page_no", "elem_seq", "top", "left", (F.col("left") + F.col("width")).alias("right"), "height", F.coalesce("font", F.lit(-1)).alias("font"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("fmt", F.lit(0)).alias("fmt"))
+    in_page = Window.partitionBy(*PAGE)
+    runs = runs.withColumn("seq", F.row_number().over(in_page.orderBy("elem_seq", "top", "left", "right", "text"))).drop("elem_seq")
+    said = (F.col("text") != "").cast("int")
+    runs = runs.withColumn("before", F.coalesce(F.sum(said).over(in_page.orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    runs = odd_heights(runs.withColumn("begun", F.col("before") > 0)).drop("begun")
+    behind = runs.where("odd").groupBy(*PAGE, F.col("before").alias("line")).agg(F.array_sort(F.collect_list(F.struct("seq", "left", "right", "text", "fmt"))).alias("more"))
+    own = runs.where("text <> ''").withColumn("line", F.col("before") + 1).join(behind, [*PAGE, "line"], "left")
+    start = F.struct("right", "text", "fmt")
+
+    def lengthened(line: Column, run: Column) -> Column:
+        gap = run["left"] - line["right"]
+        joined = F.struct(run["right"].alias("right"), F.concat_ws(" ", line["text"], run["text"]).alias("text"), both_formats(line["fmt"], run["fmt"]).alias("fmt"))
+        return F.when((gap >= 0) & (gap < NEAR_RUN), joined).otherwise(line)
+
+    whole = F.when(F.col("more").isNull(), start).otherwise(F.aggregate("more", start, lengthened))
+    return own.withColumn("w", whole).select(*PAGE, "seq", "top", "left", F.col("w.right").alias("right"), "height", "font", F.col("w.text").alias("text"), F.col("w.fmt").alias("fmt"))
+
+
+def joined_lines(single: DataFrame) -> DataFrame:
+    """Lines of one top joined with close right neighbours where one is formatted or the right one's left edge is rare (W03).
+
+    The first top of a page joins nothing. Joins of a top are decided on its lines as they came; each join lowers the count of
+    the left edge that it takes away for the tops below. That needs no state: formatted neighbours join anyway, and an
+    edge that they have made rare stays rare.
+    """
+    across = Window.partitionBy(*PAGE, "top").orderBy("left", "seq")
+    close = (F.col("left") - F.lag("right").over(across) < NEAR_RUN) & (F.col("top") > F.min("top").over(Window.partitionBy(*PAGE)))
+    marked = single.withColumns({"close": F.coalesce(close, F.lit(False)), "styled": (F.col("fmt") > 0) | (F.coalesce(F.lag("fmt").over(across), F.lit(0)) > 0)})
+    above = Window.partitionBy(*PAGE, "left").orderBy("top").rangeBetween(Window.unboundedPreceding, -1)
+    taken = F.coalesce(F.sum((F.col("close") & F.col("styled")).cast("int")).over(above), F.lit(0))
+    same_edge = F.count(F.lit(1)).over(Window.partitionBy(*PAGE, "left"))
+    marked = marked.withColumn("joins", F.col("close") & (F.col("styled") | (same_edge - taken <= RARE_EDGE)))
+    marked = marked.withColumn("island", F.sum((~F.col("joins")).cast("int")).over(across.rowsBetween(Window.unboundedPreceding, 0)))
+    parts = F.array_sort(F.collect_list(F.struct("left", "seq", "right", "height", "font", "text", "fmt"))).alias("p")
+    islands = marked.groupBy(*PAGE, "top", "island").agg(parts)
+    first, last = F.col("p")[0], F.element_at("p", -1)
+    fmt = F.aggregate(F.reverse(F.slice("p", 1, F.size("p") - 1)), last["fmt"], lambda right, run: both_formats(run["fmt"], right))
+    return islands.select(*PAGE, first["seq"].alias("seq"), "top", first["left"].alias("left"), last["right"].alias("right"), first["height"].alias("height"), first["font"].alias("font"), F.array_join(F.transform("p", lambda x: x["text"]), " ").alias("text"), fmt.alias("fmt"))
 
-    def odd(self, font: int, height: int) -> bool:
-        """Count the height; True while another height is the font's usual one."""
-        counts = self.counts[font]
-        counts[height] += 1
-        self.best[font] = max(counts, key=lambda h: counts[h])  # of equal ones the first seen
-        return self.best[font] != height
 
-    def reset(self, font: int, height: int) -> None:
-        self.counts[font][height] = 1
+# ---------------------------------------------------------------- gaps
 
 
-def page_lines(runs: list[Line], heights: Heights) -> list[Line]:
-    """Runs as lines; a run of unusual height right behind the line before also lengthens that line."""
-    lines: list[Line] = []
-    for r in runs:
-        if heights.best.get(r.font) == r.height:
-            heights.counts[r.font][r.height] += 1
-        elif heights.odd(r.font, r.height) and lines:
-            last = lines[-1]
-            if 0 <= r.left - last.right < NEAR_RUN:
-                last.width = r.right - last.left
-                last.text = f"{last.text} {r.text}"
-                last.fmt = both_formats(last.fmt, r.fmt)
-        else:
-            heights.reset(r.font, r.height)
-        if r.text:
-            lines.append(Line(**vars(r)))
-    return lines
+def heads(rows: DataFrame, name: str) -> DataFrame:
+    """The first line of each top, in element order."""
+    return rows.groupBy(*PAGE, "top").agg(F.min(F.struct("seq", "left", "right", "height", "font")).alias(name))
+
 
+def follows(a: Column, a_top: Column, b: Column, b_top: Column) -> Column:
+    """Whether line b may follow line a: below it, or barely overlapping it with a side in common or one inside the other."""
+    gap = b_top - a_top - a["height"]
+    beside = (F.abs(a["left"] - b["left"]) <= SAME_SIDE) | (F.abs(a["right"] - b["right"]) <= SAME_SIDE) | ((a["left"] <= b["left"]) & (b["right"] <= a["right"])) | ((b["left"] <= a["left"]) & (a["right"] <= b["right"]))
+    return (gap > 0) | ((a["height"] > 0) & (F.abs(gap) * 100 < OVERLAP_PERCENT * a["height"]) & beside)
 
-def merge_level(level: list[Line], lefts: Counter) -> list[Line]:
-    """Lines of one top: close neighbours join where one is formatted or the right one's left edge is rare.
 
-    All joins are decided on the lines as they came, then made from the right; each lowers the count of the left edge
-    that it takes away. The lines that stay keep their element order.
+def successors(single: DataFrame, joined: DataFrame) -> DataFrame:
+    """(doc_id, page_no, top, gap, same_font): for the first line of each top, the next line that may follow it, where there is one (W02).
+
+    The top right below is taken after its joins; where its line cannot follow, the search goes on over the tops below as they
+    came, and takes the first that can. Only lines whose next line overlaps them meet the other tops of their page.
     """
-    across = sorted(level, key=lambda x: x.left)
-    pairs = list(zip(across, across[1:], strict=False))
-    joins = [(a, b) for a, b in pairs if b.left - a.right < NEAR_RUN and (a.fmt or b.fmt or lefts[b.left] <= 2)]
-    taken = set()
-    for a, b in reversed(joins):
-        a.width = b.right - a.left
-        a.text = f"{a.text} {b.text}"
-        a.fmt = both_formats(a.fmt, b.fmt)
-        lefts[b.left] -= 1
-        taken.add(id(b))
-    return [x for x in level if id(x) not in taken]
-
-
-def normal_gap(levels: list[list[Line]]) -> int | None:
-    """Most common vertical gap between first lines of one font (of equal ones the first seen); None if there is none."""
-    gaps: Counter = Counter()
-    for k, level in enumerate(levels[:-1]):
-        a = level[0]
-        for below in levels[k + 1 :]:
-            b = below[0]
-            gap = b.top - a.bot
-            beside = abs(a.left - b.left) <= SAME_SIDE or abs(a.right - b.right) <= SAME_SIDE or (a.left <= b.left and b.right <= a.right) or (b.left <= a.left and a.right <= b.right)
-            if gap > 0 or (a.height and abs(gap) / a.height < OVERLAP_SHARE and beside):
-                if a.font == b.font:
-                    gaps[gap] += 1
-                break
-    return max(gaps, key=lambda g: gaps[g]) if gaps else None
+    levels = heads(joined, "a")
+    down = Window.partitionBy(*PAGE).orderBy("top")
+    steps = levels.select("*", F.lead("a").over(down).alias("b"), F.lead("top").over(down).alias("b_top")).where("b IS NOT NULL")
+    steps = steps.withColumn("fits", follows(F.col("a"), F.col("top"), F.col("b"), F.col("b_top")))
+    near = steps.where("fits").select(*PAGE, "top", "a", "b", "b_top")
+    below = heads(single, "c").withColumnRenamed("top", "c_top")
+    far = steps.where("NOT fits").join(below, PAGE).where((F.col("c_top") > F.col("b_top")) & follows(F.col("a"), F.col("top"), F.col("c"), F.col("c_top")))
+    far = far.groupBy(*PAGE, "top").agg(F.first("a").alias("a"), F.min_by("c", "c_top").alias("b"), F.min("c_top").alias("b_top"))
+    return near.unionByName(far).select(*PAGE, "top", (F.col("b_top") - F.col("top") - F.col("a.height")).alias("gap"), (F.col("a.font") == F.col("b.font")).alias("same_font"))
+
+
+def normal_gaps(single: DataFrame, joined: DataFrame) -> DataFrame:
+    """(doc_id, page_no, norm): the most common gap between lines of one font (of equal ones the first seen); pages without any are left out (A20)."""
+    return pages.modal(successors(single, joined).where("same_font"), PAGE, "gap", "top", "norm").select(*PAGE, "norm")
+
+
+# ---------------------------------------------------------------- blocks of a page
 
 
 @dataclass
@@ -188,38 +239,27 @@ def text_boxes(blocks: list[Block], norm: int) -> list[Block]:
     return out
 
 
-def page_boxes(runs: list[Line], heights: Heights) -> list[tuple[str, Block]]:
-    lines = page_lines(runs, heights)
-    if not lines:
-        return []
-    lefts = Counter(x.left for x in lines)
-    by_top: dict[int, list[Line]] = defaultdict(list)
-    for x in lines:
-        by_top[x.top].append(x)
-    tops = sorted(by_top)
-    levels = [by_top[tops[0]]] + [merge_level(by_top[t], lefts) for t in tops[1:]]
-    norm = normal_gap(levels)
-    flat = [x for level in levels for x in level]
+def page_boxes(rows: list[Line], norm: int | None) -> list[tuple[str, Block]]:
+    """Lines of a page, by top and element order -> its boxes; without a normal gap each line is one."""
     if norm is None:
-        return [("text", Block([x], x.right)) for x in flat]
-    blocks = repair(build_blocks(flat, norm), norm)
+        return [("text", Block([x], x.right)) for x in rows]
+    blocks = repair(build_blocks(rows, norm), norm)
     return [("block", b) for b in blocks if len(b.lines) > 2] + [("text", b) for b in text_boxes(blocks, norm)]
 
 
 def boxes(elements: DataFrame) -> DataFrame:
-    """Text runs (ELEMENTS) -> BOXES: block-style boxes of three lines or more, and text boxes.
-
-    Documents without runs give no rows; runs without text or place are left out.
-    """
-    runs = elements.where("kind = 'text'").select("doc_id", "page_no", "elem_seq", "top", "left", "width", "height", "font", "text", "fmt")
-
-    def of_document(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.dropna(subset=["page_no", "top", "left", "width", "height"]).sort_values(["page_no", "elem_seq"])
-        heights, rows = Heights(), []
-        for no, page in frame.groupby("page_no", sort=True):
-            own = [Line(int(r.top), int(r.left), int(r.width), int(r.height), int(r.font) if pd.notna(r.font) else -1, r.text or "", int(r.fmt) if pd.notna(r.fmt) else 0) for r in page.itertuples()]
-            for k, (kind, b) in enumerate(page_boxes(own, heights)):
-                rows.append((frame["doc_id"].iloc[0], int(no), k, kind, b.left, min(x.top for x in b.lines), max(x.right for x in b.lines), max(x.bot for x in b.lines), len(b.lines), " ".join(x.text for x in b.lines)))
+    """Text runs (ELEMENTS) -> BOXES: block-style boxes of three lines or more, and text boxes."""
+    single = cut_lineage(lines(elements))
+    joined = cut_lineage(joined_lines(single))
+    ready = joined.join(normal_gaps(single, joined), PAGE, "left")
+
+    def of_page(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["top", "seq"])
+        own = [Line(int(r.top), int(r.left), int(r.right), int(r.top) + int(r.height), r.text) for r in frame.itertuples()]
+        norm = frame["norm"].iloc[0]
+        found = page_boxes(own, None if pd.isna(norm) else int(norm))
+        doc_id, no = frame["doc_id"].iloc[0], int(frame["page_no"].iloc[0])
+        rows = [(doc_id, no, k, kind, b.left, min(x.top for x in b.lines), max(x.right for x in b.lines), max(x.bot for x in b.lines), len(b.lines), " ".join(x.text for x in b.lines)) for k, (kind, b) in enumerate(found)]
         return pd.DataFrame(rows, columns=[c.strip().split(" ")[0] for c in BOXES.split(",")])
 
-    return runs.groupBy("doc_id").applyInPandas(of_document, BOXES)
+    return ready.groupBy(*PAGE).applyInPandas(of_page, BOXES)

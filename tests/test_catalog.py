@@ -7,6 +7,7 @@ import pytest
 
 from quirelens.plans import catalog
 from quirelens.plans import fitted as _fitted  # noqa: F401  these modules register their queries
+from quirelens.plans import layouts as _layouts  # noqa: F401
 from quirelens.plans import tables as _tables  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

@@ -1,7 +1,6 @@
 """Hand cases: geometry, images, reports, properties, XML, layout, curation, statistics, models, streams."""
 
 import math
-from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -94,21 +93,6 @@ def test_no_gap_and_indent(spark):
     assert [(r.kind, r.top, r.bot, r.n_lines) for r in got] == [("block", 88, 146, 5)]
 
 
-def test_joins_of_a_level():
-    def line(left, width, fmt=0):
-        return layout.Line(10, left, width, 10, 0, str(left), fmt)
-
-    # three lines share each left edge until a join takes one away, so the next level's joins go through
-    lefts = Counter({50: 3, 100: 3})
-    assert [x.text for x in layout.merge_level([line(50, 48), line(100, 20)], lefts)] == ["50", "100"]
-    assert [x.text for x in layout.merge_level([line(50, 48, 1), line(100, 20)], lefts)] == ["50 100"] and lefts[100] == 2
-    assert [x.text for x in layout.merge_level([line(50, 48), line(100, 20)], lefts)] == ["50 100"] and lefts[100] == 1
-    # the format of a join made does not decide the next one; the lines that stay keep their order
-    lefts = Counter({50: 9, 100: 9, 150: 9, 400: 9})
-    got = layout.merge_level([line(400, 5), line(100, 48), line(50, 48), line(150, 20, 2)], lefts)
-    assert [(x.text, x.left, x.right, x.fmt) for x in got] == [("400", 400, 405, 0), ("100 150", 100, 170, 2), ("50", 50, 98, 0)]
-
-
 def test_statistics(spark):
     a = spark.createDataFrame([("f", 2, 1.0, 0.0, 2.0)], tables.STATISTICS)
     b = spark.createDataFrame([("f", 6, 5.0, 3.0, 9.0)], tables.STATISTICS)
