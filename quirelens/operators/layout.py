@@ -2,7 +2,7 @@
 
 Lines, joins of lines and gaps are windows and joins over the runs of a page. Only two steps run in Python: whether a run's height
 is odd for its font depends on all earlier runs of the font in its document, so sorted runs are streamed with that state; and
-blocks depend on the blocks before, so each page's lines make its boxes in one function (a page is bounded by what fits on one).
+blocks depend on the blocks before, so each page's sorted lines are streamed into its boxes (a page is bounded by what fits on one).
 
 Runs without a document, page or place are left out; a null text is empty, a null font is -1, a null format 0. Of runs with equal
 elem_seq the order is by place and text. Documents without runs give no rows.
@@ -13,10 +13,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from quirelens.operators import pages
 from quirelens.runtime import cut_lineage
@@ -253,13 +254,30 @@ def boxes(elements: DataFrame) -> DataFrame:
     joined = cut_lineage(joined_lines(single))
     ready = joined.join(normal_gaps(single, joined), PAGE, "left")
 
-    def of_page(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["top", "seq"])
-        own = [Line(int(r.top), int(r.left), int(r.right), int(r.top) + int(r.height), r.text) for r in frame.itertuples()]
-        norm = frame["norm"].iloc[0]
-        found = page_boxes(own, None if pd.isna(norm) else int(norm))
-        doc_id, no = frame["doc_id"].iloc[0], int(frame["page_no"].iloc[0])
-        rows = [(doc_id, no, k, kind, b.left, min(x.top for x in b.lines), max(x.right for x in b.lines), max(x.bot for x in b.lines), len(b.lines), " ".join(x.text for x in b.lines)) for k, (kind, b) in enumerate(found)]
-        return pd.DataFrame(rows, columns=[c.strip().split(" ")[0] for c in BOXES.split(",")])
+    ordered = ready.select(*PAGE, "top", "seq", "left", "right", "height", "text", "norm").repartition(*PAGE).sortWithinPartitions(*PAGE, "top", "seq")
+    schema = to_arrow_schema(StructType.fromDDL(BOXES))
 
-    return ready.groupBy(*PAGE).applyInPandas(of_page, BOXES)
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[list] = [[] for _ in schema]
+        now, own, norm = None, [], None
+
+        def close_page() -> None:
+            for k, (kind, b) in enumerate(page_boxes(own, norm)):
+                row = (*now, k, kind, b.left, min(x.top for x in b.lines), max(x.right for x in b.lines), max(x.bot for x in b.lines), len(b.lines), " ".join(x.text for x in b.lines))
+                for column, value in zip(out, row, strict=True):
+                    column.append(value)
+
+        for batch in batches:
+            for doc_id, no, top, _, left, right, height, text, gap in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (doc_id, no) != now:
+                    if own:
+                        close_page()
+                    now, own, norm = (doc_id, no), [], gap
+                own.append(Line(top, left, right, top + height, text))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
+            out = [[] for _ in schema]
+        if own:
+            close_page()
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
+
+    return ordered.mapInArrow(stream, BOXES)
