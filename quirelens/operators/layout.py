@@ -250,10 +250,19 @@ def page_boxes(rows: list[Line], norm: int | None) -> list[tuple[str, Block]]:
 
 def boxes(elements: DataFrame) -> DataFrame:
     """Text runs (ELEMENTS) -> BOXES: block-style boxes of three lines or more, and text boxes."""
+    return laid_out(elements)[1]
+
+
+def laid_out(elements: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(joined lines, BOXES) of text runs."""
     single = cut_lineage(lines(elements))
     joined = cut_lineage(joined_lines(single))
-    ready = joined.join(normal_gaps(single, joined), PAGE, "left")
+    return joined, boxes_of(joined, normal_gaps(single, joined))
+
 
+def boxes_of(joined: DataFrame, norms: DataFrame) -> DataFrame:
+    """BOXES of joined lines by the normal gap of their pages."""
+    ready = joined.join(norms, PAGE, "left")
     ordered = ready.select(*PAGE, "top", "seq", "left", "right", "height", "text", "norm").repartition(*PAGE).sortWithinPartitions(*PAGE, "top", "seq")
     schema = to_arrow_schema(StructType.fromDDL(BOXES))
 

@@ -47,6 +47,59 @@ def stop_after_tiny_images(elements: DataFrame, most: int = 50, below: int = 50)
     return marked.withColumn("_first", first).where("_first IS NULL OR elem_seq < _first").drop("_stop", "_first")
 
 
+def until_tiny_images(elements: DataFrame, most: int = 50, below: int = 50) -> DataFrame:
+    """Elements of each document before the image that is the 51st of one size below 50 on its page (clipped, in square pixels).
+
+    Added: ``page_done`` (false for all of the page on which a document stops) and ``stopped`` (its document stops somewhere). The page's own
+    row stays; what comes after the stop, on all later pages too and in outlines, goes. Documents without such a page are whole.
+    """
+    box = G.clip(F.col("left"), F.col("top"), F.col("width"), F.col("height"), F.col("page_width"), F.col("page_height"))
+    size = F.abs((box["right"] - box["left"]) * (box["bot"] - box["top"]))
+    tiny = elements.where("kind = 'image'").select("doc_id", "page_no", "elem_seq", size.alias("size")).where(F.col("size") < below)
+    nth = F.row_number().over(Window.partitionBy("doc_id", "page_no", "size").orderBy("elem_seq"))
+    stops = tiny.withColumn("nth", nth).where(F.col("nth") > most).groupBy("doc_id").agg(F.min(F.struct("page_no", "elem_seq")).alias("stop"))
+    marked = elements.join(stops, "doc_id", "left")
+    ahead = (F.col("page_no") < F.col("stop.page_no")) | ((F.col("page_no") == F.col("stop.page_no")) & ((F.col("elem_seq") < F.col("stop.elem_seq")) | (F.col("kind") == "page")))
+    kept = marked.where(F.col("stop").isNull() | F.coalesce(ahead, F.lit(False)))
+    return kept.withColumns({"page_done": F.col("stop").isNull() | (F.col("page_no") < F.col("stop.page_no")), "stopped": F.col("stop").isNotNull()}).drop("stop")
+
+
+def overlap_sums(rects: DataFrame, others: DataFrame | None = None) -> DataFrame:
+    """(doc_id, page_no, seq, overlap): overlap of each rectangle with the earlier ones of its page, or with all of ``others``."""
+    key = ["doc_id", "page_no"]
+    a = rects.select(*key, "seq", *(F.col(c).alias(f"a{c}") for c in RECT))
+    b = (rects if others is None else others).select(*key, F.col("seq").alias("seq_b"), *(F.col(c).alias(f"b{c}") for c in RECT))
+    pairs = a.join(b, key) if others is not None else a.join(b, key).where("seq > seq_b")
+    return pairs.groupBy(*key, "seq").agg(F.sum(G.overlap("a", "b")).alias("overlap"))
+
+
+def page_space(sheets: DataFrame, images: DataFrame, boxes: DataFrame) -> DataFrame:
+    """What covers each page of ``sheets`` (doc_id, page_no, page_width, page_height), one row a page.
+
+    images: rectangles (RECT, seq). boxes: left, top, right, bot, kind (text or block), box_id. Images are kept once each and add
+    what earlier ones do not cover, at least nothing. Boxes are clipped to the page and kept once each, text boxes before blocks.
+    Three sums of overlaps stay apart: images with earlier images, boxes with images, boxes with earlier boxes;
+    free_space is the page without images and boxes, the overlaps of the latter two kinds given back.
+    """
+    key = ["doc_id", "page_no"]
+    area = G.area(*(F.col(c) for c in RECT))
+    kept = distinct_rects(images)
+    covered = kept.join(overlap_sums(kept), [*key, "seq"], "left").withColumn("overlap", F.coalesce("overlap", F.lit(0)))
+    by_image = covered.groupBy(*key).agg(F.count(F.lit(1)).alias("images"), F.sum(F.greatest(area - F.col("overlap"), F.lit(0))).alias("image_space"), F.sum("overlap").alias("image_image"))
+    own = boxes.join(sheets.select(*key, "page_width", "page_height"), key)
+    clipped = {"left": F.least(F.greatest("left", F.lit(0)), "page_width"), "top": F.least(F.greatest("top", F.lit(0)), "page_height"), "right": F.least("right", "page_width"), "bot": F.least("bot", "page_height")}
+    own = own.select(*key, "kind", "box_id", *(v.alias(c) for c, v in clipped.items())).where("(right - left) * (bot - top) > 0")
+    rects = own.groupBy(*key, *RECT).agg(F.min(F.struct((F.col("kind") == "block").alias("block"), "box_id")).alias("seq"))
+    by_box = rects.join(overlap_sums(rects).withColumnRenamed("overlap", "box_box"), [*key, "seq"], "left").join(overlap_sums(rects, kept).withColumnRenamed("overlap", "box_image"), [*key, "seq"], "left")
+    by_box = by_box.groupBy(*key).agg(
+        F.sum(F.when(~F.col("seq.block"), area).otherwise(0)).alias("textbox_space"), F.sum(F.when(F.col("seq.block"), area).otherwise(0)).alias("blockstyle_space"), F.sum("box_image").alias("box_image"), F.sum("box_box").alias("box_box")
+    )
+    sums = ["images", "image_space", "image_image", "textbox_space", "blockstyle_space", "box_image", "box_box"]
+    page = F.col("page_width").cast("long") * F.col("page_height")
+    out = sheets.select(*key, page.alias("space")).join(by_image, key, "left").join(by_box, key, "left").select(*key, "space", *(F.coalesce(F.col(c).cast("long"), F.lit(0)).alias(c) for c in sums))
+    return out.withColumn("free_space", F.expr("space - image_space - textbox_space - blockstyle_space + box_image + box_box"))
+
+
 def modal(df: DataFrame, keys: list[str], value: str, order: str, out: str) -> DataFrame:
     """Most frequent value per key (of equal counts the first seen) and its share of the rows."""
     counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("k"), F.min(order).alias("first"))

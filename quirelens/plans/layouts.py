@@ -52,3 +52,34 @@ def line_successors(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").selectExpr("string(l_orderkey) AS doc_id", "1 AS page_no", f"int({ORDERED}) AS n", "int(l_quantity) AS q", "int(l_suppkey) AS s", "int(l_partkey) AS p")
     lines = rows.selectExpr("doc_id", "page_no", "n AS seq", "n * 10 + q % 8 AS top", "50 + p % 7 AS left", "150 + q % 9 AS right", "8 + s % 25 AS height", "n % 2 AS font")
     return layout.successors(lines, lines).select("doc_id", F.col("top").alias("line_top"), "gap", "same_font")
+
+
+#: An order as a page of 80 by 60: its lines are images, text boxes or blocks by their flag, some repeated, some beyond the page.
+RECTS = f"""(SELECT l_orderkey AS o, n, flag, p % 90 - 8 AS l, s % 60 - 5 AS t, p % 90 - 8 + 4 + q % 30 AS r, s % 60 - 5 + 4 + q % 25 AS b
+  FROM (SELECT l_orderkey, {ORDERED} AS n, l_returnflag AS flag, l_partkey % 7 * 9 AS p, l_suppkey % 5 * 7 AS s, CAST(l_quantity AS INTEGER) % 9 AS q FROM lineitem))"""
+
+
+@query("page_space", f"""WITH x AS (SELECT * FROM {RECTS}),
+  k AS (SELECT o, CASE flag WHEN 'A' THEN 'i' ELSE 'b' END AS kind, flag = 'R' AS block, n, greatest(0, least(l, 80)) AS l, greatest(0, least(t, 60)) AS t, CASE flag WHEN 'A' THEN greatest(0, least(r, 80)) ELSE least(r, 80) END AS r, CASE flag WHEN 'A' THEN greatest(0, least(b, 60)) ELSE least(b, 60) END AS b FROM x),
+  d AS (SELECT o, kind, l, t, r, b, (r - l) * (b - t) AS size, min(CASE WHEN block THEN 1000 ELSE 0 END + n) AS seq FROM k WHERE (r - l) * (b - t) > CASE kind WHEN 'i' THEN 1 ELSE 0 END GROUP BY 1, 2, 3, 4, 5, 6),
+  p AS (SELECT a.o, a.kind, a.seq, a.size, c.kind AS other, CASE WHEN least(a.r, c.r) >= greatest(a.l, c.l) AND least(a.b, c.b) >= greatest(a.t, c.t) THEN (least(a.r, c.r) - greatest(a.l, c.l)) * (least(a.b, c.b) - greatest(a.t, c.t)) ELSE 0 END AS ov
+    FROM d a JOIN d c ON a.o = c.o AND ((a.kind = c.kind AND a.seq > c.seq) OR (a.kind = 'b' AND c.kind = 'i'))),
+  m AS (SELECT d.o, d.kind, d.seq, d.size, coalesce(sum(CASE WHEN p.other = d.kind THEN ov END), 0) AS same, coalesce(sum(CASE WHEN p.other <> d.kind THEN ov END), 0) AS img FROM d LEFT JOIN p ON p.o = d.o AND p.kind = d.kind AND p.seq = d.seq GROUP BY 1, 2, 3, 4),
+  g AS (SELECT o, count(*) FILTER (kind = 'i') AS images, coalesce(sum(greatest(size - same, 0)) FILTER (kind = 'i'), 0) AS image_space, coalesce(sum(same) FILTER (kind = 'i'), 0) AS image_image,
+    coalesce(sum(size) FILTER (kind = 'b' AND seq < 1000), 0) AS textbox_space, coalesce(sum(size) FILTER (kind = 'b' AND seq >= 1000), 0) AS blockstyle_space, coalesce(sum(img) FILTER (kind = 'b'), 0) AS box_image, coalesce(sum(same) FILTER (kind = 'b'), 0) AS box_box FROM m GROUP BY 1)
+  SELECT CAST(q.o AS VARCHAR) AS doc_id, CAST(coalesce(images, 0) AS BIGINT) AS images, CAST(coalesce(image_space, 0) AS BIGINT) AS image_space, CAST(coalesce(image_image, 0) AS BIGINT) AS image_image, CAST(coalesce(textbox_space, 0) AS BIGINT) AS textbox_space, CAST(coalesce(blockstyle_space, 0) AS BIGINT) AS blockstyle_space,
+  CAST(coalesce(box_image, 0) AS BIGINT) AS box_image, CAST(coalesce(box_box, 0) AS BIGINT) AS box_box, CAST(4800 - coalesce(image_space + textbox_space + blockstyle_space - box_image - box_box, 0) AS BIGINT) AS free_space, round(coalesce(image_space, 0) / 4800.0, 6) AS image_ratio
+  FROM (SELECT DISTINCT o FROM x) q LEFT JOIN g USING (o)""")
+def page_space(spark, sf_dir):
+    """Space of images, text boxes and blocks on every order's page, with the three kinds of overlap, free space and the share of images."""
+    from quirelens.functions import geometry as G
+    from quirelens.operators import pages
+
+    rows = table(spark, sf_dir, "lineitem").selectExpr("string(l_orderkey) AS doc_id", "1 AS page_no", f"int({ORDERED}) AS seq", "l_returnflag AS flag", "int(l_partkey % 7 * 9) AS p", "int(l_suppkey % 5 * 7) AS s", "int(l_quantity) % 9 AS q")
+    rects = rows.selectExpr("doc_id", "page_no", "seq", "flag", "p % 90 - 8 AS left", "s % 60 - 5 AS top", "4 + q % 30 AS width", "4 + q % 25 AS height")
+    sheets = rects.select("doc_id", "page_no").distinct().selectExpr("doc_id", "page_no", "80 AS page_width", "60 AS page_height")
+    box = G.clip(F.col("left"), F.col("top"), F.col("width"), F.col("height"), F.lit(80), F.lit(60))
+    images = rects.where("flag = 'A'").select("doc_id", "page_no", "seq", *(v.alias(k) for k, v in box.items()))
+    boxes = rects.where("flag <> 'A'").selectExpr("doc_id", "page_no", "seq AS box_id", "CASE flag WHEN 'R' THEN 'block' ELSE 'text' END AS kind", "left", "top", "left + width AS right", "top + height AS bot")
+    out = pages.page_space(sheets, images, boxes)
+    return out.select("doc_id", "images", "image_space", "image_image", "textbox_space", "blockstyle_space", "box_image", "box_box", "free_space", F.round(F.col("image_space") / F.col("space"), 6).alias("image_ratio"))
