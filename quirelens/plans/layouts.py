@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import functions as F
 
-from quirelens.operators import layout
+from quirelens.functions import text as T
+from quirelens.operators import features, layout
 from quirelens.plans.catalog import query
-from quirelens.runtime import table
+from quirelens.runtime import cut_lineage, table
 
 ORDERED = "row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_returnflag)"
 
 #: An order as a page of one font: two runs a top, some close together, some of odd height, some formatted.
-RUNS = f"""(SELECT l_orderkey AS o, n, (n // 2) * 20 AS top, 50 + n % 2 * 100 AS lft, 50 + n % 2 * 100 + 88 + q % 14 AS rgt, CASE WHEN flag = 'A' THEN 9 ELSE 12 END AS h, CASE WHEN q % 5 = 0 THEN n % 3 ELSE 0 END AS fmt
+RUNS = f"""(SELECT l_orderkey AS o, n, (n // 2) * 20 AS top, 50 + n % 2 * 100 AS lft, 50 + n % 2 * 100 + 88 + q % 14 AS rgt, CASE WHEN flag = 'A' THEN 9 ELSE 12 END AS h, CASE WHEN q % 5 = 0 THEN n % 3 ELSE 0 END AS fmt, 'w' || n AS txt
   FROM (SELECT l_orderkey, {ORDERED} AS n, CAST(l_quantity AS INTEGER) AS q, l_returnflag AS flag FROM lineitem))"""
 
 
@@ -19,29 +22,46 @@ def pages_of_orders(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").selectExpr("string(l_orderkey) AS doc_id", "1 AS page_no", f"int({ORDERED}) AS elem_seq", "int(l_quantity) AS q", "l_returnflag")
     return rows.selectExpr(
         "doc_id", "page_no", "elem_seq", "'text' AS kind", "elem_seq div 2 * 20 AS top", "50 + elem_seq % 2 * 100 AS left", "88 + q % 14 AS width",
-        "CASE WHEN l_returnflag = 'A' THEN 9 ELSE 12 END AS height", "0 AS font", "'run' AS text", "CASE WHEN q % 5 = 0 THEN elem_seq % 3 ELSE 0 END AS fmt",
+        "CASE WHEN l_returnflag = 'A' THEN 9 ELSE 12 END AS height", "0 AS font", "concat('w', elem_seq) AS text", "CASE WHEN q % 5 = 0 THEN elem_seq % 3 ELSE 0 END AS fmt",
     ).selectExpr("doc_id", "page_no", "elem_seq", "kind", "int(top) AS top", "left", "width", "height", "font", "text", "fmt")
 
 
-@query("layout_lines", f"""WITH RECURSIVE r AS (SELECT * FROM {RUNS}),
+#: The lines of those pages: odd heights by the recursion over runs, then lengthened lines, then joins; z has one row per line.
+LINES = f"""WITH RECURSIVE r AS (SELECT * FROM {RUNS}),
   s AS (SELECT o, n, h AS best, h AS first, CAST(h = 12 AS INTEGER) AS c12, CAST(h = 9 AS INTEGER) AS c9, false AS odd FROM r WHERE n = 1
     UNION ALL SELECT o, n, b, first, CASE WHEN h = 12 AND h <> best AND NOT (h <> b) THEN 1 ELSE k12 END, CASE WHEN h = 9 AND h <> best AND NOT (h <> b) THEN 1 ELSE k9 END, h <> best AND h <> b
     FROM (SELECT *, CASE WHEN h = best THEN best WHEN k12 > k9 THEN 12 WHEN k9 > k12 THEN 9 ELSE first END AS b
       FROM (SELECT r.o, r.n, r.h, s.best, s.first, s.c12 + CAST(r.h = 12 AS INTEGER) AS k12, s.c9 + CAST(r.h = 9 AS INTEGER) AS k9 FROM s JOIN r ON r.o = s.o AND r.n = s.n + 1))),
-  w AS (SELECT r.*, s.odd, lead(s.odd) OVER p AS nodd, lead(r.lft) OVER p AS nl, lead(r.rgt) OVER p AS nr, lead(r.fmt) OVER p AS nf FROM r JOIN s USING (o, n) WINDOW p AS (PARTITION BY o ORDER BY n)),
-  l AS (SELECT o, n, top, lft, CASE WHEN c THEN nr ELSE rgt END AS rgt, CASE WHEN c THEN 2 ELSE 1 END AS runs, CASE WHEN NOT c OR nf = 0 OR fmt = nf THEN fmt WHEN fmt = 0 THEN nf ELSE 4 END AS fmt
+  w AS (SELECT r.*, s.odd, lead(s.odd) OVER p AS nodd, lead(r.lft) OVER p AS nl, lead(r.rgt) OVER p AS nr, lead(r.fmt) OVER p AS nf, lead(r.txt) OVER p AS nt FROM r JOIN s USING (o, n) WINDOW p AS (PARTITION BY o ORDER BY n)),
+  l AS (SELECT o, n, top, lft, CASE WHEN c THEN nr ELSE rgt END AS rgt, CASE WHEN c THEN 2 ELSE 1 END AS runs, CASE WHEN c THEN txt || ' ' || nt ELSE txt END AS txt, CASE WHEN NOT c OR nf = 0 OR fmt = nf THEN fmt WHEN fmt = 0 THEN nf ELSE 4 END AS fmt
     FROM (SELECT *, coalesce(nodd AND nl - rgt >= 0 AND nl - rgt < 10, false) AS c FROM w)),
   g AS (SELECT *, coalesce(lft - lag(rgt) OVER p < 10, false) AND top > min(top) OVER (PARTITION BY o) AS near, fmt > 0 OR coalesce(lag(fmt) OVER p, 0) > 0 AS styled, count(*) OVER (PARTITION BY o, lft) AS c FROM l WINDOW p AS (PARTITION BY o, top ORDER BY lft, n)),
-  j AS (SELECT *, near AND (styled OR c - coalesce(sum(CAST(near AND styled AS INTEGER)) OVER (PARTITION BY o, lft ORDER BY top RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) <= 2) AS joins FROM g)
-  SELECT CAST(o AS VARCHAR) AS doc_id, CAST(top AS INTEGER) AS line_top, CAST(min(lft) AS INTEGER) AS line_left, CAST(arg_max(rgt, lft) AS INTEGER) AS line_right, CAST(sum(runs) AS INTEGER) AS n_runs,
-  CAST(CASE WHEN count(DISTINCT nullif(fmt, 0)) = 0 THEN 0 WHEN count(DISTINCT nullif(fmt, 0)) = 1 THEN max(fmt) ELSE 4 END AS INTEGER) AS line_fmt
-  FROM (SELECT *, sum(CAST(NOT joins AS INTEGER)) OVER (PARTITION BY o, top ORDER BY lft, n) AS island FROM j) GROUP BY o, top, island""")
+  j AS (SELECT *, near AND (styled OR c - coalesce(sum(CAST(near AND styled AS INTEGER)) OVER (PARTITION BY o, lft ORDER BY top RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) <= 2) AS joins FROM g),
+  z AS (SELECT o, top, island, min(lft) AS lft, arg_max(rgt, lft) AS rgt, arg_min(n, lft) AS head, sum(runs) AS runs, string_agg(txt, ' ' ORDER BY lft, n) AS txt,
+    CASE WHEN count(DISTINCT nullif(fmt, 0)) = 0 THEN 0 WHEN count(DISTINCT nullif(fmt, 0)) = 1 THEN max(fmt) ELSE 4 END AS fmt
+    FROM (SELECT *, sum(CAST(NOT joins AS INTEGER)) OVER (PARTITION BY o, top ORDER BY lft, n) AS island FROM j) GROUP BY o, top, island)"""
+
+
+@query("layout_lines", f"""{LINES}
+  SELECT CAST(o AS VARCHAR) AS doc_id, CAST(top AS INTEGER) AS line_top, CAST(lft AS INTEGER) AS line_left, CAST(rgt AS INTEGER) AS line_right, CAST(runs AS INTEGER) AS n_runs, CAST(fmt AS INTEGER) AS line_fmt FROM z""")
 def layout_lines(spark, sf_dir):
     """Lines of every order's page: runs of odd height lengthen the line before, close neighbours of one top join."""
     joined = layout.joined_lines(layout.lines(pages_of_orders(spark, sf_dir)))
     return joined.select("doc_id", F.col("top").alias("line_top"), F.col("left").alias("line_left"), F.col("right").alias("line_right"), F.size(F.split("text", " ")).alias("n_runs"), F.col("fmt").alias("line_fmt"))
 
 
+@query("doubled_text", f"""{LINES},
+  t AS (SELECT o, string_agg(txt, ' ' ORDER BY n) AS txt FROM r GROUP BY 1), y AS (SELECT o, string_agg(txt, ' ' ORDER BY head) AS txt FROM z GROUP BY 1)
+  SELECT CAST(o AS VARCHAR) AS doc_id, doubled, text, CAST(len(string_split(text, ' ')) AS INTEGER) AS n_words, array_to_string(list_slice(string_split(text, ' '), -5, -1), ' ') AS last_words
+  FROM (SELECT o, false AS doubled, t.txt AS text FROM t UNION ALL SELECT o, true, t.txt || ' ' || y.txt FROM t JOIN y USING (o))""")
+def doubled_text(spark, sf_dir):
+    """The text of every order's page: its runs alone, and its runs with its merged lines behind them."""
+    elements = pages_of_orders(spark, sf_dir)
+    lines = layout.joined_lines(layout.lines(elements))
+    both = [features.document_texts(elements, lines, doubled).withColumn("doubled", F.lit(doubled)) for doubled in (False, True)]
+    return both[0].unionByName(both[1]).select("doc_id", "doubled", "text", T.word_count(F.col("text")).alias("n_words"), T.last_words(F.col("text"), 5).alias("last_words"))
+
+
 @query("line_successors", f"""WITH r AS (SELECT l_orderkey AS o, n * 10 + q % 8 AS top, 8 + l_suppkey % 25 AS h, 50 + l_partkey % 7 AS lft, 150 + q % 9 AS rgt, n % 2 AS font
     FROM (SELECT l_orderkey, l_suppkey, l_partkey, CAST(l_quantity AS INTEGER) AS q, {ORDERED} AS n FROM lineitem)),
   p AS (SELECT a.o, a.top, b.top - a.top - a.h AS gap, a.font = b.font AS same_font, row_number() OVER (PARTITION BY a.o, a.top ORDER BY b.top) AS k FROM r a JOIN r b ON a.o = b.o AND b.top > a.top
@@ -83,3 +103,69 @@ def page_space(spark, sf_dir):
     boxes = rects.where("flag <> 'A'").selectExpr("doc_id", "page_no", "seq AS box_id", "CASE flag WHEN 'R' THEN 'block' ELSE 'text' END AS kind", "left", "top", "left + width AS right", "top + height AS bot")
     out = pages.page_space(sheets, images, boxes)
     return out.select("doc_id", "images", "image_space", "image_image", "textbox_space", "blockstyle_space", "box_image", "box_box", "free_space", F.round(F.col("image_space") / F.col("space"), 6).alias("image_ratio"))
+
+
+ORDER_LINES = f"(SELECT l_orderkey AS o, {ORDERED} AS n, l_returnflag AS flag, CAST(l_quantity AS INTEGER) AS q, l_partkey AS p, l_suppkey AS s FROM lineitem)"
+ROUNDED = ", ".join(f"round(coalesce(CAST({c} AS DOUBLE), 0), 6) AS {c}" for c in features.NUMERIC_41)
+
+
+def feature_elements(spark, sf_dir):
+    """Elements of documents of up to 64 orders: a page with evenly spaced lines, images and a font each; some pages have too many tiny images."""
+    rows = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS o", f"int({ORDERED}) AS n", "l_returnflag AS flag", "int(l_quantity) AS q", "l_partkey AS p", "l_suppkey AS s")
+    orders = rows.groupBy("o").count().select("o")
+    columns = ["doc_id", "page_no", "page_width", "page_height", "elem_seq", "kind", "top", "left", "width", "height", "font", "size", "family", "color", "text", "bold_text", "fmt", "n_bold_words", "n_links", "error_code"]
+    types = {c: "string" for c in ("doc_id", "kind", "family", "color", "text", "bold_text", "error_code")}
+
+    def part(df, kind, seq, page="int(o % 64) + 1", **values):
+        given = {"doc_id": "string(o div 64)", "page_no": page, "page_width": "400", "page_height": "2000", "elem_seq": seq, "kind": f"'{kind}'", **values}
+        return df.selectExpr(*(f"CAST({given.get(c, 'NULL')} AS {types.get(c, 'int')}) AS {c}" for c in columns))
+
+    said = "concat('run', repeat(' w', q % 3), CASE WHEN p % 50 = 0 THEN ' ©' ELSE '' END)"
+    words = "1 + q % 3 + int(p % 50 = 0)"
+    return functools.reduce(
+        lambda a, b: a.unionByName(b),
+        [
+            part(orders, "page", "0"),
+            part(orders, "fontspec", "1", font="o % 2", size="9 + 3 * (o % 2)", family="concat('F', o % 3)", color="concat('c', o % 5)"),
+            part(rows.where("q % 4 = 0"), "image", "50 + n", top="s % 150", left="p % 300", width="10 + q", height="10 + q % 20"),
+            part(rows, "text", "100 + n", top="n * 20", left="CASE flag WHEN 'A' THEN 50 WHEN 'N' THEN 150 ELSE 250 END", width="100", height="12", font="o % 2", text=said, bold_text=f"CASE WHEN q % 5 = 0 THEN {said} ELSE '' END", fmt="0", n_bold_words=f"CASE WHEN q % 5 = 0 THEN {words} ELSE 0 END", n_links="int(q % 7 = 0)"),
+            part(orders.where("o % 97 = 0").selectExpr("o", "explode(sequence(1, 60)) AS k"), "image", "200 + k", top="5", left="5", width="5", height="5"),
+            part(orders.selectExpr("o div 64 * 64 AS o").distinct(), "outline", "0", page="NULL"),
+            part(orders.where("o % 10 = 0"), "item", "1", page="NULL"),
+        ],
+    )
+
+
+@query("feature_table", f"""WITH r AS (SELECT *, o // 64 AS d, o % 64 + 1 AS page, CASE flag WHEN 'A' THEN 50 WHEN 'N' THEN 150 ELSE 250 END AS l, 1 + q % 3 + CAST(p % 50 = 0 AS INTEGER) AS words FROM {ORDER_LINES}),
+  st AS (SELECT d, min(page) FILTER (o % 97 = 0) AS stop FROM r GROUP BY 1),
+  k AS (SELECT r.*, stop IS NULL OR page < stop AS done FROM r JOIN st USING (d) WHERE stop IS NULL OR page <= stop),
+  pg AS (SELECT DISTINCT d, page, o, done FROM k),
+  cnt AS (SELECT d, count(*) AS count_pages, count(*) AS count_fonts, count(DISTINCT o % 5) AS count_font_colors, count(DISTINCT o % 3) AS count_font_families, max(9 + 3 * (o % 2)) AS max_font_size, min(9 + 3 * (o % 2)) AS min_font_size FROM pg GROUP BY 1),
+  outl AS (SELECT d, CASE WHEN stop IS NULL THEN 1 + (SELECT count(DISTINCT o) FROM r WHERE r.d = st.d AND o % 10 = 0) ELSE 0 END AS count_outline_items, CAST(stop IS NOT NULL AS INTEGER) AS image_error FROM st),
+  fw AS (SELECT d, o % 2 AS font, sum(words) AS w FROM k GROUP BY 1, 2),
+  fm AS (SELECT d, arg_max(9 + 3 * font, w * 10 - font) AS main_font_size, max(w) / sum(w) AS perc_main_font_word FROM fw GROUP BY 1),
+  said AS (SELECT d, max(CAST(p % 50 = 0 AS INTEGER)) AS copyright_symbol, sum(CASE WHEN q % 5 = 0 THEN words ELSE 0 END) AS bold, sum(CAST(q % 7 = 0 AS INTEGER)) AS links FROM k GROUP BY 1),
+  ln AS (SELECT d, sum(words) AS words, count(*) AS lines, count(DISTINCT page) AS pages FROM k WHERE done GROUP BY 1),
+  im AS (SELECT d, page, done, p % 300 AS a, s % 150 AS b, p % 300 + 10 + q AS c, s % 150 + 10 + q % 20 AS e, min(n) AS seq FROM k WHERE q % 4 = 0 GROUP BY 1, 2, 3, 4, 5, 6, 7),
+  ic AS (SELECT d, count(im.d) + max(image_error) AS n_images FROM outl LEFT JOIN im USING (d) GROUP BY 1),
+  io AS (SELECT x.d, x.page, x.seq, greatest(any_value((x.c - x.a) * (x.e - x.b)) - coalesce(sum(CASE WHEN y.d IS NULL THEN 0 ELSE greatest(least(x.c, y.c) - greatest(x.a, y.a), 0) * greatest(least(x.e, y.e) - greatest(x.b, y.b), 0) END), 0), 0) AS added FROM im x LEFT JOIN im y ON x.d = y.d AND x.page = y.page AND x.seq > y.seq WHERE x.done GROUP BY 1, 2, 3),
+  ip AS (SELECT d, page, sum(added) AS image_space FROM io GROUP BY 1, 2),
+  isl AS (SELECT *, n - row_number() OVER (PARTITION BY o, flag ORDER BY n) AS g FROM k WHERE done),
+  bx AS (SELECT d, page, l, min(n) * 20 AS t, max(n) * 20 + 12 AS b, count(*) AS lines, count(*) > 2 AS block FROM isl GROUP BY d, page, o, flag, l, g),
+  bi AS (SELECT bx.d, bx.page, sum(greatest(least(l + 100, im.c) - greatest(l, im.a), 0) * greatest(least(bx.b, im.e) - greatest(bx.t, im.b), 0)) AS box_image FROM bx JOIN im ON bx.d = im.d AND bx.page = im.page GROUP BY 1, 2),
+  bp AS (SELECT d, page, count(*) FILTER (NOT block) AS tn, coalesce(sum(lines) FILTER (NOT block), 0) AS tl, coalesce(sum(100 * (b - t)) FILTER (NOT block), 0) AS ts, CASE WHEN count(*) FILTER (NOT block) = 0 THEN 0 ELSE greatest(1, count(DISTINCT l) FILTER (NOT block AND lines >= 2)) END AS tc,
+    count(*) FILTER (block) AS bn, coalesce(sum(lines) FILTER (block), 0) AS bl, coalesce(sum(100 * (b - t)) FILTER (block), 0) AS bs, CASE WHEN count(*) FILTER (block) = 0 THEN 0 ELSE greatest(1, count(DISTINCT l) FILTER (block)) END AS bc FROM bx GROUP BY 1, 2),
+  sp AS (SELECT d, sum(coalesce(image_space, 0)) / (count(*) * 800000) AS mean_image_space_pp, max(coalesce(image_space, 0) / 800000) AS max_image_page_ratio, sum(800000 - coalesce(image_space, 0) - ts - bs + coalesce(box_image, 0)) / (count(*) * 800000) AS mean_free_space_pp,
+    sum(tn) AS tn, sum(tl) / nullif(sum(tn), 0) AS mean_lines_per_textbox, avg(ts) AS mean_textbox_space_pp, sum(bn) AS bn, sum(bl) / nullif(sum(bn), 0) AS mean_lines_per_blockstyle, avg(bs) AS mean_blockstyle_space_pp FROM bp LEFT JOIN ip USING (d, page) LEFT JOIN bi USING (d, page) GROUP BY 1),
+  tm AS (SELECT d, arg_max(tc, c * 100 - tc) AS m, max(c) AS c FROM (SELECT d, tc, count(*) AS c FROM bp GROUP BY 1, 2) GROUP BY 1), bm AS (SELECT d, arg_max(bc, c * 100 - bc) AS m, max(c) AS c FROM (SELECT d, bc, count(*) AS c FROM bp GROUP BY 1, 2) GROUP BY 1),
+  ed AS (SELECT d, arg_max(l, c * 100000 - f) AS modal_left, max(c) / sum(c) AS perc_modal_left, max(l) AS max_left, min(l) AS min_left FROM (SELECT d, l, count(*) AS c, min(page * 10 + n) AS f FROM k WHERE done GROUP BY 1, 2) GROUP BY 1),
+  w AS (SELECT *, -1 AS file_size, -1 AS page_rot, -1 AS page_size_x, -1 AS page_size_y, ln.words / ln.pages AS mean_words_pp, ln.lines / ln.pages AS mean_lines_pp, ln.words / ln.lines AS mean_words_per_line, bold / count_pages AS mean_bold_words_pp, links / count_pages AS mean_annotations_pp,
+    n_images / count_pages AS mean_images_pp, tn / count_pages AS mean_textboxes_pp, bn / count_pages AS mean_blockstyles_pp, CASE WHEN tn > 0 THEN tm.m END AS modal_textbox_columns_pp, CASE WHEN tn > 0 THEN tm.c / count_pages END AS perc_modal_textbox_columns_pp,
+    CASE WHEN bn > 0 THEN bm.m END AS modal_blockstyle_columns_pp, CASE WHEN bn > 0 THEN bm.c / count_pages END AS perc_modal_blockstyle_columns_pp, modal_left + 100 AS modal_right, perc_modal_left AS perc_modal_right, max_left + 100 AS max_right
+    FROM cnt JOIN outl USING (d) JOIN fm USING (d) JOIN said USING (d) JOIN ic USING (d) LEFT JOIN ln USING (d) LEFT JOIN sp USING (d) LEFT JOIN tm USING (d) LEFT JOIN bm USING (d) LEFT JOIN ed USING (d)),
+  x AS (SELECT * REPLACE (CASE WHEN n_images > 0 THEN mean_image_space_pp END AS mean_image_space_pp, CASE WHEN n_images > 0 THEN max_image_page_ratio END AS max_image_page_ratio, CASE WHEN tn > 0 THEN mean_textbox_space_pp END AS mean_textbox_space_pp, CASE WHEN bn > 0 THEN mean_blockstyle_space_pp END AS mean_blockstyle_space_pp) FROM w)
+  SELECT CAST(d AS VARCHAR) AS doc_id, {ROUNDED} FROM x""")
+def feature_table(spark, sf_dir):
+    """The 41 numeric features of documents made of orders; a document with too many tiny images on a page stops there."""
+    elements = cut_lineage(feature_elements(spark, sf_dir))
+    return features.assemble(elements, mark_image_error=True).select("doc_id", *(F.round(c, 6).alias(c) for c in features.NUMERIC_41))
