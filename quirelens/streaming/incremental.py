@@ -46,6 +46,38 @@ def current_statistics(spark: SparkSession, folder: str) -> DataFrame:
     return vectors.merge_statistics(spark.read.parquet(folder).drop("batch"))
 
 
+def publish_report(stream: DataFrame, folder: str, checkpoint: str) -> None:
+    """Run :func:`running_report` over what the stream has; each batch replaces the report of the one before under its own number."""
+
+    def each(whole: DataFrame, number: int) -> None:
+        whole.withColumn("batch", F.lit(number)).coalesce(1).write.mode("overwrite").parquet(f"{folder}/batch={number}")
+
+    running_report(stream).writeStream.outputMode("complete").foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def published_report(spark: SparkSession, folder: str) -> DataFrame:
+    """The latest report, and how many batches made one."""
+    reports = spark.read.option("basePath", folder).parquet(folder)
+    columns = [c for c in reports.columns if c != "batch"]
+    return reports.agg(F.max_by(F.struct(*columns), "batch").alias("r"), F.count(F.lit(1)).alias("n_batches")).select("r.*", "n_batches")
+
+
+def keep_statistics(stream: DataFrame, features: list[str], folder: str, checkpoint: str) -> None:
+    """Statistics of every batch of the stream under its number; a batch that runs again replaces its own and is counted once."""
+
+    def each(batch: DataFrame, number: int) -> None:
+        merge_batch_statistics(batch.sparkSession, batch, features, folder, number)
+
+    stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def arriving_events(spark: SparkSession, sf_dir: str, folder: str, files: int = 6) -> DataFrame:
+    """The events as a stream of several files, two a batch."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    events.repartition(files, "event_id").write.mode("overwrite").parquet(f"{folder}/arrived")
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/arrived")
+
+
 def events_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as documents to score, by an available-now stream; one row per event type."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
