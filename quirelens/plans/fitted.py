@@ -44,3 +44,13 @@ def cross_fit_rates(spark, sf_dir):
         return joined.select("doc_id", F.round(F.coalesce("own", "of_all"), 6).alias("p"))
 
     return models.cross_fitted(docs, fit, score, folds=5)
+
+
+@query("page_model")
+def page_model(spark, sf_dir):
+    """Scores of all vectors by a unit that knows half of the labels and goes on with its own scores of the others."""
+    from quirelens.operators import page_model as unit
+
+    vec = labelled_vectors(spark, sf_dir).withColumnRenamed("vec_id", "page_id")
+    trained = unit.pseudo_labelled(vec.where("page_id % 2 = 0"), vec.where("page_id % 2 = 1"), 64)
+    return trained.score(vec).select("page_id", F.round("score", 6).alias("score"))
