@@ -558,3 +558,19 @@ def stream_statistics(spark, sf_dir):
     incremental.keep_statistics(events, features, f"{folder}/batches", f"{folder}/state")
     incremental.keep_statistics(events, features, f"{folder}/batches", f"{folder}/state-lost")  # all batches again, under the same numbers
     return incremental.current_statistics(spark, f"{folder}/batches").withColumn("mean", F.round("mean", 9))
+
+
+# ---------------------------------------------------------------- cleaning with the whole list of stop words
+
+ALL_STOP_SQL = "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in T.ALL_STOP_WORDS) + "]"
+
+
+@query("text_clean_all", ORACLE_SQL["text_clean"].replace(STOP_SQL, ALL_STOP_SQL))
+def text_clean_all(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.clean_text(F.col("text")).alias("clean"))
+
+
+@query("metadata_clean_all", ORACLE_SQL["metadata_clean"].replace(STOP_SQL, ALL_STOP_SQL))
+def metadata_clean_all(spark, sf_dir):
+    values = table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.col("url").alias("v")).unionByName(table(spark, sf_dir, "part").select((-1 - F.col("p_partkey")).alias("id"), F.col("p_name").alias("v")))
+    return values.select("id", T.clean_metadata(F.col("v")).alias("clean"))

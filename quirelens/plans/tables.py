@@ -186,3 +186,23 @@ def stream_skip_processed(spark, sf_dir):
     done = table(spark, sf_dir, "events").where("event_id % 3 = 0").select("event_id")
     incremental.score_new(source, lambda b: b.select("event_id", "event_type"), f"{folder}/results", f"{folder}/checkpoint", "event_id", done)
     return incremental.read_results(spark, f"{folder}/results", "event_id").groupBy("event_type").agg(F.count(F.lit(1)).alias("n_docs"))
+
+
+@query("feature_store", """WITH f AS (SELECT doc_id, text, source, n_chars FROM documents),
+  a AS (SELECT doc_id, CASE WHEN doc_id % 7 <> 0 THEN text END AS text, CASE WHEN doc_id % 11 <> 0 THEN source END AS source, n_chars, 2 AS g FROM f WHERE doc_id % 3 <> 0),
+  b AS (SELECT doc_id, text, source, -n_chars AS n_chars, 3 AS g FROM f WHERE doc_id % 5 = 0),
+  l AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY g DESC) AS r FROM (SELECT * FROM a UNION ALL SELECT * FROM b))
+  SELECT f.doc_id, l.doc_id IS NOT NULL AS saved, l.source, l.n_chars, length(l.text) AS text_length FROM f LEFT JOIN l ON l.doc_id = f.doc_id AND r = 1 AND l.text IS NOT NULL AND l.source IS NOT NULL AND l.n_chars IS NOT NULL""")
+def feature_store(spark, sf_dir):
+    """Documents saved in generations: one that is hidden, one with gaps, one that updates; complete rows, and what is still to be extracted."""
+    from quirelens.sources import feature_store as store
+
+    folder = f"{shared_folder(spark)}/features-{uuid.uuid4().hex}"
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "n_chars")
+    store.save(docs.withColumn("source", F.lit("old")), folder)
+    gaps = docs.where("doc_id % 3 <> 0").withColumns({"text": F.expr("CASE WHEN doc_id % 7 <> 0 THEN text END"), "source": F.expr("CASE WHEN doc_id % 11 <> 0 THEN source END")})
+    store.save(gaps, folder, anew=True)
+    store.save(docs.where("doc_id % 5 = 0").withColumn("n_chars", -F.col("n_chars")), folder)
+    complete, todo = store.load_or_repair(docs.select("doc_id"), folder, ["source", "n_chars"])
+    kept = complete.select("doc_id", F.lit(True).alias("saved"), "source", "n_chars", F.char_length("text").alias("text_length"))
+    return kept.unionByName(todo.select("doc_id", F.lit(False).alias("saved")), allowMissingColumns=True)
