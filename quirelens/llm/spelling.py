@@ -1,7 +1,7 @@
 """Spelling variants: words one edit apart, found through variable-length grams, and the most frequent form of each.
 
-The gram dictionary holds heads and tails of words: a gram is kept where at most ``RARE`` words have it, and of a word's heads (tails)
-the shortest kept one is its variable gram. One edit touches at most one of two grams that do not overlap, so a word whose head
+The gram dictionary holds heads and tails of words by length: a gram is kept for a length where at most ``RARE`` words of that length,
+one more or one less have it, and of a word's heads (tails) the shortest kept one is its variable gram. One edit touches at most one of two grams that do not overlap, so a word whose head
 and tail fit into it side by side has an affected-gram bound of 1 in 2: every near word shares the head or the tail, and merging
 those two lists (at most ``2 * RARE`` words) finds it. Where they do not fit, one edit may touch all rare grams and the bound is
 0; pairs of two such words are met by a gapped gram instead, the whole word but one code point. All pairs found are verified.
@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quirelens.llm import bytescan
@@ -28,7 +28,7 @@ from quirelens.runtime import cut_lineage
 MIN_LENGTH, MIN_COUNT = 5, 3
 #: A deletion is planted where the hash of document and word is a multiple of this (part of the contract).
 PLANT = 97
-#: Lists of the gram dictionary hold at most this many words; its grams are of MIN_GRAM to MAX_GRAM code points.
+#: Lists of the gram dictionary (of three lengths) hold at most this many words; its grams are of MIN_GRAM to MAX_GRAM code points.
 RARE, MIN_GRAM, MAX_GRAM = 256, 3, 16
 #: Different words that a worker counts before it hands them on.
 HELD_WORDS = 100_000
@@ -80,8 +80,10 @@ def grams(words: DataFrame, *carried: str) -> DataFrame:
 
 def decomposed(words: DataFrame) -> DataFrame:
     """``words`` (wid, w, len, n) with the variable grams ``head`` and ``tail``: both null where the bound of the word is 0."""
-    dictionary = grams(words).groupBy("side", "gram").agg(F.count(F.lit(1)).alias("n_words")).where(F.col("n_words") <= RARE).select("side", "gram")
-    own = grams(words, "wid").join(dictionary, ["side", "gram"])
+    lists = grams(words, "len").groupBy("side", "gram", "len").agg(F.count(F.lit(1)).alias("n_words"))
+    reach = Window.partitionBy("side", "gram").orderBy("len").rangeBetween(-1, 1)  # one row a length
+    dictionary = lists.withColumn("met", F.sum("n_words").over(reach)).where(F.col("met") <= RARE).select("side", "gram", "len")
+    own = grams(words, "wid", "len").join(dictionary, ["side", "gram", "len"])
     size = F.char_length("gram")
     shortest = own.groupBy("wid").agg(F.min(F.when(F.col("side") == 0, size)).alias("h"), F.min(F.when(F.col("side") == 1, size)).alias("t"))
     full = words.join(shortest, "wid", "left")
@@ -101,10 +103,12 @@ def near_by_grams(words: DataFrame) -> DataFrame:
     """(wid, near_w, near_n): pairs with at least one word of a bound above 0, both ways, each once."""
     probes = words.where("head IS NOT NULL")
     sides = F.array(F.struct(F.lit(0).alias("side"), F.col("head").alias("gram")), F.struct(F.lit(1).alias("side"), F.col("tail").alias("gram")))
-    probes = probes.select(F.explode(sides).alias("g"), F.col("wid").alias("pid"), F.col("w").alias("pw"), F.col("len").alias("plen"), F.col("n").alias("pn"), F.col("head").alias("phead")).select("g.side", "g.gram", "pid", "pw", "plen", "pn", "phead")
+    probes = probes.select(F.explode(sides).alias("g"), F.col("wid").alias("pid"), F.col("w").alias("pw"), F.col("len").alias("plen"), F.col("n").alias("pn"), F.col("head").alias("phead"))
+    reach = F.explode(F.array(F.col("plen") - 1, F.col("plen"), F.col("plen") + 1)).alias("len")
+    probes = probes.select("g.side", "g.gram", reach, "pid", "pw", "pn", "phead")
     index = grams(words.withColumn("open", F.col("head").isNull()), "wid", "w", "len", "n", "open")
     again = (F.col("side") == 1) & F.col("w").startswith(F.col("phead"))  # the head's list has the pair already
-    met = probes.join(index, ["side", "gram"]).where((F.abs(F.col("plen") - F.col("len")) <= 1) & (F.col("pid") != F.col("wid")) & ~again & one_edit(F.col("pw"), F.col("w")))
+    met = probes.join(index, ["side", "gram", "len"]).where((F.col("pid") != F.col("wid")) & ~again & one_edit(F.col("pw"), F.col("w")))
     # a near word that probes itself gives the other direction
     there = F.struct(F.col("pid").alias("wid"), F.col("w").alias("near_w"), F.col("n").alias("near_n"))
     back = F.struct("wid", F.col("pw").alias("near_w"), F.col("pn").alias("near_n"))
