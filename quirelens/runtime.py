@@ -47,3 +47,21 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the reliable checkpoint folder and go on from there."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+#: Spark's own setting: the shuffle files of an execution go when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def cut_and_clean(df: DataFrame) -> DataFrame:
+    """:func:`cut_lineage`, and the shuffle files behind ``df`` are deleted at once: jobs of many steps would pile them up.
+
+    What was written stands without them; only this execution has the setting.
+    """
+    spark = df.sparkSession
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        return cut_lineage(df.select("*"))  # an execution of its own takes the setting as it is now
+    finally:
+        spark.conf.set(CLEANUP, before)

@@ -183,3 +183,10 @@ def test_fields_are_cleaned_before_tokens(spark):
     assert {r.term for r in vocab.collect()} == {"cats", "dogs"}
     producers = vectors.vocabulary(df, "producer", max_df=1.0, clean=T.clean_property)
     assert [(r.term, r.weight) for r in vectors.term_frequencies(df, producers, "producer", clean=T.clean_property).collect()] == [("acrobatdistiller", 1.0)]
+
+
+def test_cut_and_clean_leaves_the_setting(spark):
+    from quirelens import runtime
+
+    df = runtime.cut_and_clean(spark.range(100).repartition(3).groupBy((F.col("id") % 7).alias("g")).count())
+    assert df.count() == 7 and df.groupBy("count").count().count() == 2 and spark.conf.get(runtime.CLEANUP, "false") == "false"
