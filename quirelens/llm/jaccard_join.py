@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quirelens.llm import bytescan as bs
-from quirelens.runtime import cut_lineage
+from quirelens.runtime import cut_and_clean, cut_lineage
 
 SHINGLE, PERCENT = 5, 80
 #: Questions a class and round of leaders, similarity in percent at which a set counts to its leader's crowd, frequent
@@ -46,7 +46,7 @@ FILTER_BITS = (1 << 16, 1 << 27)
 
 def written(df: DataFrame, rows: int = 50_000) -> DataFrame:
     """``df`` written and read again in as few partitions as its rows need, so that small tables don't make many small files."""
-    out = cut_lineage(df)
+    out = cut_and_clean(df)
     return out.coalesce(max(1, -(-out.count() // rows)))
 
 
