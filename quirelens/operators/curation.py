@@ -44,9 +44,12 @@ def unseen_by_path(images: DataFrame, saved: DataFrame, key: str) -> DataFrame:
 
     An id that a path holds is a part of one of its runs of digits, so all parts of these runs meet the ids by equality.
     """
+    # only parts as long as some saved id; there are as many lengths as the longest id has digits
+    lengths = saved.agg(F.collect_set(F.length("saved_id")).alias("lengths"))  # one row
     runs = F.regexp_extract_all("path", F.lit("([0-9]+)"), F.lit(1))
-    cuts = F.flatten(F.transform(runs, lambda r: F.flatten(F.transform(F.sequence(F.lit(1), F.length(r)), lambda i: F.transform(F.sequence(i, F.length(r)), lambda j: r.substr(i, j - i + 1))))))
-    held = images.select(key, F.explode(F.array_distinct(cuts)).alias("saved_id")).join(saved.select("saved_id"), "saved_id").select(key).distinct()
+    fitting = lambda r: F.filter("lengths", lambda n: (n > 0) & (n <= F.length(r)))
+    cuts = F.flatten(F.transform(runs, lambda r: F.flatten(F.transform(fitting(r), lambda n: F.transform(F.sequence(F.lit(1), F.length(r) - n + 1), lambda i: r.substr(i, n))))))
+    held = images.crossJoin(F.broadcast(lengths)).select(key, F.explode(F.array_distinct(cuts)).alias("saved_id")).join(saved.select("saved_id"), "saved_id").select(key).distinct()
     return images.join(held, key, "left_anti")
 
 
