@@ -409,11 +409,34 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") ->
     return df.select(*keep).mapInArrow(run, StructType([*fields, StructField(out, StringType())]))
 
 
+def encode_and_decode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """Add ``ids`` as :func:`encode` and ``decoded`` as :func:`decode` do, in one pass: one Python worker a task holds the model, not two.
+
+    The text itself is left out, all other columns stay.
+    """
+    keep = [c for c in df.columns if c not in (ids, decoded, text)]
+    fields = [df.schema[c] for c in keep]
+
+    def run(batches):
+        model = model_of(path)
+        for whole in batches:
+            for b in _slices(whole, text):
+                texts = b.column(b.schema.get_field_index(text)).cast(pa.binary()).to_pylist()
+                packed = model.encode([t or b"" for t in texts])
+                del texts
+                said = pa.array([model.decode(p) for p in packed], pa.string())
+                yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in keep), pa.array(packed, pa.binary()), said], [*keep, ids, decoded])
+        model.forget()
+        bs.give_back()
+
+    from pyspark.sql.types import BinaryType, StringType, StructField, StructType
+
+    return df.select(*keep, text).mapInArrow(run, StructType([*fields, StructField(ids, BinaryType()), StructField(decoded, StringType())]))
+
+
 def digest(df: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document."""
-    ids = encode(df.select("doc_id", "text"), path).select("doc_id", "ids")
-    both = decode(ids, path)
-    return both.select(
+    return encode_and_decode(df.select("doc_id", "text"), path).select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2(F.col("ids"), 256).alias("ids_sha256"),
