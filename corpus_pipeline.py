@@ -67,8 +67,8 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, n_tokens, ids (packed), decoded text."""
     small_batches(spark)
-    ids = bpe.encode(docs.select("doc_id", "source", "text"), tokenizer_path()).select("doc_id", "source", "ids")
-    return bpe.decode(ids, tokenizer_path()).select("doc_id", "source", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", "decoded")
+    both = bpe.encode_and_decode(docs.select("doc_id", "source", "text"), tokenizer_path())
+    return both.select("doc_id", "source", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", "decoded")
 
 
 STAGES = [
