@@ -28,6 +28,8 @@ OUT_ROWS, OUT_BYTES = 2_000, 4_000_000
 NEVER = 1 << 40
 NO_RANK = np.int64(NEVER)
 FREE = (NEVER, -1)
+#: Marks that may stand behind a plain word.
+MARKS = ".,;!?"
 #: The word end as a trie symbol, and the number of symbols.
 END, SYMBOLS = 256, 257
 
@@ -82,6 +84,7 @@ class BpeModel:
         self.plain = np.array([self.vocab.get(c, -1) for c in byte_alphabet()], np.int64)
         self.final = np.array([self.vocab.get(c + self.suffix, -1) for c in byte_alphabet()], np.int64)
         self.grow_trie()
+        self.simple = self.reads_plainly()
         self.memory: dict[bytes, bytes] = {}
         self.words: dict[bytes, bytes] = {}
 
@@ -270,10 +273,22 @@ class BpeModel:
         """Words (UTF-8 bytes) and ids of added tokens of one run of non-blank bytes."""
         text = run.decode("utf-8", "replace")
         # letters of Latin-1 with at most some full stops and commas behind: normal form and word borders are plain
-        body = text.rstrip(".,;!?")
-        if body.isalpha() and max(body) < "\u0100":
+        body = text.rstrip(MARKS)
+        if self.simple and body.isalpha() and max(body) < "\u0100":
             low = body.lower().encode()
             return [low] if len(body) == len(text) else [low, text[len(body) :].encode()]
+        return self.cut_by_file(text)
+
+    def reads_plainly(self) -> bool:
+        """Does this file lower-case Latin-1 letters, keep them in one word, and the marks behind them in another?"""
+        letters = "".join(c for c in map(chr, range(256)) if c.isalpha())
+        words = [letters, letters[::-1], *letters]
+        ends = [MARKS, MARKS[::-1], *MARKS]
+        plain = all(self.cut_by_file(w) == [w.lower().encode()] for w in words) and all(self.cut_by_file(w + e) == [w.lower().encode(), e.encode()] for w in words for e in ends)
+        return plain and not any(t.rstrip(MARKS).isalpha() or not t.strip(MARKS) for t in self.added)
+
+    def cut_by_file(self, text: str) -> list:
+        """As :meth:`cut`, all by the file's normaliser and word borders."""
         parts: list = [text]
         for content, i in self.added.items():
             if content in text:

@@ -25,8 +25,6 @@ OPEN, CLOSE, ESCAPE = "### ", "</turn>", "\\"
 #: Written names of the usual roles (fixed values); any other role is written escaped after "=".
 NAMES = {"system": "System", "user": "User", "assistant": "Assistant"}
 ROLES = {v: k for k, v in NAMES.items()}
-#: For :func:`spans_by_windows` only: turns that are rendered whole, turns of a window, whole prefixes that are checked.
-EXACT_TURNS, WINDOW, CHECKS = 24, 4, 12
 _CONTROL = re.compile(r"\\|### |</turn>")
 _ESCAPED = re.compile(r"\\(\\|### |</turn>)")
 _TURN = re.compile(r"### (?:(System|User|Assistant)|=((?:\\[:\n\\]|[^:\n\\])*)): ((?:\\(?:\\|### |</turn>)|(?!### |</turn>)[^\\])*)</turn>\n", re.S)
@@ -101,34 +99,6 @@ def _text_span(turns: list[Turn], now: str, template: Callable[[list[Turn]], str
     return (head, stop) if stop >= head else (len(now), len(now))  # a template may leave a role's text out
 
 
-def spans_by_windows(turns: list[Turn], template: Callable[[list[Turn]], str]) -> Found | None:
-    """An estimate that no operator uses: each turn rendered behind the few before it, a few whole prefixes as checks.
-
-    None where a piece or a checked prefix disagrees. A rewrite that shows between two checks only is not seen.
-    """
-    first, found, rewrites = spans_by_prefixes(turns[:EXACT_TURNS], template)
-    if rewrites:
-        return None
-    pieces, at, n = [first], len(first), len(turns)
-    checks = {n * k // CHECKS for k in range(1, CHECKS + 1)}
-    for k in range(EXACT_TURNS, n):
-        near = turns[k - WINDOW : k]
-        before, now = template(near), template([*near, turns[k]])
-        if not now.startswith(before):
-            return None
-        a, b = _text_span([*near, turns[k]], now, template)
-        if a < len(before):
-            return None
-        pieces.append(now[len(before) :])
-        found.append((at, at + len(pieces[-1]), at + a - len(before), at + b - len(before)))
-        at += len(pieces[-1])
-        if k + 1 in checks:
-            pieces = ["".join(pieces)]
-            if template(turns[: k + 1]) != pieces[0]:
-                return None
-    return "".join(pieces), found, False
-
-
 def spans(turns: list[Turn], template: Callable[[list[Turn]], str] = render) -> Found:
     """(output, (start, end, text start, text end) per turn in code points, whether the template rewrites history)."""
     return spans_by_prefixes(turns, template)

@@ -67,6 +67,8 @@ def uniform(*keys: Column) -> Column:
     return F.pmod(F.xxhash64(*keys, F.lit(SEED)), F.lit(1 << 40)) / float(1 << 40)
 
 
+#: Equal rows that a task deals out at a time.
+CHUNK = 1_024
 UNIT = "struct<size:bigint,key:bigint,doc_id:{id},p:double>"
 
 
@@ -95,22 +97,41 @@ def fold(units: Column, id_type: str, level: Column) -> Column:
     return F.aggregate(units, start, lambda acc, b: F.when(acc["open"].isNull(), F.struct(acc["done"].alias("done"), b.alias("open"))).otherwise(pair(acc, b)))
 
 
+def each_row(units: DataFrame) -> DataFrame:
+    """Units of ``rows`` equal rows back to rows, with ``all`` copies dealt evenly among them; large units in chunks over the cluster."""
+    chunks = F.sequence(F.lit(0).cast("long"), F.floor((F.col("rows") - 1) / CHUNK))
+    large = units.where(F.col("rows") > CHUNK).withColumn("chunk", F.explode(chunks)).repartition("chunk")
+    parts = units.where(F.col("rows") <= CHUNK).withColumn("chunk", F.lit(0).cast("long")).unionByName(large)
+    first = F.col("chunk") * CHUNK
+    numbered = parts.withColumn("k", F.explode(F.sequence(first, F.least(first + CHUNK, F.col("rows")) - 1)))
+    share = F.floor(F.col("all") / F.col("rows")) + (F.col("k") < F.col("all") % F.col("rows")).cast("long")
+    return numbered.select("doc_id", "size", "rank", share.alias("copies"))
+
+
 def copies(docs: DataFrame) -> DataFrame:
     """doc_id, source, size, source_size, target, copies of every row.
 
-    Null texts have size 0 and no copies; a null source is a source of its own, last in order; equal rows are
-    rounded one by one; an empty table stays empty. Reruns give the same copies.
+    Null texts have size 0 and no copies; a null source is a source of its own, last in order; rows equal in id, text
+    and source are one unit with their number, whose copies are dealt evenly among them; an empty table stays empty.
+    Reruns give the same copies.
     """
-    id_type = docs.schema["doc_id"].dataType.simpleString()
+    id_type = f"struct<doc_id:{docs.schema['doc_id'].dataType.simpleString()},rows:bigint,sure:bigint>"
     sized = docs.select("doc_id", "source", words(F.col("text")).alias("size"), F.xxhash64("doc_id", "text").alias("key"))
-    sized = cut_lineage(sized)  # narrow: the texts are read once
-    goal = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n")))
+    # narrow: the texts are read once; equal rows become a number before the shuffle
+    sized = cut_lineage(sized.groupBy("doc_id", "source", "size", "key").agg(F.count(F.lit(1)).alias("rows")))
+    goal = targets(sized.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).alias("source_size"), F.count(F.lit(1)).alias("n")))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     rows = sized.join(goal, sized["source"].eqNullSafe(goal["source"])).select(
-        sized["doc_id"], sized["size"], sized["key"], "rank", F.floor(rate).alias("whole"), (rate - F.floor(rate)).alias("p"), (F.floor(F.col("n") / FAN_IN) + 1).alias("buckets"), "n"
+        sized["doc_id"], sized["size"], sized["key"], "rows", "rank", F.floor(rate).alias("whole"), (F.col("rows") * (rate - F.floor(rate))).alias("mass"), (F.floor(F.col("n") / FAN_IN) + 1).alias("buckets"), "n"
     )
-    idle = rows.where("size = 0 OR p = 0").select("doc_id", "size", "rank", F.when(F.col("size") > 0, F.col("whole")).otherwise(0).alias("copies"))
-    unit = F.struct("size", "key", "doc_id", "p")
+    rows = rows.withColumns({"sure": F.floor("mass"), "p": F.col("mass") - F.floor("mass")})
+    idle = rows.where("size = 0 OR p = 0").select("doc_id", "rows", "size", "rank", F.when(F.col("size") > 0, F.col("rows") * F.col("whole") + F.col("sure")).otherwise(0).alias("all"))
+    unit = F.struct("size", "key", F.struct("doc_id", "rows", "sure").alias("doc_id"), "p")
+
+    def rounded(units: DataFrame) -> DataFrame:
+        u = F.col("u")
+        return units.select("u.doc_id.doc_id", "u.doc_id.rows", "u.size", "rank", (u["doc_id"]["rows"] * F.col("whole") + u["doc_id"]["sure"] + F.round(u["p"])).cast("long").alias("all"))
+
     # about FAN_IN documents of each source wait for the last level: small ones among them take up what large ones leave
     waits = (F.col("n") > FAN_IN) & (F.pmod(F.xxhash64("key", F.lit("waits")), F.col("n")) < FAN_IN)
     units = rows.where("size > 0 AND p > 0").select("rank", "whole", "buckets", unit.alias("unit"), waits.alias("waits"))
@@ -124,17 +145,17 @@ def copies(docs: DataFrame) -> DataFrame:
         bucket = F.lit(0) if last else F.pmod(F.xxhash64("unit.key", F.lit(level)), F.col("buckets"))
         groups = open_.groupBy("rank", "whole", "buckets", bucket.alias("bucket")).agg(F.sort_array(F.collect_list("unit"), asc=False).alias("units"))
         folded = cut_lineage(groups.select("rank", "whole", "buckets", fold(F.col("units"), id_type, F.lit(level)).alias("f")))
-        found.append(folded.select("rank", "whole", F.explode("f.done").alias("u")).select("u.doc_id", "u.size", "rank", (F.col("whole") + F.col("u.p")).cast("long").alias("copies")))
+        found.append(rounded(folded.select("rank", "whole", F.explode("f.done").alias("u"))))
         open_ = folded.where("f.open IS NOT NULL").select("rank", "whole", F.greatest(F.lit(1), F.floor(F.col("buckets") / FAN_IN) + 1).alias("buckets"), F.col("f.open").alias("unit"))
         level += 1
         if last:
             break
         most = most // FAN_IN + 1
-    found.append(open_.select("unit.doc_id", "unit.size", "rank", (F.col("whole") + F.round("unit.p")).cast("long").alias("copies")))
-    out = found[0].withColumn("copies", F.col("copies").cast("long"))
+    found.append(rounded(open_.withColumnRenamed("unit", "u")))
+    out = found[0].withColumn("all", F.col("all").cast("long"))
     for f in found[1:]:
         out = out.unionByName(f)
-    return out.join(goal.select("rank", "source", "source_size", "target"), "rank").select("doc_id", "source", "size", "source_size", "target", "copies")
+    return each_row(out).join(goal.select("rank", "source", "source_size", "target"), "rank").select("doc_id", "source", "size", "source_size", "target", "copies")
 
 
 def mix(docs: DataFrame) -> DataFrame:
@@ -153,4 +174,5 @@ def mix(docs: DataFrame) -> DataFrame:
 
 
 def digest(docs: DataFrame) -> DataFrame:
+    """:func:`copies` with the words taken; one row per row, null ids and repeated rows included, a null text takes 0."""
     return copies(docs).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "source")

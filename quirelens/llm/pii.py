@@ -200,6 +200,7 @@ def written(found: Column) -> Column:
 
 
 def digest(df: DataFrame) -> DataFrame:
+    """One row per row, null ids and repeated rows included; null and empty texts have no span and the hash of the empty string."""
     narrow = cut_lineage(measured(df))
     both = with_new(narrow.drop("tokens"), discover(narrow))
     counts = [F.size(F.filter("base", (lambda n: lambda s: s["n"] == n)(n))).cast("long").alias(f"n_{k}") for n, k in enumerate(KINDS[:BASE])]

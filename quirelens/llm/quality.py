@@ -219,10 +219,14 @@ def base_failed():
 
 
 def judge(df: DataFrame) -> DataFrame:
-    """:func:`clean_lines` with ``base_failed`` and ``kept``."""
+    """:func:`clean_lines` with ``base_failed`` and ``kept``.
+
+    Null and empty texts have no word, fail the base and are not kept; repeated rows are judged alike.
+    """
     return clean_lines(df).withColumns({"base_failed": base_failed(), "kept": ~base_failed() & (F.col("words_left") >= KEEP_SHARE * F.col("n_words"))})
 
 
 def digest(df: DataFrame) -> DataFrame:
+    """One row per row, null ids and repeated rows included; a null text counts as empty (all 0, failed, not kept)."""
     own = judge(df.select("doc_id", "text"))
     return own.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_bad_lines", "words_left")

@@ -102,6 +102,7 @@ def with_next(docs: DataFrame) -> DataFrame:
 
 
 def digest(docs: DataFrame) -> DataFrame:
+    """Every document beside its edited text and the next document (descending id); a null text counts as empty, an only document is its own next."""
     rows = with_next(docs).withColumn("n_chars", F.char_length("text"))
     third = F.floor(F.col("n_chars") / 3).cast("int")
     rows = rows.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), F.col("n_chars") - third), F.substring(F.col("next_text"), F.lit(1), third)))

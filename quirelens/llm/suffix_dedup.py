@@ -347,5 +347,6 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
 
 def digest(docs: DataFrame) -> DataFrame:
+    """Counts and the hash of what :func:`remove_repeats` keeps; null and empty texts have 0 bytes and the hash of the empty string."""
     out = remove_repeats(docs)
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))

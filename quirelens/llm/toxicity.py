@@ -33,6 +33,7 @@ ROUNDS, RATE, L2 = 60, 0.5, 1e-5
 
 
 def held_out(doc_id: Column) -> Column:
+    """Whether a row is kept from training; null for a null id, and such a row is not trained on either."""
     return F.pmod(F.crc32(doc_id.cast("string")), F.lit(4)) == 2
 
 
@@ -273,5 +274,6 @@ def score(df: DataFrame, model: Crf) -> DataFrame:
 
 
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """One row per row of ``docs``, repeated ones repeated. Null and empty texts have the score of no token; ``held_out`` of a null id is null."""
     scored = score(docs.select("doc_id", "text"), fit(docs, labels))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), F.size("toxic_spans").alias("n_spans"))

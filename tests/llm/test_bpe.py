@@ -1,4 +1,5 @@
 import hashlib
+import json
 import random
 
 import numpy as np
@@ -48,6 +49,25 @@ def test_speculation_fails_and_is_repaired(both):
         assert model.merge(model.base(words[k])) == merged[k].tolist() == model.merge_long(model.base(words[k]))
 
 
+@pytest.mark.parametrize("part", ["normalizer", "added_tokens"])
+def test_a_file_that_reads_words_otherwise(tmp_path, part):
+    """Plain words take the short way only where the file reads them so."""
+    with open(tokenizer_path(), encoding="utf-8") as f:
+        spec = json.load(f)
+    assert bpe.model_of(tokenizer_path()).simple
+    if part == "normalizer":
+        spec[part] = None
+    else:
+        spec[part][0] |= {"content": "cafe", "id": spec["model"]["vocab"]["cafe"]}
+    path = tmp_path / "t.json"
+    path.write_text(json.dumps(spec), encoding="utf-8")
+    model = bpe.BpeModel(str(path))
+    assert not model.simple
+    theirs = tokenizers.Tokenizer.from_file(str(path))
+    for text in ("some cafe, decafe!", "plain words here."):
+        assert np.frombuffer(model.encode([text.encode()])[0], "<u4").tolist() == theirs.encode(text, add_special_tokens=False).ids
+
+
 def test_table(spark, both):
     rows = [(1, "The café, isn't it?", "x", 3), (1, "The café, isn't it?", "x", 3), (None, None, None, None), (4, "", "y", 1)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, ids string, decoded int")

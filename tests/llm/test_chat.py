@@ -39,7 +39,6 @@ def test_table(spark):
 def test_long_conversations():
     turns = [("user" if k % 2 else "assistant", f"{SAID} {k} " * (k % 5)) for k in range(300)]
     assert chat.spans(turns) == chat.spans_by_prefixes(turns, chat.render)
-    assert chat.spans_by_windows(turns, chat.render) is not None
     numbered = lambda turns: f"{len(turns)} turns" + chat.render(turns)
     assert chat.spans(turns[:60], numbered)[2] and chat.spans(turns[:60], numbered) == chat.spans_by_prefixes(turns[:60], numbered)
 

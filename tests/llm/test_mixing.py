@@ -73,3 +73,19 @@ def test_expectation_is_kept(spark):
             rate[r.source] = r.target / r.source_size
     for s, x in rate.items():
         assert hits[s] / 480 == pytest.approx(x, abs=0.12)
+
+
+def test_many_equal_rows_are_one_unit(spark):
+    """Equal rows share their copies evenly, none above twice, and the source meets its target."""
+    rows = [(1, "four words are here", "a")] * 3001 + [(None, "no id at all", "a")] * 7 + [(k, "x " * (k % 9 + 1), "a") for k in range(2, 60)] + [(k, "y y", "b") for k in range(60, 400)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = mixing.digest(docs).collect()
+    assert Counter(r.doc_id for r in got) == Counter(i for i, _, _ in rows)
+    mine = [r for r in got if r.doc_id == 1]
+    assert max(r.copies for r in mine) - min(r.copies for r in mine) <= 1 and max(r.copies for r in got) <= 2
+    for source in "ab":
+        of = [r for r in got if r.source == source]
+        assert abs(sum(r.taken for r in of) - of[0].target) <= 6
+    assert Counter((r.doc_id, r.taken) for r in mixing.digest(docs.repartition(9)).collect()) == Counter((r.doc_id, r.taken) for r in got)
+    mixed = Counter(r.doc_id for r in mixing.mix(docs).collect())
+    assert mixed[1] == sum(r.copies for r in mine)

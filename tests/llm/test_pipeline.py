@@ -88,9 +88,13 @@ def test_run(stages, spark, sf_dir):
 
 def test_edges(spark, sf_dir):
     docs = spark.createDataFrame([(None, None, None, None, None), (None, "w " * 60, "en", None, 1), (5, "", "en", "a", 0)], "doc_id bigint, text string, lang string, source string, n_chars bigint").withColumn("extra", F.lit(1))
-    for _, stage in cp.STAGES:
-        full = stage(spark, docs, sf_dir)
-        assert full.count() >= 0 and stage(spark, docs.limit(0), sf_dir).count() == 0
+    out = [stage(spark, docs, sf_dir).collect() for _, stage in cp.STAGES]
+    assert all(stage(spark, docs.limit(0), sf_dir).count() == 0 for _, stage in cp.STAGES)
+    texts = sorted([None, "", "w " * 60], key=str)
+    assert out[0] == []  # too few words, or one word all along
+    assert sorted((r.text for r in out[1]), key=str) == sorted((r.text for r in out[2]), key=str) == texts
+    assert {r.text for r in out[3]} == {"w " * 60} and len(out[3]) in (1, 2)  # 150 % of all words are 90
+    assert sorted(r.n_tokens for r in out[4])[:2] == [0, 0] and len(out[4]) == 3
 
 
 def test_shared_and_missing_ids(spark, sf_dir):
