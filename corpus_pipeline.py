@@ -23,7 +23,10 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules reject go; kept ones lose their failing lines."""
+    """Documents that the rules reject go; kept ones lose their failing lines.
+
+    Null and empty texts have too few words and go; repeated rows are judged alike, null ids count as any other.
+    """
     small_batches(spark)
     kept = quality.judge(docs.select(*COLUMNS)).where("kept")
     return _counted(kept.withColumn("text", F.col("clean_text")))
@@ -53,19 +56,25 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every span found gives way to its kind in brackets."""
+    """Every span found gives way to its kind in brackets.
+
+    Null texts stay null; rows are neither dropped nor merged, whatever their ids.
+    """
     small_batches(spark)
     return _counted(pii.redact(docs.select(*COLUMNS)))
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its source's target takes it."""
+    """Each document as often as its source's target takes it.
+
+    Null and empty texts have no words and are not taken; a null source is a source of its own, last in order.
+    """
     small_batches(spark)
     return mixing.mix(docs.select(*COLUMNS))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, n_tokens, ids (packed), decoded text."""
+    """doc_id, source, n_tokens, ids (packed), decoded text of every row; null and empty texts have no token and decode to the empty text."""
     small_batches(spark)
     both = bpe.encode_and_decode(docs.select("doc_id", "source", "text"), tokenizer_path())
     return both.select("doc_id", "source", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", "decoded")
