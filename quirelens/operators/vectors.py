@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirelens.functions import text as T
+from quirelens.operators import knn
 from quirelens.runtime import cut_lineage
 from quirelens.sources import tables as files
 
@@ -80,22 +81,10 @@ def normalise(spark: SparkSession, df: DataFrame, features: list[str], path: str
 def knn_vote(queries: DataFrame, train: DataFrame, k: int = 5) -> DataFrame:
     """(doc_id, p1): share of class 1 among the k nearest training rows, weighted by inverse distance; zero distances take all.
 
-    queries, train: doc_id / vec_id, vector (array of doubles), train with label. A stated query set meets all
-    training rows in blocks: the training side stays where it is, each of its tasks keeps k candidates per query, and
-    only those are brought together.
+    queries, train: doc_id / vec_id, vector (array of doubles), train with label. Queries meet the training rows by the bucket
+    index, in blocks (:mod:`knn`). A query without a vector gets no share.
     """
-    diff = F.zip_with("qv", "tv", lambda x, y: (x - y) * (x - y))
-    pairs = train.select(F.col("vec_id").alias("t"), F.col("vector").alias("tv"), "label").crossJoin(queries.select("doc_id", F.col("vector").alias("qv")))
-    dist = pairs.select("doc_id", "t", "label", F.sqrt(F.aggregate(diff, F.lit(0.0), lambda a, x: a + x)).alias("d"))
-    near = _nearest(dist, k)
-    zero = F.exists("near", lambda s: s["d"] == 0)
-    weight = lambda s: F.when(zero, (s["d"] == 0).cast("double")).otherwise(1 / s["d"])
-    total = F.aggregate("near", F.lit(0.0), lambda a, s: a + weight(s))
-    ones = F.aggregate("near", F.lit(0.0), lambda a, s: a + F.when(s["label"] == 1, weight(s)).otherwise(0.0))
-    return near.select("doc_id", (ones / total).alias("p1"))
-
-
-def _nearest(dist: DataFrame, k: int) -> DataFrame:
-    """k smallest by (d, t) per query: row_number with a limit, which Spark applies in each task before the shuffle."""
-    first = dist.withColumn("r", F.row_number().over(Window.partitionBy("doc_id").orderBy("d", "t"))).where(F.col("r") <= k)
-    return first.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("d", "t", "label"))).alias("near"))
+    near = knn.search(knn.build(train.withColumnRenamed("vec_id", "t")), queries.withColumnRenamed("doc_id", "q"), k)
+    votes = knn.vote(near).select(F.col("q").alias("doc_id"), "p1")
+    any_row = F.broadcast(train.limit(1).select(F.lit(1).alias("_one")))  # without training rows nobody is answered
+    return queries.select("doc_id").distinct().crossJoin(any_row).drop("_one").join(votes, "doc_id", "left")
