@@ -190,3 +190,14 @@ def test_cut_and_clean_leaves_the_setting(spark):
 
     df = runtime.cut_and_clean(spark.range(100).repartition(3).groupBy((F.col("id") % 7).alias("g")).count())
     assert df.count() == 7 and df.groupBy("count").count().count() == 2 and spark.conf.get(runtime.CLEANUP, "false") == "false"
+
+
+def test_stop_words_are_a_hash_set(spark):
+    """The whole list costs one look-up a word; words are compared as written, an empty list keeps all."""
+    from quirelens.functions import text as T
+
+    df = spark.createDataFrame([("the cat The über été and dog pdf x_1",), (None,)], "v string")
+    out = df.select(T.clean_text(F.col("v")).alias("t"), T.clean_metadata(F.col("v")).alias("m"), T.clean_text(F.col("v"), ()).alias("all"))
+    assert [tuple(r) for r in out.collect()] == [("cat The dog pdf x_1", "cat The dog x_1", "the cat The über été and dog pdf x_1"), ("", "", "")]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(" INSET ") >= 2 and "array_contains" not in plan
