@@ -32,15 +32,17 @@ def page_rects(elements: DataFrame) -> DataFrame:
     return elements.where("kind = 'image'").select(*KEY, F.col("elem_seq").alias("seq"), *(v.alias(f"r_{k}") for k, v in box.items())).select(*KEY, "seq", *(F.col(f"r_{k}").alias(k) for k in box))
 
 
-def document_texts(runs: DataFrame, lines: DataFrame, doubled: bool = False) -> DataFrame:
+def document_texts(runs: DataFrame, lines: DataFrame, doubled: bool = False, parts: int | None = None) -> DataFrame:
     """(doc_id, text): the runs of each document in order; ``doubled`` puts the merged lines of a page behind its runs, page by page.
 
     runs: doc_id, page_no, elem_seq, text. lines: doc_id, page_no, seq, text (seq in element order). Empty runs say nothing.
+    ``parts``: partitions of the work, Spark's own number if not given.
     """
     said = runs.where("text <> ''").select(*KEY, F.lit(0).alias("part"), F.col("elem_seq").alias("at"), "text")
     if doubled:
         said = said.unionByName(lines.select(*KEY, F.lit(1).alias("part"), F.col("seq").alias("at"), "text"))
     ordered = F.array_sort(F.collect_list(F.struct("page_no", "part", "at", "text")))
+    said = said if parts is None else said.repartition(parts, "doc_id")
     return said.groupBy("doc_id").agg(ordered.alias("r")).select("doc_id", F.array_join("r.text", " ").alias("text"))
 
 

@@ -20,7 +20,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from quirelens.operators import pages
-from quirelens.runtime import cut_lineage
+from quirelens.runtime import cut_lineage, parts_for
 
 BOXES = "doc_id string, page_no int, box_id int, kind string, left int, top int, right int, bot int, n_lines int, text string"
 #: Distances in pixels (fixed values).
@@ -47,14 +47,14 @@ def both_formats(a: Column, b: Column) -> Column:
 # ---------------------------------------------------------------- lines
 
 
-def odd_heights(runs: DataFrame) -> DataFrame:
+def odd_heights(runs: DataFrame, parts: int) -> DataFrame:
     """``runs`` with ``odd``: another height is the usual one of the run's font so far in its document, and its page has a line already.
 
     runs: doc_id, page_no, seq, font, height, begun (the page has a line before). Runs of a font are streamed in order; what
     is kept is how often each height was seen.
     """
     names = runs.columns
-    ordered = runs.repartition("doc_id", "font").sortWithinPartitions("doc_id", "font", "page_no", "seq")
+    ordered = runs.repartition(parts, "doc_id", "font").sortWithinPartitions("doc_id", "font", "page_no", "seq")
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, seen, usual = None, {}, None
@@ -77,21 +77,25 @@ def odd_heights(runs: DataFrame) -> DataFrame:
     return ordered.mapInArrow(stream, f"{schema}, odd boolean")
 
 
-def lines(elements: DataFrame) -> DataFrame:
+def lines(elements: DataFrame, parts: int | None = None) -> DataFrame:
     """(doc_id, page_no, seq, top, left, right, height, font, text, fmt): text runs as lines (W04).
 
     Runs of odd height close behind a line lengthen it, one after another, up to the next run with text, which is a line
-    of its own besides.
+    of its own besides. ``parts``: partitions of the work (by the number of elements if not given); lines are dealt by page.
     """
+    parts = parts_for(elements) if parts is None else parts
     given = elements.where("kind = 'text' AND doc_id IS NOT NULL").dropna(subset=["page_no", "top", "left", "width", "height"])
-    runs = given.select("doc_id", "page_no", "elem_seq", "top", "left", (F.col("left") + F.col("width")).alias("right"), "height", F.coalesce("font", F.lit(-1)).alias("font"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("fmt", F.lit(0)).alias("fmt"))
+    runs = given.select("doc_id", "page_no", "elem_seq", "top", "left", (F.col("left") + F.col("width")).alias("right"), "height", F.coalesce("font", F.lit(-1)).alias("font"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("fmt", F.lit(0)).alias("fmt")).repartition(parts, *PAGE)
     in_page = Window.partitionBy(*PAGE)
     runs = runs.withColumn("seq", F.row_number().over(in_page.orderBy("elem_seq", "top", "left", "right", "text"))).drop("elem_seq")
     said = (F.col("text") != "").cast("int")
     runs = runs.withColumn("before", F.coalesce(F.sum(said).over(in_page.orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    runs = odd_heights(runs.withColumn("begun", F.col("before") > 0)).drop("begun")
-    behind = runs.where("odd").groupBy(*PAGE, F.col("before").alias("line")).agg(F.array_sort(F.collect_list(F.struct("seq", "left", "right", "text", "fmt"))).alias("more"))
-    own = runs.where("text <> ''").withColumn("line", F.col("before") + 1).join(behind, [*PAGE, "line"], "left")
+    runs = odd_heights(runs.withColumn("begun", F.col("before") > 0), parts).drop("begun").repartition(parts, *PAGE)
+    # a run with text begins a line, one of odd height goes to the line before it: one row for each
+    own = F.when(F.col("text") != "", F.struct((F.col("before") + 1).alias("line"), F.struct("seq", "top", "left", "right", "height", "font", "text", "fmt").alias("own"), F.lit(None).cast("struct<seq:int,left:int,right:int,text:string,fmt:int>").alias("more")))
+    odd = F.when(F.col("odd"), F.struct(F.col("before").alias("line"), F.lit(None).cast("struct<seq:int,top:int,left:int,right:int,height:int,font:int,text:string,fmt:int>").alias("own"), F.struct("seq", "left", "right", "text", "fmt").alias("more")))
+    told = runs.select(*PAGE, F.explode(F.array_compact(F.array(own, odd))).alias("x")).select(*PAGE, "x.*")
+    own = told.groupBy(*PAGE, "line").agg(F.first("own", ignorenulls=True).alias("own"), F.array_sort(F.collect_list("more")).alias("more")).where("own IS NOT NULL").select(*PAGE, "own.*", "more")
     start = F.struct("right", "text", "fmt")
 
     def lengthened(line: Column, run: Column) -> Column:
@@ -99,7 +103,7 @@ def lines(elements: DataFrame) -> DataFrame:
         joined = F.struct(run["right"].alias("right"), F.concat_ws(" ", line["text"], run["text"]).alias("text"), both_formats(line["fmt"], run["fmt"]).alias("fmt"))
         return F.when((gap >= 0) & (gap < NEAR_RUN), joined).otherwise(line)
 
-    whole = F.when(F.col("more").isNull(), start).otherwise(F.aggregate("more", start, lengthened))
+    whole = F.when(F.size("more") == 0, start).otherwise(F.aggregate("more", start, lengthened))
     return own.withColumn("w", whole).select(*PAGE, "seq", "top", "left", F.col("w.right").alias("right"), "height", "font", F.col("w.text").alias("text"), F.col("w.fmt").alias("fmt"))
 
 
@@ -255,15 +259,17 @@ def boxes(elements: DataFrame) -> DataFrame:
 
 def laid_out(elements: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(joined lines, BOXES) of text runs."""
-    single = cut_lineage(lines(elements))
-    joined = cut_lineage(joined_lines(single))
-    return joined, boxes_of(joined, normal_gaps(single, joined))
+    parts = parts_for(elements)
+    single = cut_lineage(lines(elements, parts)).repartition(parts, *PAGE)
+    joined = cut_lineage(joined_lines(single)).repartition(parts, *PAGE)
+    return joined, boxes_of(joined, normal_gaps(single, joined), parts)
 
 
-def boxes_of(joined: DataFrame, norms: DataFrame) -> DataFrame:
+def boxes_of(joined: DataFrame, norms: DataFrame, parts: int | None = None) -> DataFrame:
     """BOXES of joined lines by the normal gap of their pages."""
+    parts = parts_for(joined) if parts is None else parts
     ready = joined.join(norms, PAGE, "left")
-    ordered = ready.select(*PAGE, "top", "seq", "left", "right", "height", "text", "norm").repartition(*PAGE).sortWithinPartitions(*PAGE, "top", "seq")
+    ordered = ready.select(*PAGE, "top", "seq", "left", "right", "height", "text", "norm").repartition(parts, *PAGE).sortWithinPartitions(*PAGE, "top", "seq")
     schema = to_arrow_schema(StructType.fromDDL(BOXES))
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

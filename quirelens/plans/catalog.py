@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from quirelens.functions import geometry as G
 from quirelens.functions import text as T
 from quirelens.operators import curation, pages, report, vectors
-from quirelens.runtime import shared_folder, table
+from quirelens.runtime import shared_folder, spread, table
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -481,7 +481,7 @@ def layout_islands(spark, sf_dir):
     """An order as a page, its lines as evenly spaced text lines indented by their flag: each stretch of one flag is one box, a block from three lines on."""
     from quirelens.operators import layout
 
-    rows = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey", "l_returnflag", "int(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_returnflag)) AS elem_seq")
+    rows = spread(table(spark, sf_dir, "lineitem"), "l_orderkey").selectExpr("l_orderkey", "l_returnflag", "int(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_returnflag)) AS elem_seq")
     runs = rows.selectExpr(
         "string(l_orderkey div 64) AS doc_id", "int(l_orderkey % 64) + 1 AS page_no", "elem_seq", "'text' AS kind", "elem_seq * 20 AS top",
         "CASE l_returnflag WHEN 'A' THEN 50 WHEN 'N' THEN 150 ELSE 250 END AS left", "100 AS width", "12 AS height", "0 AS font", "'run' AS text", "0 AS fmt",

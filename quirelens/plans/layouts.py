@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from quirelens.functions import text as T
 from quirelens.operators import features, layout
 from quirelens.plans.catalog import query
-from quirelens.runtime import cut_lineage, table
+from quirelens.runtime import cut_lineage, parts_for, spread, table
 
 ORDERED = "row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_returnflag)"
 
@@ -18,8 +18,14 @@ RUNS = f"""(SELECT l_orderkey AS o, n, (n // 2) * 20 AS top, 50 + n % 2 * 100 AS
   FROM (SELECT l_orderkey, {ORDERED} AS n, CAST(l_quantity AS INTEGER) AS q, l_returnflag AS flag FROM lineitem))"""
 
 
+def numbered(spark, sf_dir, name):
+    """Order lines with doc_id and page_no (an order is a page), dealt by them, and their number in the order."""
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_quantity").selectExpr("*", "string(l_orderkey) AS doc_id", "1 AS page_no")
+    return spread(rows, "doc_id", "page_no").selectExpr("*", f"int({ORDERED.replace('l_orderkey', 'doc_id, page_no', 1)}) AS {name}")
+
+
 def pages_of_orders(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").selectExpr("string(l_orderkey) AS doc_id", "1 AS page_no", f"int({ORDERED}) AS elem_seq", "int(l_quantity) AS q", "l_returnflag")
+    rows = numbered(spark, sf_dir, "elem_seq").selectExpr("doc_id", "page_no", "elem_seq", "int(l_quantity) AS q", "l_returnflag")
     return rows.selectExpr(
         "doc_id", "page_no", "elem_seq", "'text' AS kind", "elem_seq div 2 * 20 AS top", "50 + elem_seq % 2 * 100 AS left", "88 + q % 14 AS width",
         "CASE WHEN l_returnflag = 'A' THEN 9 ELSE 12 END AS height", "0 AS font", "concat('w', elem_seq) AS text", "CASE WHEN q % 5 = 0 THEN elem_seq % 3 ELSE 0 END AS fmt",
@@ -46,7 +52,8 @@ LINES = f"""WITH RECURSIVE r AS (SELECT * FROM {RUNS}),
   SELECT CAST(o AS VARCHAR) AS doc_id, CAST(top AS INTEGER) AS line_top, CAST(lft AS INTEGER) AS line_left, CAST(rgt AS INTEGER) AS line_right, CAST(runs AS INTEGER) AS n_runs, CAST(fmt AS INTEGER) AS line_fmt FROM z""")
 def layout_lines(spark, sf_dir):
     """Lines of every order's page: runs of odd height lengthen the line before, close neighbours of one top join."""
-    joined = layout.joined_lines(layout.lines(pages_of_orders(spark, sf_dir)))
+    parts = parts_for(table(spark, sf_dir, "lineitem"))
+    joined = layout.joined_lines(layout.lines(pages_of_orders(spark, sf_dir), parts))
     return joined.select("doc_id", F.col("top").alias("line_top"), F.col("left").alias("line_left"), F.col("right").alias("line_right"), F.size(F.split("text", " ")).alias("n_runs"), F.col("fmt").alias("line_fmt"))
 
 
@@ -56,9 +63,10 @@ def layout_lines(spark, sf_dir):
   FROM (SELECT o, false AS doubled, t.txt AS text FROM t UNION ALL SELECT o, true, t.txt || ' ' || y.txt FROM t JOIN y USING (o))""")
 def doubled_text(spark, sf_dir):
     """The text of every order's page: its runs alone, and its runs with its merged lines behind them."""
-    elements = pages_of_orders(spark, sf_dir)
-    lines = layout.joined_lines(layout.lines(elements))
-    both = [features.document_texts(elements, lines, doubled).withColumn("doubled", F.lit(doubled)) for doubled in (False, True)]
+    parts = parts_for(table(spark, sf_dir, "lineitem"))
+    elements = cut_lineage(pages_of_orders(spark, sf_dir))
+    lines = layout.joined_lines(layout.lines(elements, parts))
+    both = [features.document_texts(elements, lines, doubled, parts).withColumn("doubled", F.lit(doubled)) for doubled in (False, True)]
     return both[0].unionByName(both[1]).select("doc_id", "doubled", "text", T.word_count(F.col("text")).alias("n_words"), T.last_words(F.col("text"), 5).alias("last_words"))
 
 
@@ -69,7 +77,7 @@ def doubled_text(spark, sf_dir):
   SELECT CAST(o AS VARCHAR) AS doc_id, CAST(top AS INTEGER) AS line_top, CAST(gap AS INTEGER) AS gap, same_font FROM p WHERE k = 1""")
 def line_successors(spark, sf_dir):
     """Every order line as a line of text that may overlap the next ones: the first line below that may follow it."""
-    rows = table(spark, sf_dir, "lineitem").selectExpr("string(l_orderkey) AS doc_id", "1 AS page_no", f"int({ORDERED}) AS n", "int(l_quantity) AS q", "int(l_suppkey) AS s", "int(l_partkey) AS p")
+    rows = numbered(spark, sf_dir, "n").selectExpr("doc_id", "page_no", "n", "int(l_quantity) AS q", "int(l_suppkey) AS s", "int(l_partkey) AS p")
     lines = rows.selectExpr("doc_id", "page_no", "n AS seq", "n * 10 + q % 8 AS top", "50 + p % 7 AS left", "150 + q % 9 AS right", "8 + s % 25 AS height", "n % 2 AS font")
     return layout.successors(lines, lines).select("doc_id", F.col("top").alias("line_top"), "gap", "same_font")
 
@@ -95,7 +103,7 @@ def page_space(spark, sf_dir):
     from quirelens.functions import geometry as G
     from quirelens.operators import pages
 
-    rows = table(spark, sf_dir, "lineitem").selectExpr("string(l_orderkey) AS doc_id", "1 AS page_no", f"int({ORDERED}) AS seq", "l_returnflag AS flag", "int(l_partkey % 7 * 9) AS p", "int(l_suppkey % 5 * 7) AS s", "int(l_quantity) % 9 AS q")
+    rows = numbered(spark, sf_dir, "seq").selectExpr("doc_id", "page_no", "seq", "l_returnflag AS flag", "int(l_partkey % 7 * 9) AS p", "int(l_suppkey % 5 * 7) AS s", "int(l_quantity) % 9 AS q")
     rects = rows.selectExpr("doc_id", "page_no", "seq", "flag", "p % 90 - 8 AS left", "s % 60 - 5 AS top", "4 + q % 30 AS width", "4 + q % 25 AS height")
     sheets = rects.select("doc_id", "page_no").distinct().selectExpr("doc_id", "page_no", "80 AS page_width", "60 AS page_height")
     box = G.clip(F.col("left"), F.col("top"), F.col("width"), F.col("height"), F.lit(80), F.lit(60))
@@ -111,7 +119,7 @@ ROUNDED = ", ".join(f"round(coalesce(CAST({c} AS DOUBLE), 0), 6) AS {c}" for c i
 
 def feature_elements(spark, sf_dir):
     """Elements of documents of up to 64 orders: a page with evenly spaced lines, images and a font each; some pages have too many tiny images."""
-    rows = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS o", f"int({ORDERED}) AS n", "l_returnflag AS flag", "int(l_quantity) AS q", "l_partkey AS p", "l_suppkey AS s")
+    rows = spread(table(spark, sf_dir, "lineitem"), "l_orderkey").selectExpr("l_orderkey AS o", f"int({ORDERED}) AS n", "l_returnflag AS flag", "int(l_quantity) AS q", "l_partkey AS p", "l_suppkey AS s")
     orders = rows.groupBy("o").count().select("o")
     columns = ["doc_id", "page_no", "page_width", "page_height", "elem_seq", "kind", "top", "left", "width", "height", "font", "size", "family", "color", "text", "bold_text", "fmt", "n_bold_words", "n_links", "error_code"]
     types = {c: "string" for c in ("doc_id", "kind", "family", "color", "text", "bold_text", "error_code")}

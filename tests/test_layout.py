@@ -109,3 +109,18 @@ def test_edges(spark):
     assert [(r.doc_id, r.kind, r.text) for r in layout.boxes(df).collect()] == [("d", "text", "y")] * 2
     assert layout.boxes(df.limit(0)).count() == 0
     assert layout.boxes(df.where(F.col("kind") == "image")).count() == 0
+
+
+def test_partitions_follow_the_rows(spark, monkeypatch):
+    """The memory of a task must not grow with the table: more runs are dealt into more partitions, up to the joined lines."""
+    from quirelens import runtime
+
+    rows = made(3)
+    elements = spark.createDataFrame(rows, ELEMENTS)
+    shape = lambda df: sorted(map(tuple, df.collect()))
+    few = shape(layout.joined_lines(layout.lines(elements)))
+    monkeypatch.setattr(runtime, "SPREAD_ROWS", 10)
+    single = layout.lines(elements)
+    many = -(-len(rows) // 10)
+    assert many > 8 and single.rdd.getNumPartitions() == many and layout.joined_lines(single).rdd.getNumPartitions() == many
+    assert shape(layout.joined_lines(single)) == few
