@@ -85,7 +85,7 @@ def lines(elements: DataFrame, parts: int | None = None) -> DataFrame:
     """
     parts = parts_for(elements) if parts is None else parts
     given = elements.where("kind = 'text' AND doc_id IS NOT NULL").dropna(subset=["page_no", "top", "left", "width", "height"])
-    runs = given.select("doc_id", "page_no", "elem_seq", "top", "left", (F.col("left") + F.col("width")).alias("right"), "height", F.coalesce("font", F.lit(-1)).alias("font"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("fmt", F.lit(0)).alias("fmt")).repartition(parts, *PAGE)
+    runs = given.select("doc_id", "page_no", "elem_seq", "top", "left", (F.col("left") + F.col("width")).alias("right"), "height", F.coalesce("font", F.lit(-1)).alias("font"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("fmt", F.lit(0)).alias("fmt")).repartition(parts, "doc_id")
     in_page = Window.partitionBy(*PAGE)
     runs = runs.withColumn("seq", F.row_number().over(in_page.orderBy("elem_seq", "top", "left", "right", "text"))).drop("elem_seq")
     said = (F.col("text") != "").cast("int")

@@ -64,36 +64,38 @@ def until_tiny_images(elements: DataFrame, most: int = 50, below: int = 50) -> D
     return kept.withColumns({"page_done": F.col("stop").isNull() | (F.col("page_no") < F.col("stop.page_no")), "stopped": F.col("stop").isNotNull()}).drop("stop")
 
 
-def overlap_sums(rects: DataFrame, others: DataFrame | None = None) -> DataFrame:
-    """(doc_id, page_no, seq, overlap): overlap of each rectangle with the earlier ones of its page, or with all of ``others``."""
+def covered_rects(rects: DataFrame) -> DataFrame:
+    """``rects`` with ``overlap``: what earlier ones of the page cover of each. One join by the page, so that pages stay where they are."""
     key = ["doc_id", "page_no"]
-    a = rects.select(*key, "seq", *(F.col(c).alias(f"a{c}") for c in RECT))
-    b = (rects if others is None else others).select(*key, F.col("seq").alias("seq_b"), *(F.col(c).alias(f"b{c}") for c in RECT))
-    pairs = a.join(b, key) if others is not None else a.join(b, key).where("seq > seq_b")
-    return pairs.groupBy(*key, "seq").agg(F.sum(G.overlap("a", "b")).alias("overlap"))
+    a = rects.select(*key, "seq", *(F.col(c).alias(f"a{c}") for c in RECT)).alias("a")
+    b = rects.select(*(F.col(c).alias(f"b_{c}") for c in key), F.col("seq").alias("seq_b"), *(F.col(c).alias(f"b{c}") for c in RECT)).alias("b")
+    pairs = a.join(b, (F.col("doc_id") == F.col("b_doc_id")) & (F.col("page_no") == F.col("b_page_no")) & (F.col("seq") > F.col("seq_b")), "left")
+    return pairs.groupBy(*key, "seq", *(F.col(f"a{c}").alias(c) for c in RECT)).agg(F.coalesce(F.sum(F.when(F.col("seq_b").isNotNull(), G.overlap("a", "b"))), F.lit(0)).alias("overlap"))
 
 
-def page_space(sheets: DataFrame, images: DataFrame, boxes: DataFrame) -> DataFrame:
+def page_space(sheets: DataFrame, images: DataFrame, boxes: DataFrame, parts: int | None = None) -> DataFrame:
     """What covers each page of ``sheets`` (doc_id, page_no, page_width, page_height), one row a page.
 
     images: rectangles (RECT, seq). boxes: left, top, right, bot, kind (text or block), box_id. Images are kept once each and add
     what earlier ones do not cover, at least nothing. Boxes are clipped to the page and kept once each, text boxes before blocks.
     Three sums of overlaps stay apart: images with earlier images, boxes with images, boxes with earlier boxes;
     free_space is the page without images and boxes, the overlaps of the latter two kinds given back.
+    ``parts``: partitions that pages are dealt into once, all joins and sums go on in them; Spark's own number if not given.
     """
     key = ["doc_id", "page_no"]
+    if parts is not None:
+        sheets, images, boxes = (df.repartition(parts, *key) for df in (sheets, images, boxes))
     area = G.area(*(F.col(c) for c in RECT))
     kept = distinct_rects(images)
-    covered = kept.join(overlap_sums(kept), [*key, "seq"], "left").withColumn("overlap", F.coalesce("overlap", F.lit(0)))
+    covered = covered_rects(kept)
     by_image = covered.groupBy(*key).agg(F.count(F.lit(1)).alias("images"), F.sum(F.greatest(area - F.col("overlap"), F.lit(0))).alias("image_space"), F.sum("overlap").alias("image_image"))
     own = boxes.join(sheets.select(*key, "page_width", "page_height"), key)
     clipped = {"left": F.least(F.greatest("left", F.lit(0)), "page_width"), "top": F.least(F.greatest("top", F.lit(0)), "page_height"), "right": F.least("right", "page_width"), "bot": F.least("bot", "page_height")}
     own = own.select(*key, "kind", "box_id", *(v.alias(c) for c, v in clipped.items())).where("(right - left) * (bot - top) > 0")
     rects = own.groupBy(*key, *RECT).agg(F.min(F.struct((F.col("kind") == "block").alias("block"), "box_id")).alias("seq"))
-    by_box = rects.join(overlap_sums(rects).withColumnRenamed("overlap", "box_box"), [*key, "seq"], "left").join(overlap_sums(rects, kept).withColumnRenamed("overlap", "box_image"), [*key, "seq"], "left")
-    by_box = by_box.groupBy(*key).agg(
-        F.sum(F.when(~F.col("seq.block"), area).otherwise(0)).alias("textbox_space"), F.sum(F.when(F.col("seq.block"), area).otherwise(0)).alias("blockstyle_space"), F.sum("box_image").alias("box_image"), F.sum("box_box").alias("box_box")
-    )
+    by_box = rects.groupBy(*key).agg(F.sum(F.when(~F.col("seq.block"), area).otherwise(0)).alias("textbox_space"), F.sum(F.when(F.col("seq.block"), area).otherwise(0)).alias("blockstyle_space"))
+    for name, others in (("box_image", kept), ("box_box", None)):
+        by_box = by_box.join(earlier_overlaps(rects, others).withColumnRenamed("overlap", name), key, "left")
     sums = ["images", "image_space", "image_image", "textbox_space", "blockstyle_space", "box_image", "box_box"]
     page = F.col("page_width").cast("long") * F.col("page_height")
     out = sheets.select(*key, page.alias("space")).join(by_image, key, "left").join(by_box, key, "left").select(*key, "space", *(F.coalesce(F.col(c).cast("long"), F.lit(0)).alias(c) for c in sums))

@@ -19,9 +19,9 @@ RUNS = f"""(SELECT l_orderkey AS o, n, (n // 2) * 20 AS top, 50 + n % 2 * 100 AS
 
 
 def numbered(spark, sf_dir, name):
-    """Order lines with doc_id and page_no (an order is a page), dealt by them, and their number in the order."""
+    """Order lines with doc_id and page_no (an order is a page), dealt by document, and their number in the order."""
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_quantity").selectExpr("*", "string(l_orderkey) AS doc_id", "1 AS page_no")
-    return spread(rows, "doc_id", "page_no").selectExpr("*", f"int({ORDERED.replace('l_orderkey', 'doc_id, page_no', 1)}) AS {name}")
+    return spread(rows, "doc_id").selectExpr("*", f"int({ORDERED.replace('l_orderkey', 'doc_id', 1)}) AS {name}")
 
 
 def pages_of_orders(spark, sf_dir):
@@ -103,13 +103,13 @@ def page_space(spark, sf_dir):
     from quirelens.functions import geometry as G
     from quirelens.operators import pages
 
-    rows = numbered(spark, sf_dir, "seq").selectExpr("doc_id", "page_no", "seq", "l_returnflag AS flag", "int(l_partkey % 7 * 9) AS p", "int(l_suppkey % 5 * 7) AS s", "int(l_quantity) % 9 AS q")
+    rows = cut_lineage(numbered(spark, sf_dir, "seq").selectExpr("doc_id", "page_no", "seq", "l_returnflag AS flag", "int(l_partkey % 7 * 9) AS p", "int(l_suppkey % 5 * 7) AS s", "int(l_quantity) % 9 AS q"))
     rects = rows.selectExpr("doc_id", "page_no", "seq", "flag", "p % 90 - 8 AS left", "s % 60 - 5 AS top", "4 + q % 30 AS width", "4 + q % 25 AS height")
     sheets = rects.select("doc_id", "page_no").distinct().selectExpr("doc_id", "page_no", "80 AS page_width", "60 AS page_height")
     box = G.clip(F.col("left"), F.col("top"), F.col("width"), F.col("height"), F.lit(80), F.lit(60))
     images = rects.where("flag = 'A'").select("doc_id", "page_no", "seq", *(v.alias(k) for k, v in box.items()))
     boxes = rects.where("flag <> 'A'").selectExpr("doc_id", "page_no", "seq AS box_id", "CASE flag WHEN 'R' THEN 'block' ELSE 'text' END AS kind", "left", "top", "left + width AS right", "top + height AS bot")
-    out = pages.page_space(sheets, images, boxes)
+    out = pages.page_space(sheets, images, boxes, parts_for(table(spark, sf_dir, "lineitem")))
     return out.select("doc_id", "images", "image_space", "image_image", "textbox_space", "blockstyle_space", "box_image", "box_box", "free_space", F.round(F.col("image_space") / F.col("space"), 6).alias("image_ratio"))
 
 

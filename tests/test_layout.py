@@ -124,3 +124,15 @@ def test_partitions_follow_the_rows(spark, monkeypatch):
     many = -(-len(rows) // 10)
     assert many > 8 and single.rdd.getNumPartitions() == many and layout.joined_lines(single).rdd.getNumPartitions() == many
     assert shape(layout.joined_lines(single)) == few
+
+
+def test_page_space_stays_with_its_pages(spark):
+    """Pages are dealt once into the partitions asked for, and the joins and sums behind go on in them."""
+    from quirelens.operators import pages
+
+    sheets = spark.range(40).selectExpr("string(id) AS doc_id", "int(id % 3) AS page_no", "20 AS page_width", "10 AS page_height").localCheckpoint()
+    images = sheets.selectExpr("doc_id", "page_no", "explode(array(1, 2)) AS seq").selectExpr("*", "seq * 2 AS left", "0 AS top", "seq * 2 + 4 AS right", "5 AS bot")
+    boxes = sheets.selectExpr("doc_id", "page_no", "explode(array(0, 1)) AS box_id").selectExpr("*", "IF(box_id = 0, 'text', 'block') AS kind", "4 AS left", "4 AS top", "box_id + 6 AS right", "8 AS bot")
+    out = pages.page_space(sheets, images, boxes, parts=13)
+    assert out.rdd.getNumPartitions() == 13
+    assert {tuple(r)[2:] for r in out.collect()} == {(200, 2, 30, 10, 8, 12, 9, 8, 167)}
