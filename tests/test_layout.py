@@ -136,3 +136,11 @@ def test_page_space_stays_with_its_pages(spark):
     out = pages.page_space(sheets, images, boxes, parts=13)
     assert out.rdd.getNumPartitions() == 13
     assert {tuple(r)[2:] for r in out.collect()} == {(200, 2, 30, 10, 8, 12, 9, 8, 167)}
+
+
+def test_a_task_has_a_share_of_the_rows_that_fits(spark):
+    """More partitions from half a million rows on, not only from millions on."""
+    from quirelens import runtime
+
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert runtime.parts_for(spark.range(500_000)) > least and 500_000 / runtime.parts_for(spark.range(500_000)) <= 60_000
