@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from quirelens.functions import geometry as G
 from quirelens.functions import text as T
 from quirelens.operators import layout, pages
+from quirelens.runtime import cut_lineage
 
 #: The numeric columns in vector order (fixed values).
 NUMERIC_41 = (
@@ -64,12 +65,12 @@ def assemble(elements: DataFrame, boxes: DataFrame | None = None, properties: Da
     image_error then (else it is 0). ``doubled`` takes the text twice, as runs and as lines.
     """
     docs = elements.select("doc_id").distinct()
-    kept = pages.until_tiny_images(elements)
+    kept = cut_lineage(pages.until_tiny_images(elements))  # read by many steps, as lines, boxes and pages are
     done = kept.where("page_done")
     if boxes is None or lines is None:
         lines, boxes = layout.laid_out(done)
     whole = done.where("kind = 'page'").select(*KEY).distinct()
-    lines, boxes = lines.join(whole, KEY, "left_semi"), boxes.join(whole, KEY, "left_semi")
+    lines, boxes = (cut_lineage(df.join(whole, KEY, "left_semi")) for df in (lines, boxes.drop("text")))
     sheets = done.where("kind = 'page'").select(*KEY, "page_width", "page_height")
     runs = kept.where("kind = 'text' AND text <> ''").withColumn("words", T.word_count(F.col("text")))
     space = pages.page_space(sheets, page_rects(done), boxes)
@@ -78,7 +79,7 @@ def assemble(elements: DataFrame, boxes: DataFrame | None = None, properties: Da
     kinds = {"textbox": "text", "blockstyle": "block"}
     for name, kind in kinds.items():
         page = page.join(box_counts(boxes, sheets, kind).select(*KEY, *(F.col(c).alias(f"{name}_{c}") for c in ("n", "lines", "cols"))), KEY, "left")
-    page = page.fillna(0)
+    page = cut_lineage(page.fillna(0))
     total = F.when(F.sum("space") == 0, 0.01).otherwise(F.sum("space"))
 
     def modal(name: str) -> list:

@@ -27,3 +27,15 @@ def test_page_xml_many_bad_lines_and_outlines():
     assert [r["text"] for r in got if r["kind"] == "text"] == ["kept"] and sum(r["kind"] == "page" for r in got) == 1
     assert [r["text"] for r in got if r["kind"] == "item"] == ["a", "b", "c"] and sum(r["kind"] == "outline" for r in got) == 3
     assert page_xml.elements("d", b"<pdf2xml>\n<page>\n")[0]["error_code"] == "xml_error"
+
+
+def test_elements_lines_boxes_and_pages_are_made_once(spark):
+    """Many steps of the table read them; none of these may run the streams of layout or the search for tiny images again."""
+    rows = [("a", 1, 100, 60, 0, "page", None, None, None, None, None, None, None), ("a", 1, 100, 60, 1, "text", 10, 5, 50, 10, 0, "two words", 0)]
+    names = "doc_id string, page_no int, page_width int, page_height int, elem_seq int, kind string, top int, left int, width int, height int, font int, text string, fmt int"
+    missing = "CAST(NULL AS int) AS size, '' AS family, '' AS color, '' AS bold_text, 0 AS n_bold_words, 0 AS n_links, CAST(NULL AS string) AS error_code"
+    wide = features.assemble(spark.createDataFrame(rows, names).selectExpr("*", *missing.split(", ")))
+    plan = wide._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan and plan.count("row_number") == 0
+    row = wide.first()
+    assert (row.mean_words_pp, row.mean_textboxes_pp, row.text) == (2, 1, "two words")
