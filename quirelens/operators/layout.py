@@ -1,7 +1,7 @@
 """Page layout: lines, normal gap, blocks and text boxes.
 
 Lines, joins of lines and gaps are windows and joins over the runs of a page. Only two steps run in Python: whether a run's height
-is odd for its font depends on all earlier runs of the font in its document, so sorted runs are streamed with that state; and
+is odd for its font depends on all earlier runs of the font in its document, so sorted runs are streamed (and numbered) with that state; and
 blocks depend on the blocks before, so each page's sorted lines are streamed into its boxes (a page is bounded by what fits on one).
 
 Runs without a document, page or place are left out; a null text is empty, a null font is -1, a null format 0. Of runs with equal
@@ -13,7 +13,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -28,9 +30,11 @@ NEAR_RUN, GAP_SLACK, EDGE_SLACK, SIDE_SLACK, INDENT = 10, 1, 5, 1, (10, 25)
 #: A line whose top is above the bottom of the one before follows it if that is less than OVERLAP_PERCENT of the height.
 SAME_SIDE, OVERLAP_PERCENT, RARE_EDGE = 2, 15, 2
 PAGE = ["doc_id", "page_no"]
+#: Tops below a line that are looked at in place for the line that follows it.
+STEPS = 4
 
 
-@dataclass
+@dataclass(slots=True)
 class Line:
     top: int
     left: int
@@ -47,34 +51,74 @@ def both_formats(a: Column, b: Column) -> Column:
 # ---------------------------------------------------------------- lines
 
 
+RUN_ORDER = ("doc_id", "page_no", "elem_seq", "top", "left", "right", "text")
+
+
+def _same_as_before(*columns: pa.Array) -> np.ndarray:
+    """Whether each row but the first has the values of the row before it."""
+    same = np.ones(max(len(columns[0]) - 1, 0), bool)
+    for c in columns:
+        same &= pc.equal(c.slice(1), c.slice(0, len(c) - 1)).to_numpy(zero_copy_only=False)
+    return same
+
+
 def odd_heights(runs: DataFrame, parts: int) -> DataFrame:
-    """``runs`` with ``odd``: another height is the usual one of the run's font so far in its document, and its page has a line already.
+    """``runs`` without elem_seq, with ``seq`` (place on the page), ``before`` (runs with text before it there) and ``odd``: another height is the
+    usual one of the run's font so far in its document, and its page has a line already.
 
-    runs: doc_id, page_no, seq, font, height, begun (the page has a line before). Runs of a font are streamed in order; what
-    is kept is how often each height was seen.
+    Runs are dealt by document and streamed in order; what is kept is how often each height of the document's fonts was seen. Rows of a
+    font that all have its usual height need no look one by one.
     """
-    names = runs.columns
-    ordered = runs.repartition(parts, "doc_id", "font").sortWithinPartitions("doc_id", "font", "page_no", "seq")
+    names = [c for c in runs.columns if c != "elem_seq"]
+    ordered = runs.repartition(parts, "doc_id").sortWithinPartitions(*RUN_ORDER)
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, seen, usual = None, {}, None
+        last, fonts, place, said_so_far = None, {}, 0, 0  # the last row's document and page, its fonts: [times a height was seen, usual height]
         for batch in batches:
-            odd = []
-            for key in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "font", "height", "begun")), strict=True):
-                if key[:2] != now:
-                    now, seen, usual = key[:2], {}, None
-                height, begun = key[2:]
-                seen[height] = seen.get(height, 0) + 1
-                expected = height == usual
-                if not expected:
-                    usual = max(seen, key=seen.get)  # of equal ones the first seen
-                odd.append(not expected and height != usual and begun)
-                if not expected and not odd[-1]:
-                    seen[height] = 1
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(odd, pa.bool_())], names=[*names, "odd"])
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in runs.schema.fields)
-    return ordered.mapInArrow(stream, f"{schema}, odd boolean")
+            n = len(batch)
+            if not n:
+                continue
+            docs, page, font, height = (batch.column(c) for c in ("doc_id", "page_no", "font", "height"))
+            new_doc, new_page = np.ones(n, bool), np.ones(n, bool)
+            new_doc[1:], new_page[1:] = ~_same_as_before(docs), ~_same_as_before(docs, page)
+            first = (docs[0].as_py(), page[0].as_py())
+            new_doc[0], new_page[0] = last is None or first[0] != last[0], first != last
+            said = pc.not_equal(batch.column("text"), "").to_numpy(zero_copy_only=False).astype(np.int64)
+            starts = np.flatnonzero(new_page)
+            page_of = np.cumsum(new_page)  # 0: the page goes on from the batch before
+            seq = np.arange(1, n + 1) - np.concatenate([[-place], starts])[page_of]
+            total = np.cumsum(said) - said
+            before = total - np.concatenate([[-said_so_far], total[starts]])[page_of]
+            font, height, doc_of = font.to_numpy(), height.to_numpy(), np.cumsum(new_doc)
+            odd = np.zeros(n, bool)
+            order = np.lexsort((font, doc_of))
+            groups = np.flatnonzero(np.concatenate([[True], (np.diff(doc_of[order]) != 0) | (np.diff(font[order]) != 0)]))
+            low, high = np.minimum.reduceat(height[order], groups), np.maximum.reduceat(height[order], groups)
+            now = 0
+            for at, end, lo, hi in zip(groups.tolist(), [*groups[1:].tolist(), n], low.tolist(), high.tolist(), strict=True):
+                doc = int(doc_of[order[at]])
+                if doc != now:
+                    now, fonts = doc, {}
+                seen, usual = fonts.get(int(font[order[at]]), ({}, None))
+                if lo == hi and usual in (None, lo):
+                    seen[lo] = seen.get(lo, 0) + end - at
+                    usual = lo
+                else:
+                    for k in order[at:end].tolist():
+                        h = int(height[k])
+                        seen[h] = seen.get(h, 0) + 1
+                        if h != usual:
+                            usual = max(seen, key=seen.get)  # of equal ones the first seen
+                            if h != usual and before[k] > 0:
+                                odd[k] = True
+                            else:
+                                seen[h] = 1
+                fonts[int(font[order[at]])] = (seen, usual)
+            last, place, said_so_far = (docs[n - 1].as_py(), page[n - 1].as_py()), int(seq[-1]), int(before[-1] + said[-1])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(seq, pa.int32()), pa.array(before, pa.int64()), pa.array(odd, pa.bool_())], names=[*names, "seq", "before", "odd"])
+
+    schema = ", ".join(f"`{c}` {runs.schema[c].dataType.simpleString()}" for c in names)
+    return ordered.mapInArrow(stream, f"{schema}, seq int, before long, odd boolean")
 
 
 def lines(elements: DataFrame, parts: int | None = None) -> DataFrame:
@@ -85,17 +129,16 @@ def lines(elements: DataFrame, parts: int | None = None) -> DataFrame:
     """
     parts = parts_for(elements) if parts is None else parts
     given = elements.where("kind = 'text' AND doc_id IS NOT NULL").dropna(subset=["page_no", "top", "left", "width", "height"])
-    runs = given.select("doc_id", "page_no", "elem_seq", "top", "left", (F.col("left") + F.col("width")).alias("right"), "height", F.coalesce("font", F.lit(-1)).alias("font"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("fmt", F.lit(0)).alias("fmt")).repartition(parts, "doc_id")
-    in_page = Window.partitionBy(*PAGE)
-    runs = runs.withColumn("seq", F.row_number().over(in_page.orderBy("elem_seq", "top", "left", "right", "text"))).drop("elem_seq")
-    said = (F.col("text") != "").cast("int")
-    runs = runs.withColumn("before", F.coalesce(F.sum(said).over(in_page.orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    runs = odd_heights(runs.withColumn("begun", F.col("before") > 0), parts).drop("begun").repartition(parts, *PAGE)
-    # a run with text begins a line, one of odd height goes to the line before it: one row for each
-    own = F.when(F.col("text") != "", F.struct((F.col("before") + 1).alias("line"), F.struct("seq", "top", "left", "right", "height", "font", "text", "fmt").alias("own"), F.lit(None).cast("struct<seq:int,left:int,right:int,text:string,fmt:int>").alias("more")))
-    odd = F.when(F.col("odd"), F.struct(F.col("before").alias("line"), F.lit(None).cast("struct<seq:int,top:int,left:int,right:int,height:int,font:int,text:string,fmt:int>").alias("own"), F.struct("seq", "left", "right", "text", "fmt").alias("more")))
-    told = runs.select(*PAGE, F.explode(F.array_compact(F.array(own, odd))).alias("x")).select(*PAGE, "x.*")
-    own = told.groupBy(*PAGE, "line").agg(F.first("own", ignorenulls=True).alias("own"), F.array_sort(F.collect_list("more")).alias("more")).where("own IS NOT NULL").select(*PAGE, "own.*", "more")
+    runs = given.select("doc_id", "page_no", "elem_seq", "top", "left", (F.col("left") + F.col("width")).alias("right"), "height", F.coalesce("font", F.lit(-1)).alias("font"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("fmt", F.lit(0)).alias("fmt"))
+    runs = cut_lineage(odd_heights(runs, parts))
+    dealt = runs.repartition(parts, *PAGE)
+    # a run with text begins a line; those of odd height behind it, up to the next with text, follow it on the page and go to it
+    more = F.lit(None).cast("array<struct<left:int,right:int,text:string,fmt:int>>")
+    if runs.where("odd").take(1):
+        behind = Window.partitionBy(*PAGE, "before").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        dealt = dealt.withColumn("odds", F.collect_list(F.when(F.col("odd"), F.struct("left", "right", "text", "fmt"))).over(behind))
+        more = F.lead("odds").over(Window.partitionBy(*PAGE).orderBy("before", "seq"))
+    own = dealt.withColumn("more", more).where("text <> ''")
     start = F.struct("right", "text", "fmt")
 
     def lengthened(line: Column, run: Column) -> Column:
@@ -103,7 +146,7 @@ def lines(elements: DataFrame, parts: int | None = None) -> DataFrame:
         joined = F.struct(run["right"].alias("right"), F.concat_ws(" ", line["text"], run["text"]).alias("text"), both_formats(line["fmt"], run["fmt"]).alias("fmt"))
         return F.when((gap >= 0) & (gap < NEAR_RUN), joined).otherwise(line)
 
-    whole = F.when(F.size("more") == 0, start).otherwise(F.aggregate("more", start, lengthened))
+    whole = F.when(F.coalesce(F.size("more"), F.lit(0)) <= 0, start).otherwise(F.aggregate("more", start, lengthened))
     return own.withColumn("w", whole).select(*PAGE, "seq", "top", "left", F.col("w.right").alias("right"), "height", "font", F.col("w.text").alias("text"), F.col("w.fmt").alias("fmt"))
 
 
@@ -144,26 +187,37 @@ def follows(a: Column, a_top: Column, b: Column, b_top: Column) -> Column:
     return (gap > 0) | ((a["height"] > 0) & (F.abs(gap) * 100 < OVERLAP_PERCENT * a["height"]) & beside)
 
 
-def successors(single: DataFrame, joined: DataFrame) -> DataFrame:
+def successors(single: DataFrame, joined: DataFrame, parts: int | None = None) -> DataFrame:
     """(doc_id, page_no, top, gap, same_font): for the first line of each top, the next line that may follow it, where there is one (W02).
 
     The top right below is taken after its joins; where its line cannot follow, the search goes on over the tops below as they
-    came, and takes the first that can. Only lines whose next line overlaps them meet the other tops of their page.
+    came, and takes the first that can. The next STEPS tops are looked at in place; lines that find none among them and have more
+    tops below meet all of these.
     """
-    levels = heads(joined, "a")
     down = Window.partitionBy(*PAGE).orderBy("top")
-    steps = levels.select("*", F.lead("a").over(down).alias("b"), F.lead("top").over(down).alias("b_top")).where("b IS NOT NULL")
-    steps = steps.withColumn("fits", follows(F.col("a"), F.col("top"), F.col("b"), F.col("b_top")))
-    near = steps.where("fits").select(*PAGE, "top", "a", "b", "b_top")
-    below = heads(single, "c").withColumnRenamed("top", "c_top")
-    far = steps.where("NOT fits").join(below, PAGE).where((F.col("c_top") > F.col("b_top")) & follows(F.col("a"), F.col("top"), F.col("c"), F.col("c_top")))
-    far = far.groupBy(*PAGE, "top").agg(F.first("a").alias("a"), F.min_by("c", "c_top").alias("b"), F.min("c_top").alias("b_top"))
-    return near.unionByName(far).select(*PAGE, "top", (F.col("b_top") - F.col("top") - F.col("a.height")).alias("gap"), (F.col("a.font") == F.col("b.font")).alias("same_font"))
-
-
-def normal_gaps(single: DataFrame, joined: DataFrame) -> DataFrame:
+    if single is joined:
+        levels = heads(joined, "a").withColumn("c", F.col("a"))
+    else:  # both have the same tops
+        head = F.struct("seq", "left", "right", "height", "font")
+        none = F.lit(None).cast(joined.select(head).schema[0].dataType)
+        both = single.select(*PAGE, "top", none.alias("a"), head.alias("c")).unionByName(joined.select(*PAGE, "top", head.alias("a"), none.alias("c")))
+        both = both if parts is None else both.repartition(parts, *PAGE)
+        levels = both.groupBy(*PAGE, "top").agg(F.min("a").alias("a"), F.min("c").alias("c"))
+    told = {"b1": F.lead("a").over(down)} | {f"b{k}": F.lead("c", k).over(down) for k in range(2, STEPS + 1)} | {f"t{k}": F.lead("top", k).over(down) for k in range(1, STEPS + 2)}
+    steps = levels.withColumns(told).where("t1 IS NOT NULL")
+    found = F.coalesce(*(F.when(F.coalesce(follows(F.col("a"), F.col("top"), F.col(f"b{k}"), F.col(f"t{k}")), F.lit(False)), F.struct(F.col(f"t{k}").alias("top"), F.col(f"b{k}.font").alias("font"))) for k in range(1, STEPS + 1)))
+    steps = steps.select(*PAGE, "top", "a", found.alias("b"), (F.col(f"t{STEPS}")).alias("looked"), F.col(f"t{STEPS + 1}").isNotNull().alias("more")).where("b IS NOT NULL OR more")
+    steps = cut_lineage(steps)
+    near, open_ = steps.where("b IS NOT NULL").drop("looked", "more"), steps.where("b IS NULL").drop("b", "more")
+    if open_.take(1):
+        far = open_.join(heads(single, "c").withColumnRenamed("top", "c_top"), PAGE).where((F.col("c_top") > F.col("looked")) & follows(F.col("a"), F.col("top"), F.col("c"), F.col("c_top")))
+        near = near.unionByName(far.groupBy(*PAGE, "top").agg(F.first("a").alias("a"), F.min(F.struct(F.col("c_top").alias("top"), F.col("c.font").alias("font"))).alias("b")))
+    return near.select(*PAGE, "top", (F.col("b.top") - F.col("top") - F.col("a.height")).alias("gap"), (F.col("a.font") == F.col("b.font")).alias("same_font"))
+
+
+def normal_gaps(single: DataFrame, joined: DataFrame, parts: int | None = None) -> DataFrame:
     """(doc_id, page_no, norm): the most common gap between lines of one font (of equal ones the first seen); pages without any are left out (A20)."""
-    return pages.modal(successors(single, joined).where("same_font"), PAGE, "gap", "top", "norm").select(*PAGE, "norm")
+    return pages.modal(successors(single, joined, parts).where("same_font"), PAGE, "gap", "top", "norm").select(*PAGE, "norm")
 
 
 # ---------------------------------------------------------------- blocks of a page
@@ -188,14 +242,19 @@ class Block:
 
 
 def build_blocks(lines: list[Line], norm: int) -> list[Block]:
+    """Each line goes to the first block that it continues: one of its left edge that ends a normal gap above it (looked up by both)."""
     blocks: list[Block] = []
+    ends: dict[tuple[int, int], list[int]] = {}  # left edge and bottom -> numbers of the blocks
     for x in lines:
-        for b in blocks:
-            if b.left == x.left and abs(x.top - b.bot - norm) <= GAP_SLACK and abs(b.right - x.right) <= EDGE_SLACK:
-                b.lines.append(x)
-                break
+        fits = [n for bot in range(x.top - norm - GAP_SLACK, x.top - norm + GAP_SLACK + 1) for n in ends.get((x.left, bot), ()) if abs(blocks[n].right - x.right) <= EDGE_SLACK]
+        if fits:
+            n = min(fits)
+            ends[x.left, blocks[n].bot].remove(n)
+            blocks[n].lines.append(x)
         else:
+            n = len(blocks)
             blocks.append(Block([x], x.right))
+        ends.setdefault((x.left, x.bot), []).append(n)
     return blocks
 
 
@@ -260,27 +319,30 @@ def boxes(elements: DataFrame) -> DataFrame:
 def laid_out(elements: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(joined lines, BOXES) of text runs."""
     parts = parts_for(elements)
-    single = cut_lineage(lines(elements, parts)).repartition(parts, *PAGE)
-    joined = cut_lineage(joined_lines(single)).repartition(parts, *PAGE)
-    return joined, boxes_of(joined, normal_gaps(single, joined), parts)
+    single = lines(elements, parts)
+    joined = cut_lineage(joined_lines(single))
+    return joined, boxes_of(joined, normal_gaps(single, joined, parts), parts)
 
 
 def boxes_of(joined: DataFrame, norms: DataFrame, parts: int | None = None) -> DataFrame:
     """BOXES of joined lines by the normal gap of their pages."""
     parts = parts_for(joined) if parts is None else parts
-    ready = joined.join(norms, PAGE, "left")
+    ready = joined.repartition(parts, *PAGE).join(norms.repartition(parts, *PAGE), PAGE, "left")
     ordered = ready.select(*PAGE, "top", "seq", "left", "right", "height", "text", "norm").repartition(parts, *PAGE).sortWithinPartitions(*PAGE, "top", "seq")
     schema = to_arrow_schema(StructType.fromDDL(BOXES))
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[list] = [[] for _ in schema]
+        out: list[tuple] = []
         now, own, norm = None, [], None
 
         def close_page() -> None:
             for k, (kind, b) in enumerate(page_boxes(own, norm)):
-                row = (*now, k, kind, b.left, min(x.top for x in b.lines), max(x.right for x in b.lines), max(x.bot for x in b.lines), len(b.lines), " ".join(x.text for x in b.lines))
-                for column, value in zip(out, row, strict=True):
-                    column.append(value)
+                x, n = b.lines[0], len(b.lines)
+                edges = (x.top, x.right, x.bot, 1, x.text) if n == 1 else (min(y.top for y in b.lines), max(y.right for y in b.lines), max(y.bot for y in b.lines), n, " ".join(y.text for y in b.lines))
+                out.append((*now, k, kind, x.left, *edges))
+
+        def told() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True) if out else [[]] * len(schema), schema, strict=True)], schema=schema)
 
         for batch in batches:
             for doc_id, no, top, _, left, right, height, text, gap in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -289,10 +351,10 @@ def boxes_of(joined: DataFrame, norms: DataFrame, parts: int | None = None) -> D
                         close_page()
                     now, own, norm = (doc_id, no), [], gap
                 own.append(Line(top, left, right, top + height, text))
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
-            out = [[] for _ in schema]
+            yield told()
+            out.clear()
         if own:
             close_page()
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
+            yield told()
 
     return ordered.mapInArrow(stream, BOXES)

@@ -144,3 +144,45 @@ def test_a_task_has_a_share_of_the_rows_that_fits(spark):
 
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert runtime.parts_for(spark.range(500_000)) > least and 500_000 / runtime.parts_for(spark.range(500_000)) <= 60_000
+
+
+def test_blocks_are_looked_up_by_their_edges():
+    """A line is compared with the blocks that it may continue, not with all of its page."""
+    asked = []
+
+    class Edge(int):
+        __hash__ = int.__hash__
+
+        def __eq__(self, other):
+            asked.append(1)
+            return int(self) == int(other)
+
+    rows = [layout.Line(20 * k, Edge(k % 250), 100, 20 * k + 12, "x") for k in range(500)]
+    assert len(layout.build_blocks(rows, 8)) == 500 and len(asked) < 5000
+    column = [layout.Line(20 * k, 7 + k % 2, 100, 20 * k + 12, "x") for k in range(9)]
+    assert [len(b.lines) for b in layout.build_blocks(column, 28)] == [5, 4]
+
+
+def test_odd_heights_go_on_over_batches(spark):
+    """Numbers, earlier texts and usual heights do not depend on where a batch ends, nor on the fonts between."""
+    rng = random.Random(3)
+    given = [(f"d{k % 3}", k // 30, k, "text", k * 5, 10, 20, rng.choice([9, 12, 12, 14]) if k % 3 else 12, k % 2, rng.choice(["", "t"]), 0) for k in range(180)]
+    runs = spark.createDataFrame(given, ELEMENTS).withColumn("right", F.lit(30)).drop("kind", "width")
+    tell = lambda: sorted((r.doc_id, r.page_no, r.seq, r.top, r.before, r.odd) for r in layout.odd_heights(runs, 2).collect())
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    whole = tell()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert tell() == whole and any(r[-1] for r in whole)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert [r[2] for r in whole if r[:2] == ("d0", 0)] == list(range(1, 11))
+
+
+def test_successors_beyond_the_tops_looked_at_in_place(spark):
+    """A high line over more narrow tops beside it than are looked at in place: the first below it follows."""
+    n = layout.STEPS + 4
+    rows = [("a", 1, 1, 0, 0, 10, 10 * n + 5, 0)] + [("a", 1, 1 + k, 10 * k, 50, 60, 4, 0) for k in range(1, n + 1)] + [("a", 1, n + 2, 10 * (n + 1), 0, 10, 4, 1)]
+    lines = spark.createDataFrame(rows, "doc_id string, page_no int, seq int, top int, left int, right int, height int, font int")
+    got = {r.top: (r.gap, r.same_font) for r in layout.successors(lines, lines).collect()}
+    assert got[0] == (5, False) and got[10] == (6, True) and len(got) == n + 1
