@@ -6,6 +6,9 @@ box) is 0. Rows without doc_id make no document.
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,7 +16,7 @@ from pyspark.sql import functions as F
 from quirelens.functions import geometry as G
 from quirelens.functions import text as T
 from quirelens.operators import layout, pages
-from quirelens.runtime import cut_lineage
+from quirelens.runtime import parts_for, scratch, stored
 
 #: The numeric columns in vector order (fixed values).
 NUMERIC_41 = (
@@ -64,22 +67,25 @@ def assemble(elements: DataFrame, boxes: DataFrame | None = None, properties: Da
     size on a page: what was read before counts, the page itself only as a page, and its runs as text; ``mark_image_error`` sets
     image_error then (else it is 0). ``doubled`` takes the text twice, as runs and as lines.
     """
-    docs = elements.select("doc_id").distinct()
-    kept = cut_lineage(pages.until_tiny_images(elements))  # read by many steps, as lines, boxes and pages are
+    marked = stored(pages.marked_tiny_images(elements))  # read by many steps, as lines, boxes and pages are
+    docs = marked.select("doc_id").distinct()
+    kept = marked.where("kept")
     done = kept.where("page_done")
     if boxes is None or lines is None:
         lines, boxes = layout.laid_out(done)
     whole = done.where("kind = 'page'").select(*KEY).distinct()
-    lines, boxes = (cut_lineage(df.join(whole, KEY, "left_semi")) for df in (lines, boxes.drop("text")))
+    lines, boxes = (stored(df.join(whole, KEY, "left_semi")) for df in (lines, boxes.drop("text")))
+    parts = parts_for(kept)
     sheets = done.where("kind = 'page'").select(*KEY, "page_width", "page_height")
     runs = kept.where("kind = 'text' AND text <> ''").withColumn("words", T.word_count(F.col("text")))
-    space = pages.page_space(sheets, page_rects(done), boxes)
-    worded = lines.withColumn("words", T.word_count(F.col("text")))
+    space = pages.page_space(sheets, page_rects(done), boxes, parts)
+    dealt = lambda df: df.repartition(parts, *KEY)  # as page_space deals its pages
+    worded = dealt(lines).withColumn("words", T.word_count(F.col("text")))
     page = space.join(worded.groupBy(*KEY).agg(F.count(F.lit(1)).alias("line_count"), F.sum("words").alias("words")), KEY, "left")
     kinds = {"textbox": "text", "blockstyle": "block"}
     for name, kind in kinds.items():
-        page = page.join(box_counts(boxes, sheets, kind).select(*KEY, *(F.col(c).alias(f"{name}_{c}") for c in ("n", "lines", "cols"))), KEY, "left")
-    page = cut_lineage(page.fillna(0))
+        page = page.join(box_counts(dealt(boxes), dealt(sheets), kind).select(*KEY, *(F.col(c).alias(f"{name}_{c}") for c in ("n", "lines", "cols"))), KEY, "left")
+    page = stored(page.fillna(0))
     total = F.when(F.sum("space") == 0, 0.01).otherwise(F.sum("space"))
 
     def modal(name: str) -> list:
@@ -105,7 +111,7 @@ def assemble(elements: DataFrame, boxes: DataFrame | None = None, properties: Da
     edges = pages.margins(lines.withColumn("seq", F.shiftleft(F.col("page_no").cast("long"), 32) + F.col("seq"))).withColumnsRenamed({"share_modal_left": "perc_modal_left", "share_modal_right": "perc_modal_right"})
     bold = runs.where("bold_text <> ''").groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_list(F.struct("page_no", "elem_seq", "bold_text")))["bold_text"], " ").alias("bold_text"))
     out = docs
-    for part in (counts, per_doc, own_images, pages.fonts(specs), pages.main_font(sized), edges, document_texts(runs, lines, doubled), bold):
+    for part in (counts, per_doc, own_images, pages.fonts(specs), pages.main_font(sized), edges, document_texts(runs, lines, doubled, parts), bold):
         out = out.join(part, "doc_id", "left")
     n, said = F.col("count_pages"), F.col("text").isNotNull()
     out = out.withColumns(
@@ -134,6 +140,19 @@ def assemble(elements: DataFrame, boxes: DataFrame | None = None, properties: Da
     )
 
 
+def in_slices(rows: DataFrame, key: str, n: int, step: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``step`` of all ``rows``, in ``n`` slices by a hash of ``key``, one after another, for steps that judge each key's rows by themselves.
+
+    What a step writes meanwhile is deleted before the next one begins, so the disk that is needed follows a slice and not the table.
+    """
+    at = F.pmod(F.xxhash64(key), F.lit(n))
+    parts = []
+    for k in range(n):
+        with scratch(rows.sparkSession):
+            parts.append(stored(step(rows.where(at == k) if n > 1 else rows), keep=True))
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
 def vector(features: DataFrame) -> DataFrame:
     """Add ``numeric``: the 41 columns as one vector."""
     return VectorAssembler(inputCols=list(NUMERIC_41), outputCol="numeric", handleInvalid="keep").transform(features)

@@ -22,7 +22,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from quirelens.operators import pages
-from quirelens.runtime import cut_lineage, parts_for
+from quirelens.runtime import parts_for, stored
 
 BOXES = "doc_id string, page_no int, box_id int, kind string, left int, top int, right int, bot int, n_lines int, text string"
 #: Distances in pixels (fixed values).
@@ -130,7 +130,7 @@ def lines(elements: DataFrame, parts: int | None = None) -> DataFrame:
     parts = parts_for(elements) if parts is None else parts
     given = elements.where("kind = 'text' AND doc_id IS NOT NULL").dropna(subset=["page_no", "top", "left", "width", "height"])
     runs = given.select("doc_id", "page_no", "elem_seq", "top", "left", (F.col("left") + F.col("width")).alias("right"), "height", F.coalesce("font", F.lit(-1)).alias("font"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("fmt", F.lit(0)).alias("fmt"))
-    runs = cut_lineage(odd_heights(runs, parts))
+    runs = stored(odd_heights(runs, parts))
     dealt = runs.repartition(parts, *PAGE)
     # a run with text begins a line; those of odd height behind it, up to the next with text, follow it on the page and go to it
     more = F.lit(None).cast("array<struct<left:int,right:int,text:string,fmt:int>>")
@@ -207,7 +207,7 @@ def successors(single: DataFrame, joined: DataFrame, parts: int | None = None) -
     steps = levels.withColumns(told).where("t1 IS NOT NULL")
     found = F.coalesce(*(F.when(F.coalesce(follows(F.col("a"), F.col("top"), F.col(f"b{k}"), F.col(f"t{k}")), F.lit(False)), F.struct(F.col(f"t{k}").alias("top"), F.col(f"b{k}.font").alias("font"))) for k in range(1, STEPS + 1)))
     steps = steps.select(*PAGE, "top", "a", found.alias("b"), (F.col(f"t{STEPS}")).alias("looked"), F.col(f"t{STEPS + 1}").isNotNull().alias("more")).where("b IS NOT NULL OR more")
-    steps = cut_lineage(steps)
+    steps = stored(steps)
     near, open_ = steps.where("b IS NOT NULL").drop("looked", "more"), steps.where("b IS NULL").drop("b", "more")
     if open_.take(1):
         far = open_.join(heads(single, "c").withColumnRenamed("top", "c_top"), PAGE).where((F.col("c_top") > F.col("looked")) & follows(F.col("a"), F.col("top"), F.col("c"), F.col("c_top")))
@@ -320,7 +320,7 @@ def laid_out(elements: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(joined lines, BOXES) of text runs."""
     parts = parts_for(elements)
     single = lines(elements, parts)
-    joined = cut_lineage(joined_lines(single))
+    joined = stored(joined_lines(single))
     return joined, boxes_of(joined, normal_gaps(single, joined, parts), parts)
 
 

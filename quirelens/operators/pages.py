@@ -47,21 +47,25 @@ def stop_after_tiny_images(elements: DataFrame, most: int = 50, below: int = 50)
     return marked.withColumn("_first", first).where("_first IS NULL OR elem_seq < _first").drop("_stop", "_first")
 
 
-def until_tiny_images(elements: DataFrame, most: int = 50, below: int = 50) -> DataFrame:
-    """Elements of each document before the image that is the 51st of one size below 50 on its page (clipped, in square pixels).
+def marked_tiny_images(elements: DataFrame, most: int = 50, below: int = 50) -> DataFrame:
+    """All elements with ``kept`` (it stands before the image that is the 51st of one size below 50 on its page, clipped, in square pixels),
+    ``page_done`` (false for all of the page on which a document stops) and ``stopped`` (its document stops somewhere).
 
-    Added: ``page_done`` (false for all of the page on which a document stops) and ``stopped`` (its document stops somewhere). The page's own
-    row stays; what comes after the stop, on all later pages too and in outlines, goes. Documents without such a page are whole.
+    The page's own row stays; what comes after the stop, on all later pages too and in outlines, goes. Documents without such a page are whole.
     """
     box = G.clip(F.col("left"), F.col("top"), F.col("width"), F.col("height"), F.col("page_width"), F.col("page_height"))
     size = F.abs((box["right"] - box["left"]) * (box["bot"] - box["top"]))
     tiny = elements.where("kind = 'image'").select("doc_id", "page_no", "elem_seq", size.alias("size")).where(F.col("size") < below)
     nth = F.row_number().over(Window.partitionBy("doc_id", "page_no", "size").orderBy("elem_seq"))
     stops = tiny.withColumn("nth", nth).where(F.col("nth") > most).groupBy("doc_id").agg(F.min(F.struct("page_no", "elem_seq")).alias("stop"))
-    marked = elements.join(stops, "doc_id", "left")
     ahead = (F.col("page_no") < F.col("stop.page_no")) | ((F.col("page_no") == F.col("stop.page_no")) & ((F.col("elem_seq") < F.col("stop.elem_seq")) | (F.col("kind") == "page")))
-    kept = marked.where(F.col("stop").isNull() | F.coalesce(ahead, F.lit(False)))
-    return kept.withColumns({"page_done": F.col("stop").isNull() | (F.col("page_no") < F.col("stop.page_no")), "stopped": F.col("stop").isNotNull()}).drop("stop")
+    marks = {"kept": F.col("stop").isNull() | F.coalesce(ahead, F.lit(False)), "page_done": F.col("stop").isNull() | (F.col("page_no") < F.col("stop.page_no")), "stopped": F.col("stop").isNotNull()}
+    return elements.join(stops.hint("shuffle_hash"), "doc_id", "left").withColumns(marks).drop("stop")  # one row per document at most, elements need no sort
+
+
+def until_tiny_images(elements: DataFrame, most: int = 50, below: int = 50) -> DataFrame:
+    """Elements of each document before it stops, see :func:`marked_tiny_images`."""
+    return marked_tiny_images(elements, most, below).where("kept").drop("kept")
 
 
 def covered_rects(rects: DataFrame) -> DataFrame:

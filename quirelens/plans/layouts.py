@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import functions as F
 
 from quirelens.functions import text as T
@@ -117,31 +115,32 @@ ORDER_LINES = f"(SELECT l_orderkey AS o, {ORDERED} AS n, l_returnflag AS flag, C
 ROUNDED = ", ".join(f"round(coalesce(CAST({c} AS DOUBLE), 0), 6) AS {c}" for c in features.NUMERIC_41)
 
 
-def feature_elements(spark, sf_dir):
-    """Elements of documents of up to 64 orders: a page with evenly spaced lines, images and a font each; some pages have too many tiny images."""
-    rows = spread(table(spark, sf_dir, "lineitem"), "l_orderkey").selectExpr("l_orderkey AS o", f"int({ORDERED}) AS n", "l_returnflag AS flag", "int(l_quantity) AS q", "l_partkey AS p", "l_suppkey AS s")
-    orders = rows.groupBy("o").count().select("o")
-    columns = ["doc_id", "page_no", "page_width", "page_height", "elem_seq", "kind", "top", "left", "width", "height", "font", "size", "family", "color", "text", "bold_text", "fmt", "n_bold_words", "n_links", "error_code"]
-    types = {c: "string" for c in ("doc_id", "kind", "family", "color", "text", "bold_text", "error_code")}
+#: Order lines of a slice of :func:`feature_table`.
+SLICE_ROWS = 36_000_000
 
-    def part(df, kind, seq, page="int(o % 64) + 1", **values):
-        given = {"doc_id": "string(o div 64)", "page_no": page, "page_width": "400", "page_height": "2000", "elem_seq": seq, "kind": f"'{kind}'", **values}
-        return df.selectExpr(*(f"CAST({given.get(c, 'NULL')} AS {types.get(c, 'int')}) AS {c}" for c in columns))
 
+def feature_elements(lines):
+    """Elements of documents of up to 64 orders: a page with evenly spaced lines, images and a font each; some pages have too many tiny images."""
+    numbers = ORDERED.replace("BY l_orderkey", "BY doc, l_orderkey", 1)
+    rows = spread(lines, "doc").selectExpr("doc", "l_orderkey AS o", f"int({numbers}) AS n", "min(l_orderkey) OVER (PARTITION BY doc) AS first", "l_returnflag AS flag", "int(l_quantity) AS q", "l_partkey AS p", "l_suppkey AS s")
     said = "concat('run', repeat(' w', q % 3), CASE WHEN p % 50 = 0 THEN ' ©' ELSE '' END)"
-    words = "1 + q % 3 + int(p % 50 = 0)"
-    return functools.reduce(
-        lambda a, b: a.unionByName(b),
-        [
-            part(orders, "page", "0"),
-            part(orders, "fontspec", "1", font="o % 2", size="9 + 3 * (o % 2)", family="concat('F', o % 3)", color="concat('c', o % 5)"),
-            part(rows.where("q % 4 = 0"), "image", "50 + n", top="s % 150", left="p % 300", width="10 + q", height="10 + q % 20"),
-            part(rows, "text", "100 + n", top="n * 20", left="CASE flag WHEN 'A' THEN 50 WHEN 'N' THEN 150 ELSE 250 END", width="100", height="12", font="o % 2", text=said, bold_text=f"CASE WHEN q % 5 = 0 THEN {said} ELSE '' END", fmt="0", n_bold_words=f"CASE WHEN q % 5 = 0 THEN {words} ELSE 0 END", n_links="int(q % 7 = 0)"),
-            part(orders.where("o % 97 = 0").selectExpr("o", "explode(sequence(1, 60)) AS k"), "image", "200 + k", top="5", left="5", width="5", height="5"),
-            part(orders.selectExpr("o div 64 * 64 AS o").distinct(), "outline", "0", page="NULL"),
-            part(orders.where("o % 10 = 0"), "item", "1", page="NULL"),
-        ],
-    )
+    # all elements of an order line from one row, so that lines are numbered once: k says which, from 7 on a tiny image
+    each = rows.selectExpr("*", "explode(sequence(1, CASE WHEN n = 1 AND o % 97 = 0 THEN 66 WHEN n = 1 THEN 6 ELSE 2 END)) AS k").where("(k <> 2 OR q % 4 = 0) AND (k <> 5 OR o % 10 = 0) AND (k <> 6 OR o = first)")
+
+    numbers = {"text": "k = 1", "image": "k = 2", "page": "k = 3", "font": "k = 4", "item": "k = 5", "outline": "k = 6", "tiny": "k > 6"}
+    of = lambda kind, **told: f"CAST(CASE {' '.join(f'WHEN {numbers[x]} THEN {value}' for x, value in told.items())} END AS {kind})"
+
+    values = {
+        "page_no": "CASE WHEN k NOT IN (5, 6) THEN int(o % 64) + 1 END", "page_width": "400", "page_height": "2000",
+        "elem_seq": of("int", text="100 + n", image="50 + n", page="0", font="1", item="1", outline="0", tiny="194 + k"),
+        "kind": of("string", text="'text'", image="'image'", page="'page'", font="'fontspec'", item="'item'", outline="'outline'", tiny="'image'"),
+        "top": of("int", text="n * 20", image="s % 150", tiny="5"), "left": of("int", text="CASE flag WHEN 'A' THEN 50 WHEN 'N' THEN 150 ELSE 250 END", image="p % 300", tiny="5"),
+        "width": of("int", text="100", image="10 + q", tiny="5"), "height": of("int", text="12", image="10 + q % 20", tiny="5"), "font": of("int", text="o % 2", font="o % 2"),
+        "size": of("int", font="9 + 3 * (o % 2)"), "family": of("string", font="concat('F', o % 3)"), "color": of("string", font="concat('c', o % 5)"),
+        "text": of("string", text=said), "bold_text": of("string", text=f"CASE WHEN q % 5 = 0 THEN {said} ELSE '' END"), "fmt": of("int", text="0"),
+        "n_bold_words": of("int", text="CASE WHEN q % 5 = 0 THEN 1 + q % 3 + int(p % 50 = 0) ELSE 0 END"), "n_links": of("int", text="int(q % 7 = 0)"), "error_code": "CAST(NULL AS string)",
+    }
+    return each.selectExpr("doc AS doc_id", *(f"{value} AS {c}" for c, value in values.items()))
 
 
 @query("feature_table", f"""WITH r AS (SELECT *, o // 64 AS d, o % 64 + 1 AS page, CASE flag WHEN 'A' THEN 50 WHEN 'N' THEN 150 ELSE 250 END AS l, 1 + q % 3 + CAST(p % 50 = 0 AS INTEGER) AS words FROM {ORDER_LINES}),
@@ -175,5 +174,9 @@ def feature_elements(spark, sf_dir):
   SELECT CAST(d AS VARCHAR) AS doc_id, {ROUNDED} FROM x""")
 def feature_table(spark, sf_dir):
     """The 41 numeric features of documents made of orders; a document with too many tiny images on a page stops there."""
-    elements = cut_lineage(feature_elements(spark, sf_dir))
-    return features.assemble(elements, mark_image_error=True).select("doc_id", *(F.round(c, 6).alias(c) for c in features.NUMERIC_41))
+    lines = table(spark, sf_dir, "lineitem").selectExpr("string(l_orderkey div 64) AS doc", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_quantity")
+
+    def rounded(own):
+        return features.assemble(feature_elements(own), mark_image_error=True).select("doc_id", *(F.round(c, 6).alias(c) for c in features.NUMERIC_41))
+
+    return features.in_slices(lines, "doc", max(1, -(-lines.count() // SLICE_ROWS)), rounded)

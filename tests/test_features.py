@@ -39,3 +39,24 @@ def test_elements_lines_boxes_and_pages_are_made_once(spark):
     assert "MapInArrow" not in plan and plan.count("row_number") == 0
     row = wide.first()
     assert (row.mean_words_pp, row.mean_textboxes_pp, row.text) == (2, 1, "two words")
+
+
+def test_slices_are_whole_and_leave_no_files_behind(spark, sf_dir, monkeypatch):
+    """The feature table in many slices of documents is that of one, and of what a slice writes only its rows stay."""
+    import glob
+
+    from quirelens import runtime
+    from quirelens.plans import layouts
+
+    def files():
+        return set(glob.glob(runtime.shared_folder(spark).removeprefix("file:") + "/**/*.parquet", recursive=True))
+
+    whole = sorted(layouts.feature_table(spark, sf_dir).collect())
+    monkeypatch.setattr(layouts, "SLICE_ROWS", 2_500)  # of about 6,000
+    before, seen, step = files(), [], features.assemble
+    monkeypatch.setattr(features, "assemble", lambda elements, **given: (seen.append(len(files() - before)), step(elements, **given))[1])
+    sliced = layouts.feature_table(spark, sf_dir)
+    left = files() - before
+    assert sorted(sliced.collect()) == whole and len(whole) > 20
+    assert len(seen) == 3 and seen[0] == 0  # no elements are written before the first slice
+    assert left == set(sliced.inputFiles()) or {x.rpartition("/")[2] for x in left} == {x.rpartition("/")[2] for x in sliced.inputFiles()}
