@@ -116,7 +116,7 @@ ROUNDED = ", ".join(f"round(coalesce(CAST({c} AS DOUBLE), 0), 6) AS {c}" for c i
 
 
 #: Order lines of a slice of :func:`feature_table`.
-SLICE_ROWS = 36_000_000
+SLICE_ROWS = 72_000_000
 
 
 def feature_elements(lines):
